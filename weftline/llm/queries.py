@@ -4,20 +4,27 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.llm import sharding
+from weftline.llm import bpe, sharding
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return bpe.digests(_read(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
+
+
 def op2_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(_read(spark, sf_dir, "documents"), shards=24)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_bpe": op1_bpe,
     "op2_shard": op2_shard,
 }
 
