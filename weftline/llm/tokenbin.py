@@ -32,6 +32,7 @@ HELD = tuple(60 // w for w in WIDTHS)
 BLOCK_IDS = 1 << 16
 #: A file is closed when it has this many ids.
 FILE_IDS = 1 << 24
+_BITS = np.maximum(1, np.frexp(np.arange(1 << 20))[1]).astype(np.uint8)
 MAGIC, HEAD = b"WTB1", struct.Struct("<4sIQQQ")
 
 
@@ -40,18 +41,21 @@ def pack_block(ids: np.ndarray) -> np.ndarray:
     n = len(ids)
     if not n:
         return np.zeros(0, np.uint64)
-    ids = ids.astype(np.uint64)
     choice = np.zeros(n, np.uint8)  # 0: escape
-    need = np.frexp(ids.astype(np.float64))[1]
-    need = np.maximum(need, 1)
-    if int(ids.max()) >= 1 << 50:  # beyond exact doubles
-        need = np.array([max(1, int(x).bit_length()) for x in ids])
+    top = int(ids.max())
+    need = _BITS[ids] if top < len(_BITS) else np.array([max(1, int(x).bit_length()) for x in ids.tolist()], np.uint8)
+    widest = {1: need}  # the widest of the next 1, 2, 4, ... ids
+    while 2 * max(widest) <= min(n, HELD[0]):
+        k = max(widest)
+        widest[2 * k] = np.maximum(widest[k][:-k], widest[k][k:])
     for s in range(len(WIDTHS), 0, -1):  # from the widest: later ones hold more and take over where they can
         width, held = WIDTHS[s - 1], HELD[s - 1]
         if held > n:
             break
-        wide = np.concatenate(([0], np.cumsum(need > width, dtype=np.int32)))
-        choice[: n - held + 1][wide[held:] == wide[: n - held + 1]] = s
+        k = 1 << held.bit_length() - 1
+        fits = np.maximum(widest[k][: n - held + 1], widest[k][held - k :][: n - held + 1]) <= width
+        choice[: n - held + 1][fits] = s
+    ids = ids.astype(np.uint64)
     step = np.concatenate(([1], HELD))[choice].tolist()
     starts, at = [], 0
     while at < n:
@@ -80,7 +84,6 @@ def unpack_block(words: np.ndarray, n: int) -> np.ndarray:
     selectors = (words >> np.uint64(60)).astype(np.uint8)
     raw = np.zeros(len(words), bool)
     if (selectors == 0).any():
-        at = 0
         for at in np.flatnonzero(selectors == 0).tolist():  # a raw id may look like an escape itself
             if not raw[at]:
                 raw[at + 1] = True

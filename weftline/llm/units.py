@@ -32,10 +32,25 @@ class _Units:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, "<u4").tobytes() for e in found]
 
+    def run_joined(self, units: list[str], ends: np.ndarray) -> list[bytes]:
+        """The ids of units of letters only, encoded as one text; ends tells for an id whether a unit ends before it (begin) or with it.
+
+        Each such unit has exactly one border token. Should the count differ, the units are encoded one by one.
+        """
+        if not units:
+            return []
+        ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(units)], add_special_tokens=False)[0].ids, "<u4")
+        at = np.flatnonzero(ends[ids])
+        if len(at) != len(units):
+            return self.run([self.alone(unit) for unit in units])
+        at, data = (at * 4).tolist(), ids.tobytes()
+        cuts = [*at, len(data)] if self.begins else [0, *(x + 4 for x in at)]
+        return [data[x:y] for x, y in zip(cuts, cuts[1:], strict=False)]
+
     def promote(self, wanted: set) -> set:
         """Those of wanted that must be encoded; those of the old generation move to the young one."""
         lacking = wanted.difference(self.young)
-        for key in lacking & self.old.keys():
+        for key in [key for key in lacking if key in self.old]:
             self.young[key] = self.old.pop(key)
             lacking.discard(key)
         return lacking
@@ -51,10 +66,24 @@ class _Units:
 class SpacedUnits(_Units):
     """For byte-level files, where a space belongs to the word after it: units begin at each single space between two other characters.
 
-    Texts with spaces elsewhere (at an edge, several in a row, beside other white space) are encoded as a whole.
+    Texts with spaces elsewhere (at an edge, several in a row, beside other white space) are encoded as a whole. A new unit of more than letters is cut
+    as the tokenizer would cut it, and its parts are looked up.
     """
 
+    begins = True
     _edges = regex.compile(r"\A[\s\x1c-\x1f]|[\s\x1c-\x1f]\Z")
+    #: Fixed value: how byte-level files cut a text.
+    _cut = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
+
+    def __init__(self, path: str):
+        super().__init__(path)
+        self.parts: dict[str, bytes] = {}
+        self.first = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.first[i] = token.startswith("\u0120")  # the byte-level sign for a space
+
+    def alone(self, unit: str) -> str:
+        return " " + unit
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """The ids of each text of a batch, as encode(text, add_special_tokens=False) gives them."""
@@ -62,27 +91,70 @@ class SpacedUnits(_Units):
         new = self.promote(set().union(*(units[1:] for units in split)))
         odd = {unit for unit in new if not unit or self._edges.search(unit)}
         whole = {i for i, units in enumerate(split) if not units[0] or self._edges.search(units[0]) or (odd and not odd.isdisjoint(units))}
-        keys = list(new - odd)
-        found = self.run([*(" " + unit for unit in keys), *(texts[i] if i in whole else units[0] for i, units in enumerate(split))])
-        self.young.update(zip(keys, found, strict=False))
+        keys = new - odd
+        mixed = {unit: self._cut.findall(" " + unit) for unit in keys if not unit.isalpha() and "<|" not in unit}
+        heads = self.promote({cut[0][1:] for cut in mixed.values()}).difference(mixed)
+        plain = [unit for unit in (keys | heads).difference(mixed) if unit.isalpha()]
+        self.young.update(zip(plain, self.run_joined(plain, self.first), strict=True))
+        others = [unit for unit in (keys | heads).difference(mixed) if not unit.isalpha()]
+        single = {unit for unit, cut in mixed.items() if len(cut) == 1}
+        parts = list({part for cut in mixed.values() for part in cut[1:]}.difference(self.parts))
+        firsts = [texts[i] if i in whole else units[0] for i, units in enumerate(split)]
+        alone = [*others, *single]
+        found = iter(self.run([*(" " + unit for unit in alone), *parts, *firsts]))
+        self.young.update(zip(alone, found, strict=False))
+        self.parts.update(zip(parts, found, strict=False))
+        for unit in sorted(mixed.keys() - single, key=len):  # a head may be a shorter unit of this batch
+            cut = mixed[unit]
+            self.young[unit] = self.young[cut[0][1:]] + b"".join(map(self.parts.__getitem__, cut[1:]))
         known = self.young.__getitem__
-        for i, (units, first) in enumerate(zip(split, found[len(keys) :], strict=True)):
-            yield first if i in whole else b"".join((first, *map(known, units[1:])))
-        self.forget(keys)
+        for i, (units, first) in enumerate(zip(split, found, strict=True)):
+            yield first if i in whole else first + b"".join(map(known, units[1:]))
+        self.forget(keys | heads)
+        if len(self.parts) > CACHE_ENTRIES:
+            self.parts = {}
 
 
 class WordUnits(_Units):
-    """For files that drop white space: units are what stands between ASCII white space."""
+    """For files that drop white space: units are what stands between ASCII white space. A sign after letters is looked up apart."""
+
+    begins = False
+    _signs = frozenset(".,;:!?")
+
+    def __init__(self, path: str):
+        super().__init__(path)
+        self.last = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.last[i] = token.endswith("</w>")
+
+    def alone(self, unit: str) -> str:
+        return unit
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """The ids of each text of a batch, as encode(text, add_special_tokens=False) gives them."""
         split = [text.encode().split() for text in texts]
-        keys = list(self.promote(set(chain.from_iterable(split))))
-        self.young.update(zip(keys, self.run([key.decode() for key in keys]), strict=True))
+        new = self.promote(set(chain.from_iterable(split)))
+        plain, signed, others = {}, {}, {}
+        for key in new:
+            unit = key.decode()
+            low = unit.lower()  # of one letter (U+0130) it is a letter and a mark
+            if low.isalpha():
+                plain[key] = unit
+            elif unit[-1] in self._signs and low[:-1].isalpha():
+                signed[key] = unit
+            else:
+                others[key] = unit
+        # a core or a sign may be new itself
+        for key in self.promote({key[:-1] for key in signed} | {sign.encode() for sign in self._signs}):
+            (plain if len(key) > 1 or key.isalpha() else others).setdefault(key, key.decode())
+        self.young.update(zip(plain, self.run_joined(list(plain.values()), self.last), strict=True))
+        self.young.update(zip(others, self.run(list(others.values())), strict=True))
         known = self.young.__getitem__
+        for key in signed:
+            self.young[key] = known(key[:-1]) + known(key[-1:])
         for units in split:
             yield b"".join(map(known, units))
-        self.forget(keys)
+        self.forget([*plain, *signed, *others])
 
 
 @functools.lru_cache(maxsize=2)
