@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.llm import bpe, sharding, tokenbin
+from weftline.llm import bpe, packing, rules, sharding, simhash, tokenbin, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -23,14 +23,49 @@ def op2_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(_read(spark, sf_dir, "documents"), shards=24)
 
 
+def op3_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.judge(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(_read(spark, sf_dir, "pages"))
+
+
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1, capacity=4096)
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenbin.round_trip(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
 
 
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(_read(spark, sf_dir, "documents"), words=3, most=3)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_shard": op2_shard,
+    "op3_rules": op3_rules,
+    "op4_warc": op4_warc,
+    "op5_packing": op5_packing,
     "op6_token_files": op6_token_files,
+    "op8_simhash": op8_simhash,
 }
 
-ORACLE: dict[str, str] = {}
+#: The letters of base32, in order.
+_BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+
+ORACLE: dict[str, str] = {
+    "op4_warc": f"""
+        WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
+        d AS (SELECT h, min(page_id) AS first FROM p GROUP BY h),
+        b AS (SELECT h, first, unhex(upper(h))::BIT::VARCHAR AS bits FROM d)
+        SELECT page_id, octet_length(encode(html))::BIGINT AS payload_bytes,
+               array_to_string(list_transform(range(32), lambda i: substr('{_BASE32}', 1 + (
+                   16 * substr(bits, 5 * i + 1, 1)::INT + 8 * substr(bits, 5 * i + 2, 1)::INT + 4 * substr(bits, 5 * i + 3, 1)::INT
+                   + 2 * substr(bits, 5 * i + 4, 1)::INT + substr(bits, 5 * i + 5, 1)::INT), 1)), '') AS payload_digest,
+               CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id <> first THEN first END AS refers_to
+        FROM p JOIN b USING (h)""",
+}
