@@ -21,8 +21,8 @@ from pyspark.sql import DataFrame
 
 from weftline.llm.shared import by_batch, small_batches
 
-#: Entries of a worker's cache of encoded pieces, and the longest piece that is kept there, in characters.
-CACHE_ENTRIES, CACHE_CHARS = 200_000, 48
+#: Entries of each of the two generations of a worker's caches, and the longest entry that is kept there, in characters.
+CACHE_ENTRIES, CACHE_CHARS = 300_000, 48
 
 
 class PrefixBPE:
@@ -177,13 +177,35 @@ _UNITS = regex.compile(r"(?<=\S) (?=\S)")
 _EDGES = regex.compile(r"\A\s|\s\Z")
 
 
+class _Known(dict):
+    """Encoded texts in two generations: what is used again moves from the old one to this one; the old one goes as a whole."""
+
+    def __init__(self):
+        super().__init__()
+        self.old: dict[str, tuple[int, ...]] = {}
+
+    def lacking(self, wanted: set[str]) -> set[str]:
+        """Those of wanted that must be encoded."""
+        new = wanted.difference(self)
+        for key in [key for key in new if key in self.old]:
+            self[key] = self.old.pop(key)
+            new.discard(key)
+        return new
+
+    def forget(self, passing: list[str]) -> None:
+        for key in passing:
+            del self[key]
+        if len(self) > CACHE_ENTRIES:
+            self.old = dict(self)
+            self.clear()
+
+
 class TextEncoder:
     """Whole texts to ids: each match of the pattern is encoded separately."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.bpe, self.matches = PrefixBPE(ranks), regex.compile(pattern).findall
-        self.pieces: dict[str, tuple[int, ...]] = {}
-        self.units: dict[str, tuple[int, ...]] = {}  # the space before a unit is not part of its key
+        self.pieces, self.units = _Known(), _Known()  # the space before a unit is not part of its key
 
     def encode(self, texts: list[str]) -> Iterator[list[int]]:
         """The ids of each text of a batch. Units that the cache lacks are cut into pieces, and pieces that it lacks are encoded, once for the batch."""
@@ -198,28 +220,19 @@ class TextEncoder:
             new = self._new(split)
         firsts = [self.matches(units[0]) for units in split]
         cut = {unit: self.matches(" " + unit) for unit in new}
-        lacking = set(chain(chain.from_iterable(firsts), chain.from_iterable(cut.values()))).difference(self.pieces)
+        lacking = self.pieces.lacking(set(chain(chain.from_iterable(firsts), chain.from_iterable(cut.values()))))
         in_order = sorted((piece.encode(), piece) for piece in lacking)
         self.pieces.update(zip((p for _, p in in_order), self.bpe.encode_sorted([b for b, _ in in_order]), strict=True))
         ids = self.pieces.__getitem__
-        self.units.update((unit, tuple(chain.from_iterable(map(ids, found)))) for unit, found in cut.items())
+        self.units.update((unit, ids(found[0]) if len(found) == 1 else tuple(chain.from_iterable(map(ids, found)))) for unit, found in cut.items())
         known = self.units.__getitem__
         for units, first in zip(split, firsts, strict=True):
             yield [*chain.from_iterable(map(ids, first)), *chain.from_iterable(map(known, units[1:]))]
-        self._forget(new, lacking)
+        self.units.forget([unit for unit in new if len(unit) > CACHE_CHARS or not unit or _EDGES.search(unit)])
+        self.pieces.forget([piece for piece in lacking if len(piece) > CACHE_CHARS])
 
     def _new(self, split: list[list[str]]) -> set[str]:
-        return set().union(*(units[1:] for units in split)).difference(self.units)
-
-    def _forget(self, units: set[str], pieces: set[str]) -> None:
-        """Keep the caches bounded: long entries go at once, and so do units with white space at an edge; all go when there are too many."""
-        for cache, new in ((self.units, units), (self.pieces, pieces)):
-            if len(cache) > CACHE_ENTRIES:
-                cache.clear()
-            else:
-                for key in new:
-                    if len(key) > CACHE_CHARS or (cache is self.units and (not key or _EDGES.search(key))):
-                        del cache[key]
+        return self.units.lacking(set().union(*(units[1:] for units in split)))
 
 
 @functools.lru_cache(maxsize=2)
