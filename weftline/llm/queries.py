@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.llm import bpe, packing, rules, secrets, sharding, simhash, tokenbin, warc
+from weftline.llm import bpe, packing, rules, secrets, sharding, simhash, surrogates, tokenbin, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -43,6 +43,10 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_read(spark, sf_dir, "documents"), words=3, most=3)
 
 
+def op9_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return surrogates.pseudonymise(_read(spark, sf_dir, "documents"), key="weftline").select("doc_id", "text", "n_entities", "entities")
+
+
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(_read(spark, sf_dir, "documents"))
 
@@ -55,6 +59,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_packing": op5_packing,
     "op6_token_files": op6_token_files,
     "op8_simhash": op8_simhash,
+    "op9_surrogates": op9_surrogates,
     "op10_secrets": op10_secrets,
 }
 
