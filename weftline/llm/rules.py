@@ -205,3 +205,20 @@ def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     named = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"))
     return named.mapInArrow(run, f"doc_id long, {', '.join(f'{c} long' for c in COUNTS)}, base_failed boolean, kept boolean, score double")
+
+
+def keep(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of docs that judge() keeps, with all their columns; a text is judged where it is read."""
+    forest, at, fields = fit(*labelled_rates(docs, labels)), docs.columns.index("text"), docs.schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            found = [statistics(t or "") for t in batch.column(at).to_pylist()]
+            kept = ~np.array([base_failed(c) for c, _ in found])
+            if forest:
+                kept &= forest.scores(np.array([r for _, r in found])) <= forest.threshold
+            yield batch.filter(pa.array(kept))
+
+    return docs.mapInArrow(run, fields)

@@ -12,6 +12,7 @@ of near copies gives as many edges as members. Components of these edges are tho
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from functools import partial
 
@@ -80,9 +81,12 @@ def anchors(half: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(found_rows), np.concatenate(found)
 
 
-def _forest(values: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
-    """Edges of a spanning forest of the links between distinct values: from those not reached yet, the ones that link to what was reached last."""
-    rest = values
+def _forest(values: list[np.ndarray], most: list[int]) -> Iterator[tuple[int, int]]:
+    """Edges, as places, of a spanning forest of the links: from those not reached yet, the ones that link to what was reached last.
+
+    Two places link if all their values differ in at most so many bits.
+    """
+    rest = np.arange(len(values[0]))
     while len(rest) > 1:
         front, rest = rest[:1], rest[1:]
         while len(front) and len(rest):
@@ -90,7 +94,7 @@ def _forest(values: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
             for a in range(0, len(front), BLOCK):
                 for b in range(0, len(rest), BLOCK):
                     open_ = nearest[b : b + BLOCK]
-                    close = np.bitwise_count(front[a : a + BLOCK, None] ^ rest[None, b : b + BLOCK]) <= most
+                    close = _close(values, most, front[a : a + BLOCK, None], rest[None, b : b + BLOCK])
                     hit = close.any(axis=0) & (open_ < 0)
                     open_[hit] = a + close[:, hit].argmax(axis=0)
             linked = nearest >= 0
@@ -98,58 +102,75 @@ def _forest(values: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
             front, rest = rest[linked], rest[~linked]
 
 
-def links(distinct: DataFrame, most: int = 3) -> DataFrame:
-    """distinct(fp) to edges (a, b) of fingerprints with at most ``most`` (3 or fewer) differing bits that connect all that are linked."""
+def _close(values: list[np.ndarray], most: list[int], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    out = np.bitwise_count(values[0][i] ^ values[0][j]) <= most[0]
+    for v, m in zip(values[1:], most[1:], strict=True):
+        out &= np.bitwise_count(v[i] ^ v[j]) <= m
+    return out
+
+
+def links(nodes: DataFrame, views: list[str], most: int = 3, check: tuple[str, int] | None = None) -> DataFrame:
+    """nodes(node, views..., check) to edges (a, b) of nodes that connect all that are linked.
+
+    Two nodes link if in some view they differ in at most ``most`` bits (3 or fewer) and, if there is one, in the check column in at most so many. Equal views are
+    fine: their nodes link.
+    """
     if not 0 <= most <= 3:
         raise ValueError("two halves and anchors within 2 cover thresholds up to 3")
+    bounds = [most] if check is None else [most, check[1]]
+    carried = [] if check is None else [check[0]]
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-            for side in (0, 1):
-                row, anchor = anchors(fp >> np.uint64(32 * side) & np.uint64(0xFFFFFFFF))
-                yield pa.RecordBatch.from_arrays([pa.array((anchor | np.uint64(side << 32)).astype(np.int64)), pa.array(fp[row].view(np.int64))], names=["anchor", "fp"])
+            node, *cols = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            for view in range(len(views)):
+                fp = cols[view].view(np.uint64)
+                for side in (0, 1):
+                    row, anchor = anchors(fp >> np.uint64(32 * side) & np.uint64(0xFFFFFFFF))
+                    anchor |= np.uint64(2 * view + side << 32)
+                    parts = [anchor.view(np.int64), node[row], cols[view][row], *(c[row] for c in cols[len(views) :])]
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in parts], names=names)
+
+    def edges(anchor: np.ndarray, node: np.ndarray, values: list[np.ndarray]) -> pa.RecordBatch | None:
+        begins = np.flatnonzero(np.concatenate(([True], anchor[1:] != anchor[:-1])))
+        sizes = np.diff(np.concatenate((begins, [len(anchor)])))
+        left, right = [], []
+        for size in np.unique(sizes[sizes > 1]).tolist():
+            runs = begins[sizes == size]
+            if size <= 8:  # many small runs: all of a size at once
+                for i in range(size):
+                    for j in range(i + 1, size):
+                        near = _close(values, bounds, runs + i, runs + j)
+                        left.append(node[runs[near] + i])
+                        right.append(node[runs[near] + j])
+                continue
+            for run in runs.tolist():
+                if found := list(_forest([v[run : run + size] for v in values], bounds)):
+                    left.append(node[[run + i for i, _ in found]])
+                    right.append(node[[run + j for _, j in found]])
+        if not left:
+            return None
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], names=["a", "b"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by anchor; a run may span batches."""
-        kept_a, kept_f = np.zeros(0, np.int64), np.zeros(0, np.uint64)
-
-        def edges(anchor: np.ndarray, fp: np.ndarray) -> pa.RecordBatch | None:
-            begins = np.flatnonzero(np.concatenate(([True], anchor[1:] != anchor[:-1])))
-            sizes = np.diff(np.concatenate((begins, [len(anchor)])))
-            left, right = [], []
-            for size in np.unique(sizes[sizes > 1]).tolist():
-                runs = begins[sizes == size]
-                if size <= 8:  # many small runs: all of a size at once
-                    block = fp[runs[:, None] + np.arange(size)]
-                    for i in range(size):
-                        for j in range(i + 1, size):
-                            near = np.bitwise_count(block[:, i] ^ block[:, j]) <= most
-                            left += block[near, i].tolist()
-                            right += block[near, j].tolist()
-                    continue
-                for run in runs.tolist():
-                    for a, b in _forest(fp[run : run + size], most):
-                        left.append(a)
-                        right.append(b)
-            if not left:
-                return None
-            return pa.RecordBatch.from_arrays([pa.array(np.array(x, np.uint64).view(np.int64)) for x in (left, right)], names=["a", "b"])
-
+        kept: list[np.ndarray] = []
         for batch in batches:
-            anchor = np.concatenate((kept_a, batch.column(0).to_numpy(zero_copy_only=False)))
-            fp = np.concatenate((kept_f, batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64)))
-            if not len(anchor):
+            if not batch.num_rows:
                 continue
-            cut = int(np.searchsorted(anchor, anchor[-1]))
-            kept_a, kept_f = anchor[cut:], fp[cut:]
-            if cut and (out := edges(anchor[:cut], fp[:cut])) is not None:
+            cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            cols = [np.concatenate(x) for x in zip(kept, cols, strict=True)] if kept else cols
+            cut = int(np.searchsorted(cols[0], cols[0][-1]))
+            if cut and (out := edges(cols[0][:cut], cols[1][:cut], [c[:cut].view(np.uint64) for c in cols[2:]])) is not None:
                 yield out
-        if len(kept_a) and (out := edges(kept_a, kept_f)) is not None:
+            kept = [c[cut:] for c in cols]
+        if kept and (out := edges(kept[0], kept[1], [c.view(np.uint64) for c in kept[2:]])) is not None:
             yield out
 
-    met = distinct.mapInArrow(spread, "anchor long, fp long").repartition("anchor").sortWithinPartitions("anchor")
-    return met.mapInArrow(compare, "a long, b long").distinct()
+    names = ["anchor", "node", "fp", *carried]
+    ddl = ", ".join(f"{n} long" for n in names)
+    met = nodes.select("node", *views, *carried).mapInArrow(spread, ddl).repartition("anchor").sortWithinPartitions("anchor")
+    return met.mapInArrow(compare, "a long, b long").where("a <> b").distinct()
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, most: int = 3) -> DataFrame:
@@ -162,9 +183,62 @@ def near_duplicates(docs: DataFrame, words: int = 3, most: int = 3) -> DataFrame
     marked = written(fingerprints(docs, words), "simhash")
     small_batches(spark, 10_000)
     by_fp = marked.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    linked = written(components(links(marked.select("fp").distinct(), most)), "simhash-components")
+    linked = written(components(links(marked.select("fp", F.col("fp").alias("node")).distinct(), ["fp"], most)), "simhash-components")
     rooted = by_fp.join(linked.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = rooted.select("fp", "root").join(least, "root").select("fp", "component_id")
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     return marked.join(named, "fp").select("doc_id", hexed.alias("fingerprint"), "component_id")
+
+
+#: Of the pipeline's documents: views of single words, by their hash's multiplier and whether repeats count; linked texts must also agree in
+#: so many of the 64 bits of the fingerprint of five-word shingles (of texts whose five-word shingles are 0.8 alike, all but a few differ in at most 14).
+VIEWS = ((0x9E3779B97F4A7C15, True), (0xC2B2AE3D27D4EB4F, True), (0x165667B19E3779F9, True), (0xD6E8FEB86659FD93, False), (0xA0761D6478BD642F, False), (0xE7037ED1A0B428DB, False))
+SHINGLE_WORDS, SHINGLE_BITS = 5, 14
+
+
+def _majority(hashes: np.ndarray, weights: np.ndarray | None = None) -> int:
+    bits = np.unpackbits(hashes.astype("<u8", copy=False).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    total, set_in = (len(hashes), bits.sum(axis=0, dtype=np.int64)) if weights is None else (weights.sum(), weights @ bits)
+    return int(np.packbits(2 * set_in > total, bitorder="little").view("<i8")[0])
+
+
+def word_views(text: str) -> list[int]:
+    """The text's fingerprints by single words, one for each of VIEWS."""
+    found = Counter(text.encode().lower().split())
+    if not found:
+        return [0] * len(VIEWS)
+    hashes = np.fromiter(map(xxhash.xxh64_intdigest, found), np.uint64, len(found))
+    counts, out = np.fromiter(found.values(), np.int64, len(found)), []
+    for factor, repeats in VIEWS:
+        mixed = (hashes ^ (hashes >> np.uint64(31))) * np.uint64(factor)
+        mixed ^= mixed >> np.uint64(29)
+        out.append(_majority(mixed * np.uint64(0xBF58476D1CE4E5B9), counts if repeats else None))
+    return out
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """docs without near copies: of texts that are connected by links, the one of the smallest doc_id stays.
+
+    Copies whose five-word shingles are alike to 0.8 differ in up to 14 bits of one fingerprint, which no covering of 64 bits reaches. Changed words change five
+    shingles each but one word, so candidates come from several fingerprints of single words within three bits, and the fingerprint of the shingles decides.
+    Rows that share a doc_id are one document and stay or go together; rows without one stay. Texts without words are copies of each other. All columns are kept.
+    """
+    small_batches(docs.sparkSession)
+    names = [f"v{i}" for i in range(len(VIEWS))]
+    schema = pa.schema([(n, pa.int64()) for n in ("node", *names, "shingles")])
+
+    def rows(doc_ids: list, texts: list) -> list[list]:
+        views = [word_views(t or "") for t in texts]
+        shingles = [fingerprint(t or "", SHINGLE_WORDS) for t in texts]
+        return [doc_ids, *(list(v) for v in zip(*views, strict=True)), [x - (1 << 64) if x >> 63 else x for x in shingles]] if texts else [[] for _ in schema]
+
+    named = docs.where(docs["doc_id"].isNotNull()).select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"))
+    marked = written(named.mapInArrow(by_batch(rows, ["doc_id", "text"], schema), ", ".join(f"{n} long" for n in schema.names)), "near-views")
+    # equal in all fingerprints: one node, of the smallest id; the others go
+    least = marked.groupBy(*names, "shingles").agg(F.min("node").alias("node"), F.count(F.lit(1)).alias("n"))
+    nodes = written(least, "near-nodes")
+    linked = components(links(nodes, names, check=("shingles", SHINGLE_BITS)))
+    copies = marked.join(nodes.where("n > 1").withColumnRenamed("node", "first"), [*names, "shingles"]).where("node <> first").select("node")
+    gone = written(copies.union(linked.where("node <> root").select("node")).distinct(), "near-gone")
+    return docs.join(gone, docs["doc_id"].cast("long") == gone["node"], "left_anti")
