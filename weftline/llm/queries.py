@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.llm import bpe, packing, rules, secrets, sharding, simhash, surrogates, tokenbin, warc
+from weftline.llm import ann, bpe, packing, rules, secrets, sharding, simhash, surrogates, tokenbin, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -39,6 +39,10 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenbin.round_trip(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
 
 
+def op7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(_read(spark, sf_dir, "embeddings"), every=20, k=20)
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_read(spark, sf_dir, "documents"), words=3, most=3)
 
@@ -58,6 +62,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_warc": op4_warc,
     "op5_packing": op5_packing,
     "op6_token_files": op6_token_files,
+    "op7_neighbours": op7_neighbours,
     "op8_simhash": op8_simhash,
     "op9_surrogates": op9_surrogates,
     "op10_secrets": op10_secrets,
