@@ -253,18 +253,22 @@ def value_map(x: Column, entries: list[tuple[str, str, str | None]]) -> Column:
 def arguments(atoms: list[tuple[str, str]]) -> Arguments:
     """What follows a step's name, with or without parentheses and commas; dashes and dots join their neighbours."""
     out: Arguments = []
-    joined = False
+    joined: bool | None = False  # True: the next atom goes on; None: the last token was an atom
     for kind, text in atoms:
         if kind == "mark" and text in "(),":
             joined = False
-        elif kind == "mark" and text in ".-" and out:
-            out[-1] += text
+        elif kind == "mark" and text in ".-":
+            if out and (text == "." or joined is None):
+                out[-1] += text
+            else:
+                out.append(text)
             joined = True
         elif joined:
             out[-1] += text
-            joined = False
+            joined = None
         else:
             out.append(unquote(text))
+            joined = None
     return out
 
 

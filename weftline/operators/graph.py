@@ -47,7 +47,8 @@ def reach(edges: DataFrame, start: str, depth: int = 10) -> DataFrame:
 
 
 def _turned(edges: DataFrame) -> DataFrame:
-    return edges.withColumnsRenamed({"src": "dst", "dst": "src"})
+    rest = [c for c in edges.columns if c not in ("src", "dst")]
+    return edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), *rest)
 
 
 def schema_edges(catalog: Catalog) -> DataFrame:
@@ -102,7 +103,8 @@ def schema_rollup(catalog: Catalog) -> DataFrame:
     rolled = edges.groupBy("src", "dst", "mapping").agg(F.min_by("classification", "ordinal").alias("classification"))
     bare = catalog.mappings.join(catalog.fedges.select(F.col("mapping").alias("key")).distinct(), "key", "left_anti")
     shown = lambda c: F.when(c.contains("::"), c).otherwise(F.concat(F.lit("::"), c))
-    return rolled.union(bare.select(shown(F.explode("sources")).alias("src"), shown(F.col("target")).alias("dst"), F.col("key").alias("mapping"), F.lit("none").alias("classification")))
+    bare = bare.select("key", "target", F.explode("sources").alias("source"))
+    return rolled.union(bare.select(shown(F.col("source")).alias("src"), shown(F.col("target")).alias("dst"), F.col("key").alias("mapping"), F.lit("none").alias("classification")))
 
 
 def impact(catalog: Catalog, tag: str) -> DataFrame:

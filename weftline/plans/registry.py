@@ -25,12 +25,11 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def queries() -> dict[str, Query]:
+    import weftline.plans.queries  # noqa: F401  fills the registry
+
     return _QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return _SQL
-
-
-def FLAGSHIP(spark: SparkSession, sf_dir: str) -> DataFrame:  # noqa: N802
-    return spark.read.parquet(f"{sf_dir}/orders.parquet")
