@@ -74,3 +74,17 @@ def test_imports_are_followed_once():
     modules = load("d/a.spec", texts)
     assert [m.file for m in modules] == ["d/a.spec", "d/b.spec"]
     assert modules[0].errors[0][2] == "missing import gone.spec"
+
+
+def test_printing_is_stable():
+    from weftline.lang.printer import add_source, to_text
+
+    once = to_text(parse(TEXT))
+    again = parse(once)
+    assert not again.errors and to_text(again) == once
+    first = parse(TEXT)
+    strip = lambda fs: [(f.name, f.type, f.is_list, [(m.kind, m.key, m.value, m.values) for m in f.meta], strip(f.children), f.spreads) for f in fs]
+    by = lambda m: {b.key: (strip(b.fields), b.spreads, [(a.kind, a.sources, a.target, [s.entries for s in a.steps]) for a in b.arrows]) for b in m.blocks}
+    assert by(first) == by(again)
+    fixed = add_source("mapping m {\n  source { a }\n}", "m", "b")
+    assert fixed == "mapping m {\n  source { a, b }\n}" == add_source(fixed, "m", "b")

@@ -115,3 +115,10 @@ def impact(catalog: Catalog, tag: str) -> DataFrame:
     for f in frames:
         out = out.union(f)
     return out
+
+
+def model(catalog: Catalog) -> DataFrame:
+    """key, kind, fields, edges: each node with its fields and outgoing edges nested, for drawing."""
+    fields = catalog.fields.groupBy(F.col("owner").alias("key")).agg(F.array_sort(F.collect_list(F.struct("ordinal", "path", "type", "is_list"))).alias("fields"))
+    edges = catalog.sedges.groupBy(F.col("src").alias("key")).agg(F.array_sort(F.collect_set(F.struct("dst", "role"))).alias("edges"))
+    return nodes(catalog).join(fields, "key", "left").join(edges, "key", "left")

@@ -152,3 +152,32 @@ def as_of(facts: DataFrame, versions: DataFrame, keys: list[str], at: str, start
     for s in same:
         condition = s & condition
     return facts.join(versions, condition, "left").drop(*(versions[k] for k in keys))
+
+
+def with_dimension_keys(facts: DataFrame, dimensions: dict[str, tuple[DataFrame, str, str]], batch: str | None = None, now: Column | None = None) -> DataFrame:
+    """facts with {dim}_key for each dimension (rows, natural key, the facts' column), from its current version; facts that match none keep a null key. With a
+    batch also etl_batch_id and loaded_at."""
+    for name, (rows, natural, column) in dimensions.items():
+        keys = rows.where("is_current").select(F.col(natural).alias("_natural"), F.col("surrogate_key").alias(f"{name}_key"))
+        facts = facts.join(keys, facts[column] == keys["_natural"], "left").drop("_natural")
+    if batch is not None:
+        facts = facts.withColumns({"etl_batch_id": F.lit(batch), "loaded_at": F.current_timestamp() if now is None else now})
+    return facts
+
+
+def grain_violations(facts: DataFrame, grain: list[str]) -> DataFrame:
+    """Combinations of the grain's columns that come more than once."""
+    return facts.groupBy(*grain).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+
+
+def periodic_snapshot(snapshots: DataFrame, state: DataFrame, date: Column) -> DataFrame:
+    """The snapshots so far with the state of a date; a date that is there is replaced."""
+    new = state.withColumn("snapshot_date", date)
+    return snapshots.join(new.select("snapshot_date").distinct(), "snapshot_date", "left_anti").unionByName(new)
+
+
+def accumulating_snapshot(target: DataFrame, events: DataFrame, keys: list[str], milestone: str, at: str, milestones: list[str]) -> DataFrame:
+    """One row a key with the first time of each milestone; what was there before stays."""
+    new = events.groupBy(*keys).agg(*(F.min(F.when(F.col(milestone) == m, F.col(at))).alias(m) for m in milestones))
+    both = _paired(target, new, keys)
+    return both.select(*keys, *(F.coalesce(F.col(f"t.{m}"), F.col(f"s.{m}")).alias(m) for m in milestones))

@@ -11,6 +11,7 @@ from weftline.lang.syntax import parse
 from weftline.operators import describe, graph, load, quality, validate
 from weftline.plans.compile import Compiled, Options, compile_mapping, compile_metric, compile_target
 from weftline.plans.registry import query
+from weftline.sources.formats import column_lineage, fixed_length, selected
 
 SPEC = '''
 schema orders {
@@ -570,3 +571,109 @@ def schema_rollup(spark: SparkSession, d: str) -> DataFrame:
 @query("context_search", "SELECT 'm1' AS block UNION ALL SELECT 'raw'")
 def context_search(spark: SparkSession, d: str) -> DataFrame:
     return describe.context(_catalog(spark), "the country").select("block")
+
+
+# ---- stars, lists and selectors
+def _dimension(spark: SparkSession, d: str) -> DataFrame:
+    first = _t(spark, d, "customer").select("c_custkey", "c_mktsegment", F.lit("1990-01-01").cast("date").alias("day"))
+    return load.scd2_history(first, ["c_custkey"], "day", ["c_mktsegment"])
+
+
+@query("fact_dimension_keys", "SELECT o_orderkey, CASE WHEN c_custkey IS NOT NULL THEN sha256(c_custkey || '|1990-01-01') END AS customer_key, 'b1' AS etl_batch_id, DATE '2024-01-01' AS loaded_at FROM orders LEFT JOIN customer ON o_custkey = c_custkey")
+def fact_dimension_keys(spark: SparkSession, d: str) -> DataFrame:
+    facts = _t(spark, d, "orders").select("o_orderkey", "o_custkey")
+    return load.with_dimension_keys(facts, {"customer": (_dimension(spark, d), "c_custkey", "o_custkey")}, "b1", F.lit("2024-01-01").cast("date")).drop("o_custkey")
+
+
+@query("fact_grain", "SELECT l_orderkey, l_returnflag, count(*) AS n FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1")
+def fact_grain(spark: SparkSession, d: str) -> DataFrame:
+    return load.grain_violations(_t(spark, d, "lineitem"), ["l_orderkey", "l_returnflag"])
+
+
+@query("snapshot_accumulating", """SELECT user_id, min(ts) FILTER (event_type = 'view') AS view, min(ts) FILTER (event_type = 'purchase') AS purchase FROM events GROUP BY 1""")
+def snapshot_accumulating(spark: SparkSession, d: str) -> DataFrame:
+    e = _t(spark, d, "events")
+    none = e.limit(0).select("user_id", F.col("ts").alias("view"), F.col("ts").alias("purchase"))
+    return load.accumulating_snapshot(none, e, ["user_id"], "event_type", "ts", ["view", "purchase"])
+
+
+@query("list_positional", """WITH o AS (SELECT l_orderkey, list(l_quantity ORDER BY l_linenumber, l_quantity, l_returnflag) AS q, list(l_returnflag ORDER BY l_linenumber, l_quantity, l_returnflag) AS f FROM lineitem GROUP BY 1)
+    SELECT l_orderkey, i::INT AS place, q[i] AS quantity, f[i] AS flag FROM (SELECT *, unnest(range(1, len(q) + 1)) AS i FROM o)""")
+def list_positional(spark: SparkSession, d: str) -> DataFrame:
+    lines = F.array_sort(F.collect_list(F.struct("l_linenumber", "l_quantity", "l_returnflag")))
+    o = _t(spark, d, "lineitem").groupBy("l_orderkey").agg(lines.alias("x")).select("l_orderkey", F.transform("x", lambda e: e["l_quantity"]).alias("q"), F.transform("x", lambda e: e["l_returnflag"]).alias("f"))
+    return o.select("l_orderkey", F.posexplode(F.arrays_zip("q", "f")).alias("p", "z")).select("l_orderkey", (F.col("p") + 1).alias("place"), F.col("z.q").alias("quantity"), F.col("z.f").alias("flag"))
+
+
+@query("list_earliest", "SELECT l_orderkey, min(l_shipdate) AS first_ship, sum(l_quantity) AS total, count(*) AS n FROM lineitem GROUP BY 1")
+def list_earliest(spark: SparkSession, d: str) -> DataFrame:
+    o = _t(spark, d, "lineitem").groupBy("l_orderkey").agg(F.collect_list(F.struct("l_shipdate", "l_quantity")).alias("x"))
+    return o.select("l_orderkey", F.array_min(F.transform("x", lambda e: e["l_shipdate"])).alias("first_ship"), F.aggregate("x", F.lit(0.0), lambda a, e: a + e["l_quantity"]).alias("total"), F.size("x").cast("long").alias("n"))
+
+
+@query("select_jsonpath", "SELECT event_id, CAST(json_extract(props, '$.k') AS INT) AS k FROM events")
+def select_jsonpath(spark: SparkSession, d: str) -> DataFrame:
+    fields = parse('schema p { k INT (jsonpath "$.k") }').blocks[0].fields
+    return _t(spark, d, "events").select("event_id", *selected(F.col("props"), fields))
+
+
+@query("fixed_length", "SELECT o_orderkey, o_orderstatus AS status, (round(o_totalprice * 100) / 100)::DECIMAL(12,2) AS price FROM orders")
+def fixed_length_records(spark: SparkSession, d: str) -> DataFrame:
+    """Orders written as fixed-length records and read back by their offsets."""
+    line = F.concat(F.lpad(F.col("o_orderkey").cast("string"), 10, " "), F.rpad("o_orderstatus", 3, " "), F.lpad(F.round(F.col("o_totalprice") * 100).cast("long").cast("string"), 12, "0"))
+    fields = parse("schema r (format fixed-length) { o_orderkey BIGINT (offset 0, length 10) status STRING (offset 10, length 3) price DECIMAL(12,2) (offset 13, length 12, scale 2) }").blocks[0].fields
+    return _t(spark, d, "orders").select(line.alias("value")).select(*fixed_length(F.col("value"), fields))
+
+
+@query("gov_propagation", "SELECT * FROM (VALUES ('::copy.who', 'CONFIDENTIAL', NULL, true), ('::copy.balance', 'RESTRICTED', 1095, false), ('::copy.both', 'RESTRICTED', 1095, true)) t(field, classification, retention_days, pii)")
+def gov_propagation(spark: SparkSession, d: str) -> DataFrame:
+    more = "schema copy { who STRING balance DOUBLE both STRING } mapping cp { source { customer } target { copy } c_name -> who c_acctbal -> balance c_name, c_acctbal -> both { concat } }"
+    return quality.propagated(_catalog(spark, SPEC + more)).where("field LIKE '::copy.%'")
+
+
+@query("gov_impact", "SELECT * FROM (VALUES ('raw.country', '::base.region', 1), ('raw.country', '::base.extra', 1), ('raw.country', '::mart.label', 2)) t(field, node, depth)")
+def gov_impact(spark: SparkSession, d: str) -> DataFrame:
+    return graph.impact(_catalog(spark), "pii")
+
+
+@query("facet_column_lineage", """SELECT * FROM (VALUES ('::loop_b', '{"fields":{"x":{"inputFields":[{"name":"::loop_a","field":"x","transformationType":"IDENTITY"}]}}}')) t(dataset, facet)""")
+def facet_column_lineage(spark: SparkSession, d: str) -> DataFrame:
+    return column_lineage(_catalog(spark).fedges).where("dataset = '::loop_b'")
+
+
+@query("coverage_sides", "SELECT * FROM (VALUES ('source', 4, 3), ('target', 4, 4)) t(side, n, mapped)")
+def coverage_sides(spark: SparkSession, d: str) -> DataFrame:
+    """Prose references do not count as coverage, so one source field of m1 is open."""
+    c = describe.coverage(_catalog(spark)).where("mapping = 'm1'")
+    return c.groupBy("side").agg(F.count(F.lit(1)).alias("n"), F.count_if("mapped").alias("mapped"))
+
+
+@query("arrows_at_field", "SELECT * FROM (VALUES ('::raw.id', '::base.id', 'none'), ('::base.id', '::mart.id', 'none')) t(src, dst, classification)")
+def arrows_at_field(spark: SparkSession, d: str) -> DataFrame:
+    return describe.arrows(_catalog(spark), "::base.id").select("src", "dst", "classification")
+
+
+@query("metric_definition", "SELECT 'revenue' AS key, 'Revenue' AS metric_name, 'orders' AS source, 'monthly' AS grain, 'o_totalprice' AS measure, 'o_orderstatus' AS slice")
+def metric_definition(spark: SparkSession, d: str) -> DataFrame:
+    m = describe.metric(_catalog(spark, SPEC), "revenue")
+    return m.select("key", "metric_name", "source", "grain", F.array_join("measures", ",").alias("measure"), F.array_join("slices", ",").alias("slice"))
+
+
+@query("governance_gaps", "SELECT * FROM (VALUES ('pii-without-classification', 'raw.country'), ('pii-without-retention', 'raw.country'), ('pii-without-protection', 'raw.country')) t(rule, subject)")
+def governance_gaps(spark: SparkSession, d: str) -> DataFrame:
+    return validate.governance_rules(_catalog(spark)).select("rule", "subject")
+
+
+@query("prose_references", "SELECT * FROM (VALUES ('raw.note_text', 'raw', 'note_text'), ('country', 'raw', 'country'), ('hidden.secret', 'hidden', 'secret'), ('nowhere.field', NULL, NULL)) t(ref, schema, field)")
+def prose_references(spark: SparkSession, d: str) -> DataFrame:
+    return describe.prose_refs(_catalog(spark)).select("ref", "schema", "field")
+
+
+@query("lint_rules", "SELECT * FROM (VALUES ('hidden-source-in-nl', 'm3'), ('unresolved-nl-ref', 'm3'), ('duplicate-definition', 'mart')) t(rule, subject)")
+def lint_rules(spark: SparkSession, d: str) -> DataFrame:
+    return validate.lint(_catalog(spark)).select("rule", "subject")
+
+
+@query("graph_nodes", "SELECT * FROM (VALUES ('schema', 6), ('metric', 1), ('mapping', 5)) t(kind, n)")
+def graph_nodes(spark: SparkSession, d: str) -> DataFrame:
+    return graph.nodes(_catalog(spark)).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
