@@ -77,8 +77,14 @@ def test_simple8b_round_trip():
         for bits in (1, 4, 15, 16, 30, 59, 60, 62):
             ids = rng.integers(0, 1 << bits, n, dtype=np.uint64)
             mixed = np.where(rng.random(n) < 0.5, ids, ids % np.uint64(3))
-            words = tokenbin.pack_block(mixed)
-            assert (tokenbin.unpack_block(words, n) == mixed).all()
+            words, offsets = tokenbin.pack(mixed, 64)
+            assert (tokenbin.unpack(words, n) == mixed).all()
+            for k, at in enumerate(offsets.tolist()):
+                end = int(offsets[k + 1]) if k + 1 < len(offsets) else len(words)
+                assert (tokenbin.unpack(words[at:end], min(64, n - 64 * k)) == mixed[64 * k : 64 * k + 64]).all()
+    ids = rng.integers(0, 50_000, 3000)
+    data = tokenbin.dump([1], [3000], ids)
+    assert (tokenbin.load_block(data, 2) == ids[2048:]).all() and (tokenbin.load_block(data, 0) == ids[:1024]).all()
     data = tokenbin.dump([5, None], [2, 1], np.array([1, 2, 3]))
     ids, lengths, got = tokenbin.load(data)
     assert ids == [5, None] and lengths.tolist() == [2, 1] and got.tolist() == [1, 2, 3]

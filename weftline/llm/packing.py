@@ -147,10 +147,9 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int) -> DataF
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, part, seen = units.words(tokenizer), TaskContext.get().partitionId(), {}
         end = np.array([end_id], "<u4").tobytes()
-        for batch in batches:
+        for doc_ids, texts in units.batches(batches):
             rows = []
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for doc_id, ids in zip(batch.column(0).to_pylist(), own.encode(texts), strict=True):
+            for doc_id, ids in zip(doc_ids, own.encode(texts), strict=True):
                 ids += end
                 for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
                     data = ids[at : at + 4 * capacity]

@@ -14,7 +14,6 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
-from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -29,69 +28,77 @@ from weftline.llm.shared import fresh_dir, small_batches, written
 #: Fixed values of the coding: bits a value and values a word, by selector from 1.
 WIDTHS = (1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60)
 HELD = tuple(60 // w for w in WIDTHS)
-BLOCK_IDS = 1 << 16
+BLOCK_IDS = 1 << 10
 #: A file is closed when it has this many ids.
-FILE_IDS = 1 << 24
+FILE_IDS = 1 << 22
+_STEP = np.array([1, *HELD], np.uint8)
 _BITS = np.maximum(1, np.frexp(np.arange(1 << 20))[1]).astype(np.uint8)
 MAGIC, HEAD = b"WTB1", struct.Struct("<4sIQQQ")
 
 
-def pack_block(ids: np.ndarray) -> np.ndarray:
-    """The words of one block of non-negative ids."""
+def pack(ids: np.ndarray, block: int = BLOCK_IDS) -> tuple[np.ndarray, np.ndarray]:
+    """The words of all blocks of non-negative ids, and the place of each block's first word. All blocks are coded at once, a word of each at a time."""
     n = len(ids)
     if not n:
-        return np.zeros(0, np.uint64)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     choice = np.zeros(n, np.uint8)  # 0: escape
-    top = int(ids.max())
-    need = _BITS[ids] if top < len(_BITS) else np.array([max(1, int(x).bit_length()) for x in ids.tolist()], np.uint8)
+    need = _BITS[ids] if int(ids.max()) < len(_BITS) else np.array([max(1, int(x).bit_length()) for x in ids.tolist()], np.uint8)
     widest = {1: need}  # the widest of the next 1, 2, 4, ... ids
     while 2 * max(widest) <= min(n, HELD[0]):
         k = max(widest)
         widest[2 * k] = np.maximum(widest[k][:-k], widest[k][k:])
+    blocks = np.arange(0, n, block)
+    ends = np.minimum(blocks + block, n)
+    room = np.repeat(ends, ends - blocks) - np.arange(n)
     for s in range(len(WIDTHS), 0, -1):  # from the widest: later ones hold more and take over where they can
         width, held = WIDTHS[s - 1], HELD[s - 1]
-        if held > n:
+        if held > min(n, block):
             break
         k = 1 << held.bit_length() - 1
         fits = np.maximum(widest[k][: n - held + 1], widest[k][held - k :][: n - held + 1]) <= width
-        choice[: n - held + 1][fits] = s
-    ids = ids.astype(np.uint64)
-    step = np.concatenate(([1], HELD))[choice].tolist()
-    starts, at = [], 0
-    while at < n:
-        starts.append(at)
-        at += step[at]
-    starts = np.array(starts)
+        choice[: n - held + 1][fits & (room[: n - held + 1] >= held)] = s
+    step, first = _STEP[choice], np.zeros(n, bool)
+    at, last = blocks, ends
+    while len(at):
+        first[at] = True
+        at = at + step[at]
+        going = at < last
+        if not going.all():
+            at, last = at[going], last[going]
+    starts = np.flatnonzero(first)
     chosen = choice[starts]
     escapes = chosen == 0
     places = np.arange(len(starts)) + np.concatenate(([0], np.cumsum(escapes)[:-1]))
     words = np.zeros(len(starts) + int(escapes.sum()), np.uint64)
     for s in np.unique(chosen).tolist():
         own = chosen == s
+        begins = starts[own]
         if s == 0:
-            words[places[own] + 1] = ids[starts[own]]
+            words[places[own] + 1] = ids[begins]
             continue
         width, held = WIDTHS[s - 1], HELD[s - 1]
-        word = np.full(int(own.sum()), s << 60, np.uint64)
+        word = np.full(len(begins), s << 60, np.uint64)
         for k in range(held):
-            word |= ids[starts[own] + k] << np.uint64(k * width)
+            word |= ids[begins + k].astype(np.uint64) << np.uint64(k * width)
         words[places[own]] = word
-    return words
+    return words, places[np.searchsorted(starts, blocks)]
 
 
-def unpack_block(words: np.ndarray, n: int) -> np.ndarray:
-    """The n ids of a block's words; a word count that doesn't give n ids is an error."""
+def unpack(words: np.ndarray, n: int) -> np.ndarray:
+    """The n ids of the words of one block or of several in a row; a word count that doesn't give n ids is an error."""
     selectors = (words >> np.uint64(60)).astype(np.uint8)
-    raw = np.zeros(len(words), bool)
-    if (selectors == 0).any():
-        for at in np.flatnonzero(selectors == 0).tolist():  # a raw id may look like an escape itself
-            if not raw[at]:
-                raw[at + 1] = True
-    held = np.concatenate(([1], HELD, [0]))[selectors]
+    raw = np.zeros(len(words) + 1, bool)
+    for at in np.flatnonzero(selectors == 0).tolist():  # a raw id may look like an escape itself
+        if not raw[at]:
+            raw[at + 1] = True
+    raw = raw[: len(words)]
+    if (selectors > len(WIDTHS)).any() and (selectors[~raw] > len(WIDTHS)).any():
+        raise ValueError("unknown selector")
+    held = _STEP[np.minimum(selectors, len(WIDTHS))].astype(np.int64)
     held[raw] = 0
     ends = np.cumsum(held)
     if (int(ends[-1]) if len(ends) else 0) != n:
-        raise ValueError(f"a block of {n} ids has words for {int(ends[-1]) if len(ends) else 0}")
+        raise ValueError(f"{n} ids have words for {int(ends[-1]) if len(ends) else 0}")
     out, begins = np.zeros(n, np.uint64), ends - held
     for s in np.unique(selectors[~raw]).tolist():
         own = np.flatnonzero((selectors == s) & ~raw)
@@ -99,26 +106,40 @@ def unpack_block(words: np.ndarray, n: int) -> np.ndarray:
             out[begins[own]] = words[own + 1]
             continue
         width, count = WIDTHS[s - 1], HELD[s - 1]
-        mask = np.uint64((1 << width) - 1)
+        mask, packed, to = np.uint64((1 << width) - 1), words[own], begins[own]
         for k in range(count):
-            out[begins[own] + k] = (words[own] >> np.uint64(k * width)) & mask
+            out[to + k] = (packed >> np.uint64(k * width)) & mask
     return out
 
 
 def dump(doc_ids: list[int | None], lengths: list[int], ids: np.ndarray) -> bytes:
     """A file's bytes; ids are those of all documents, one after another."""
-    blocks = [pack_block(ids[a : a + BLOCK_IDS]) for a in range(0, len(ids), BLOCK_IDS)]
-    offsets = np.array([0, *accumulate(map(len, blocks))][: len(blocks)], "<u8")
+    parts, offsets, total = [], [], 0
+    for a in range(0, len(ids), 256 * BLOCK_IDS):  # so many blocks that their arrays stay in a core's cache
+        words, at = pack(ids[a : a + 256 * BLOCK_IDS])
+        parts.append(words)
+        offsets.append(at + total)
+        total += len(words)
+    offsets = np.concatenate(offsets) if offsets else np.zeros(0, np.int64)
     return b"".join((
-        HEAD.pack(MAGIC, BLOCK_IDS, len(ids), len(doc_ids), len(blocks)), offsets.tobytes(), np.array(lengths, "<u4").tobytes(),
+        HEAD.pack(MAGIC, BLOCK_IDS, len(ids), len(doc_ids), len(offsets)), offsets.astype("<u8").tobytes(), np.array(lengths, "<u4").tobytes(),
         np.array([d or 0 for d in doc_ids], "<i8").tobytes(), np.array([d is None for d in doc_ids], "u1").tobytes(),
-        *(b.astype("<u8").tobytes() for b in blocks),
+        *(words.astype("<u8", copy=False).tobytes() for words in parts),
     ))
 
 
+def load_block(data: bytes, block: int) -> np.ndarray:
+    """The ids of one block of a file, decoded alone."""
+    _, size, n, _, blocks = HEAD.unpack_from(data)
+    offsets = np.frombuffer(data, "<u8", blocks, HEAD.size)
+    words = np.frombuffer(data, "<u8", offset=HEAD.size + 8 * blocks + 13 * HEAD.unpack_from(data)[3])
+    end = int(offsets[block + 1]) if block + 1 < blocks else len(words)
+    return unpack(words[int(offsets[block]) : end], min(size, n - block * size))
+
+
 def load(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
     """A file's doc_ids, lengths and ids; checks the mark and every block's length."""
-    mark, block, n, docs, blocks = HEAD.unpack_from(data)
+    mark, _, n, docs, blocks = HEAD.unpack_from(data)
     if mark != MAGIC:
         raise ValueError("not a token file")
     at = HEAD.size
@@ -126,13 +147,11 @@ def load(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
     for kind, count in (("<u8", blocks), ("<u4", docs), ("<i8", docs), ("u1", docs)):
         parts.append(np.frombuffer(data, kind, count, at))
         at += parts[-1].nbytes
-    offsets, lengths, doc_ids, nulls = parts
+    _, lengths, doc_ids, nulls = parts
     words = np.frombuffer(data, "<u8", offset=at)
     if int(lengths.sum()) != n:
         raise ValueError("the documents' lengths don't add up to the file's ids")
-    ends = [*offsets[1:].tolist(), len(words)]
-    ids = [unpack_block(words[a:b], min(block, n - k * block)) for k, (a, b) in enumerate(zip(offsets.tolist(), ends, strict=True))]
-    ids = np.concatenate(ids) if ids else np.zeros(0, np.uint64)
+    ids = unpack(words, n)
     return [None if z else d for d, z in zip(doc_ids.tolist(), nulls.tolist(), strict=True)], lengths, ids
 
 
@@ -160,9 +179,8 @@ def write_files(docs: DataFrame, tokenizer: str, end_id: int, folder: str) -> Da
             return pa.RecordBatch.from_pydict({"part": [part], "file": [file], "path": [path], "n_docs": [len(doc_ids)], "n_ids": [sum(lengths)]}, schema=MANIFEST)
 
         doc_ids, lengths, ids = [], [], []
-        for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for doc_id, found in zip(batch.column(0).to_pylist(), own.encode(texts), strict=True):
+        for some, texts in units.batches(batches):
+            for doc_id, found in zip(some, own.encode(texts), strict=True):
                 ids.append(found + end)
                 doc_ids.append(doc_id)
                 lengths.append(len(ids[-1]) // 4)

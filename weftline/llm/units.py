@@ -9,24 +9,41 @@ from __future__ import annotations
 import functools
 import os
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
+import pyarrow as pa
 import regex
 from tokenizers import Tokenizer
 
-#: Entries of a generation of a worker's cache (there are two), and the longest unit that is kept there.
-CACHE_ENTRIES, CACHE_CHARS = 300_000, 48
+#: Entries of a worker's cache, at some 200 bytes each, and the longest unit that is kept there.
+CACHE_ENTRIES, CACHE_CHARS = 800_000, 48
+#: Characters of texts that are encoded at once, about: the more, the fewer units are looked at twice.
+BATCH_CHARS = 6_000_000
+
+
+def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[str]]]:
+    """(doc_ids, texts) of record batches (doc_id, text), put together to BATCH_CHARS at most, but for a longer text alone; a null text is an empty one."""
+    ids, texts, chars = [], [], 0
+    for batch in rows:
+        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            if texts and chars + len(text or "") > BATCH_CHARS:
+                yield ids, texts
+                ids, texts, chars = [], [], 0
+            ids.append(doc_id)
+            texts.append(text or "")
+            chars += len(texts[-1])
+    if texts:
+        yield ids, texts
 
 
 class _Units:
-    """Encoded units in two generations: what is used again moves to the young one, and the old one is dropped as a whole."""
+    """Encoded units, in the order in which they were first met."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         self.tokenizer = Tokenizer.from_file(path)
-        self.young: dict = {}
-        self.old: dict = {}
+        self.known: dict = {}
 
     def run(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -47,72 +64,67 @@ class _Units:
         cuts = [*at, len(data)] if self.begins else [0, *(x + 4 for x in at)]
         return [data[x:y] for x, y in zip(cuts, cuts[1:], strict=False)]
 
-    def promote(self, wanted: set) -> set:
-        """Those of wanted that must be encoded; those of the old generation move to the young one."""
-        lacking = wanted.difference(self.young)
-        for key in [key for key in lacking if key in self.old]:
-            self.young[key] = self.old.pop(key)
-            lacking.discard(key)
-        return lacking
+    def lacking(self, wanted: set) -> set:
+        """Those of wanted that must be encoded."""
+        return wanted.difference(self.known)
 
     def forget(self, new) -> None:
+        """Long units go at once; when there are too many, the older half goes, and what is common soon comes back."""
         for key in new:
             if len(key) > CACHE_CHARS:
-                self.young.pop(key, None)
-        if len(self.young) > CACHE_ENTRIES:
-            self.young, self.old = {}, self.young
+                self.known.pop(key, None)
+        if len(self.known) > CACHE_ENTRIES:
+            for key in list(islice(self.known, len(self.known) // 2)):
+                del self.known[key]
 
 
 class SpacedUnits(_Units):
-    """For byte-level files, where a space belongs to the word after it: units begin at each single space between two other characters.
+    """For byte-level files, where a space belongs to the word after it: units begin at each single space and at each single line end between two other
+    characters. A unit's space is not part of its key; a line end is.
 
-    Texts with spaces elsewhere (at an edge, several in a row, beside other white space) are encoded as a whole. A new unit of more than letters is cut
-    as the tokenizer would cut it, and its parts are looked up.
+    Texts with white space elsewhere (at an edge, several in a row) are encoded as a whole. Of a new unit that is letters and a sign, the letters are looked up.
     """
 
     begins = True
-    _edges = regex.compile(r"\A[\s\x1c-\x1f]|[\s\x1c-\x1f]\Z")
-    #: Fixed value: how byte-level files cut a text.
-    _cut = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
+    _edges = regex.compile(r"\A\n?+[\s\x1c-\x1f]|[\s\x1c-\x1f]\Z")
+    _signs = frozenset(".,;:!?")
 
     def __init__(self, path: str):
         super().__init__(path)
-        self.parts: dict[str, bytes] = {}
         self.first = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)
         for token, i in self.tokenizer.get_vocab().items():
             self.first[i] = token.startswith("\u0120")  # the byte-level sign for a space
+        self.sign = dict(zip(self._signs, self.run(list(self._signs)), strict=True))
 
     def alone(self, unit: str) -> str:
-        return " " + unit
+        return unit if unit[0] == "\n" else " " + unit
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """The ids of each text of a batch, as encode(text, add_special_tokens=False) gives them."""
-        split = [text.split(" ") for text in texts]
-        new = self.promote(set().union(*(units[1:] for units in split)))
+        split = [text.replace("\n", " \n").split(" ") for text in texts]
+        new = self.lacking(set().union(*(units[1:] for units in split)))
         odd = {unit for unit in new if not unit or self._edges.search(unit)}
         whole = {i for i, units in enumerate(split) if not units[0] or self._edges.search(units[0]) or (odd and not odd.isdisjoint(units))}
-        keys = new - odd
-        mixed = {unit: self._cut.findall(" " + unit) for unit in keys if not unit.isalpha() and "<|" not in unit}
-        heads = self.promote({cut[0][1:] for cut in mixed.values()}).difference(mixed)
-        plain = [unit for unit in (keys | heads).difference(mixed) if unit.isalpha()]
-        self.young.update(zip(plain, self.run_joined(plain, self.first), strict=True))
-        others = [unit for unit in (keys | heads).difference(mixed) if not unit.isalpha()]
-        single = {unit for unit, cut in mixed.items() if len(cut) == 1}
-        parts = list({part for cut in mixed.values() for part in cut[1:]}.difference(self.parts))
+        new -= odd
+        plain, signed, others = [], [], []
+        for unit in new:
+            if unit.isalpha():
+                plain.append(unit)
+            elif unit[-1] in self._signs and unit[:-1].isalpha():
+                signed.append(unit)
+            else:
+                others.append(unit)
+        cores = list(self.lacking({unit[:-1] for unit in signed}).difference(plain))
+        plain += cores
+        self.known.update(zip(plain, self.run_joined(plain, self.first), strict=True))
         firsts = [texts[i] if i in whole else units[0] for i, units in enumerate(split)]
-        alone = [*others, *single]
-        found = iter(self.run([*(" " + unit for unit in alone), *parts, *firsts]))
-        self.young.update(zip(alone, found, strict=False))
-        self.parts.update(zip(parts, found, strict=False))
-        for unit in sorted(mixed.keys() - single, key=len):  # a head may be a shorter unit of this batch
-            cut = mixed[unit]
-            self.young[unit] = self.young[cut[0][1:]] + b"".join(map(self.parts.__getitem__, cut[1:]))
-        known = self.young.__getitem__
-        for i, (units, first) in enumerate(zip(split, found, strict=True)):
+        found = self.run([*map(self.alone, others), *firsts])
+        self.known.update(zip(others, found, strict=False))
+        known = self.known.__getitem__
+        self.known.update([(unit, known(unit[:-1]) + self.sign[unit[-1]]) for unit in signed])
+        for i, (units, first) in enumerate(zip(split, found[len(others) :], strict=True)):
             yield first if i in whole else first + b"".join(map(known, units[1:]))
-        self.forget(keys | heads)
-        if len(self.parts) > CACHE_ENTRIES:
-            self.parts = {}
+        self.forget([*new, *cores])
 
 
 class WordUnits(_Units):
@@ -133,7 +145,7 @@ class WordUnits(_Units):
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """The ids of each text of a batch, as encode(text, add_special_tokens=False) gives them."""
         split = [text.encode().split() for text in texts]
-        new = self.promote(set(chain.from_iterable(split)))
+        new = self.lacking(set(chain.from_iterable(split)))
         plain, signed, others = {}, {}, {}
         for key in new:
             unit = key.decode()
@@ -145,13 +157,13 @@ class WordUnits(_Units):
             else:
                 others[key] = unit
         # a core or a sign may be new itself
-        for key in self.promote({key[:-1] for key in signed} | {sign.encode() for sign in self._signs}):
+        for key in self.lacking({key[:-1] for key in signed} | {sign.encode() for sign in self._signs}):
             (plain if len(key) > 1 or key.isalpha() else others).setdefault(key, key.decode())
-        self.young.update(zip(plain, self.run_joined(list(plain.values()), self.last), strict=True))
-        self.young.update(zip(others, self.run(list(others.values())), strict=True))
-        known = self.young.__getitem__
+        self.known.update(zip(plain, self.run_joined(list(plain.values()), self.last), strict=True))
+        self.known.update(zip(others, self.run(list(others.values())), strict=True))
+        known = self.known.__getitem__
         for key in signed:
-            self.young[key] = known(key[:-1]) + known(key[-1:])
+            self.known[key] = known(key[:-1]) + known(key[-1:])
         for units in split:
             yield b"".join(map(known, units))
         self.forget([*plain, *signed, *others])
