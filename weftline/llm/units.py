@@ -49,14 +49,14 @@ class _Units:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, "<u4").tobytes() for e in found]
 
-    def run_joined(self, units: list[str], ends: np.ndarray) -> list[bytes]:
+    def run_joined(self, units: list[str], ends: np.ndarray, space: str = " ") -> list[bytes]:
         """The ids of units of letters only, encoded as one text; ends tells for an id whether a unit ends before it (begin) or with it.
 
         Each such unit has exactly one border token. Should the count differ, the units are encoded one by one.
         """
         if not units:
             return []
-        ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(units)], add_special_tokens=False)[0].ids, "<u4")
+        ids = np.array(self.tokenizer.encode_batch_fast([space + space.join(units)], add_special_tokens=False)[0].ids, "<u4")
         at = np.flatnonzero(ends[ids])
         if len(at) != len(units):
             return self.run([self.alone(unit) for unit in units])
@@ -95,6 +95,8 @@ class SpacedUnits(_Units):
         for token, i in self.tokenizer.get_vocab().items():
             self.first[i] = token.startswith("\u0120")  # the byte-level sign for a space
         self.sign = dict(zip(self._signs, self.run(list(self._signs)), strict=True))
+        self.line = np.zeros_like(self.first)
+        self.line[self.tokenizer.get_vocab()["\u010a"]] = True  # the byte-level sign for a line end
 
     def alone(self, unit: str) -> str:
         return unit if unit[0] == "\n" else " " + unit
@@ -106,17 +108,21 @@ class SpacedUnits(_Units):
         odd = {unit for unit in new if not unit or self._edges.search(unit)}
         whole = {i for i, units in enumerate(split) if not units[0] or self._edges.search(units[0]) or (odd and not odd.isdisjoint(units))}
         new -= odd
-        plain, signed, others = [], [], []
+        plain, lines, signed, others = [], [], [], []
         for unit in new:
             if unit.isalpha():
                 plain.append(unit)
-            elif unit[-1] in self._signs and unit[:-1].isalpha():
+            elif unit[-1] in self._signs and (unit[1:-1] if unit[0] == "\n" else unit[:-1]).isalpha():
                 signed.append(unit)
+            elif unit[0] == "\n" and unit[1:].isalpha():
+                lines.append(unit)
             else:
                 others.append(unit)
-        cores = list(self.lacking({unit[:-1] for unit in signed}).difference(plain))
-        plain += cores
+        cores = list(self.lacking({unit[:-1] for unit in signed}).difference(plain, lines))
+        for unit in cores:
+            (lines if unit[0] == "\n" else plain).append(unit)
         self.known.update(zip(plain, self.run_joined(plain, self.first), strict=True))
+        self.known.update(zip(lines, self.run_joined(lines, self.line, ""), strict=True))
         firsts = [texts[i] if i in whole else units[0] for i, units in enumerate(split)]
         found = self.run([*map(self.alone, others), *firsts])
         self.known.update(zip(others, found, strict=False))
