@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from weftline.catalog.tables import Catalog
 from weftline.lang.names import Workspace
 from weftline.lang.syntax import parse
-from weftline.operators import describe, graph, load, quality, validate
+from weftline.operators import describe, extend, graph, load, quality, validate
 from weftline.plans.compile import Compiled, Options, compile_mapping, compile_metric, compile_target
 from weftline.plans.registry import query
 from weftline.sources.formats import column_lineage, fixed_length, selected
@@ -677,3 +677,51 @@ def lint_rules(spark: SparkSession, d: str) -> DataFrame:
 @query("graph_nodes", "SELECT * FROM (VALUES ('schema', 6), ('metric', 1), ('mapping', 5)) t(kind, n)")
 def graph_nodes(spark: SparkSession, d: str) -> DataFrame:
     return graph.nodes(_catalog(spark)).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+# ---- extensions
+@query("ext_cube", "SELECT l_returnflag, l_linestatus, grouping(l_returnflag, l_linestatus)::BIGINT AS \"grouping\", count(*) AS n FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)")
+def ext_cube(spark: SparkSession, d: str) -> DataFrame:
+    return extend.cube(_t(spark, d, "lineitem"), ["l_returnflag", "l_linestatus"], [F.count(F.lit(1)).alias("n")])
+
+
+@query("ext_rollup", "SELECT o_orderstatus, o_orderpriority, grouping(o_orderstatus, o_orderpriority)::BIGINT AS \"grouping\", round(sum(o_totalprice), 2) AS total FROM orders GROUP BY ROLLUP (o_orderstatus, o_orderpriority)")
+def ext_rollup(spark: SparkSession, d: str) -> DataFrame:
+    return extend.rollup(_t(spark, d, "orders"), ["o_orderstatus", "o_orderpriority"], [F.round(F.sum("o_totalprice"), 2).alias("total")])
+
+
+@query("ext_sessions", """WITH g AS (SELECT *, CASE WHEN epoch(ts)::BIGINT - epoch(lag(ts) OVER (PARTITION BY user_id ORDER BY ts))::BIGINT > 86400 OR lag(ts) OVER (PARTITION BY user_id ORDER BY ts) IS NULL THEN 1 ELSE 0 END AS fresh FROM events),
+    s AS (SELECT user_id, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)::BIGINT AS session FROM g) SELECT user_id, session, count(*) AS n FROM s GROUP BY 1, 2""")
+def ext_sessions(spark: SparkSession, d: str) -> DataFrame:
+    return extend.sessions(_t(spark, d, "events"), ["user_id"], "ts", 86400).groupBy("user_id", "session").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("ext_top", "SELECT o_custkey, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS r FROM orders) WHERE r <= 3")
+def ext_top(spark: SparkSession, d: str) -> DataFrame:
+    return extend.top(_t(spark, d, "orders").select("o_custkey", "o_orderkey", "o_totalprice"), ["o_custkey"], [F.desc("o_totalprice"), F.col("o_orderkey")], 3).drop("o_totalprice")
+
+
+@query("ext_range_join", "SELECT p_partkey, b.low FROM part JOIN (SELECT DISTINCT floor(s_acctbal / 50) * 50 AS low FROM supplier) b ON b.low <= p_retailprice AND p_retailprice < b.low + 120")
+def ext_range_join(spark: SparkSession, d: str) -> DataFrame:
+    low = (F.floor(F.col("s_acctbal") / 50) * 50).cast("double")
+    bands = _t(spark, d, "supplier").select(low.alias("low")).distinct().withColumn("high", F.col("low") + 120)
+    return extend.range_join(_t(spark, d, "part").select("p_partkey", "p_retailprice"), bands, "p_retailprice", "low", "high", 100.0).select("p_partkey", "low")
+
+
+@query("ext_heavy_join", "SELECT o_orderstatus, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders JOIN (SELECT DISTINCT o_orderstatus AS s FROM orders) ON o_orderstatus = s GROUP BY 1")
+def ext_heavy_join(spark: SparkSession, d: str) -> DataFrame:
+    o = _t(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
+    return extend.heavy_join(o, o.select("o_orderstatus").distinct(), ["o_orderstatus"], 8).groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+
+
+@query("ext_set_operations", "(SELECT c_nationkey AS k FROM customer EXCEPT SELECT n_nationkey FROM nation WHERE n_regionkey = 0) UNION (SELECT s_nationkey FROM supplier INTERSECT SELECT n_nationkey FROM nation WHERE n_regionkey = 0)")
+def ext_set_operations(spark: SparkSession, d: str) -> DataFrame:
+    zero = _t(spark, d, "nation").where("n_regionkey = 0").select(F.col("n_nationkey").alias("k"))
+    a = _t(spark, d, "customer").select(F.col("c_nationkey").alias("k")).subtract(zero)
+    return a.union(_t(spark, d, "supplier").select(F.col("s_nationkey").alias("k")).intersect(zero)).distinct()
+
+
+@query("merge_rules", "SELECT * FROM (VALUES ('merge-needs-match-on', 'a'), ('merge-unknown', 'b'), ('merge-append-match-on', 'c'), ('merge-needs-delete-flag', 'd')) t(rule, subject)")
+def merge_rules(spark: SparkSession, d: str) -> DataFrame:
+    text = "schema s { i INT } " + " ".join(f"mapping {n} ({m}) {{ source {{ s }} target {{ s }} i -> i }}" for n, m in (("a", "merge upsert"), ("b", "merge wrong"), ("c", "merge append, match_on i"), ("d", "merge soft_delete, match_on i"), ("e", "merge upsert, match_on i")))
+    return validate.merge_rules(_catalog(spark, text)).select("rule", "subject")
