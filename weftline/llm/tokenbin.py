@@ -139,7 +139,7 @@ def load_block(data: bytes, block: int) -> np.ndarray:
 
 def load(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
     """A file's doc_ids, lengths and ids; checks the mark and every block's length."""
-    mark, _, n, docs, blocks = HEAD.unpack_from(data)
+    mark, block, n, docs, blocks = HEAD.unpack_from(data)
     if mark != MAGIC:
         raise ValueError("not a token file")
     at = HEAD.size
@@ -147,11 +147,13 @@ def load(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
     for kind, count in (("<u8", blocks), ("<u4", docs), ("<i8", docs), ("u1", docs)):
         parts.append(np.frombuffer(data, kind, count, at))
         at += parts[-1].nbytes
-    _, lengths, doc_ids, nulls = parts
+    offsets, lengths, doc_ids, nulls = parts
     words = np.frombuffer(data, "<u8", offset=at)
     if int(lengths.sum()) != n:
         raise ValueError("the documents' lengths don't add up to the file's ids")
-    ids = unpack(words, n)
+    some, cuts = 256, [*offsets[::256].tolist(), len(words)]  # as many blocks at once as are coded at once
+    ids = [unpack(words[a:b], min(some * block, n - k * some * block)) for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))]
+    ids = np.concatenate(ids) if ids else np.zeros(0, np.uint64)
     return [None if z else d for d, z in zip(doc_ids.tolist(), nulls.tolist(), strict=True)], lengths, ids
 
 
