@@ -185,3 +185,11 @@ def test_forest_keeps_good_and_rejects_junk(spark):
     assert sum(i in kept for i in held_out if i >= 300) <= 1
     wide = docs.withColumn("kept", F.lit("mine"))
     assert {r.doc_id for r in rules.keep(wide, labels).collect()} == kept
+
+
+def test_capitals_count_in_every_script_whatever_the_text_begins_with():
+    at = rules.RATES.index("upper_rate")
+    for shout in ("ПРИВЕТ МИР ", "ΓΕΙΑ ΣΟΥ ", "ÉÀÜÖÄ ÇÑ ", "LOUD TEXT "):
+        alone, after = (rules.statistics(begin + shout * 200)[1][at] for begin in ("", "an ordinary first line of the text\n"))
+        assert alone > 0.9 and after > 0.9
+    assert rules.statistics("Обычный текст без крика. " * 50)[1][at] == 0

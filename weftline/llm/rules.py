@@ -26,6 +26,7 @@ TREES, SUBSAMPLE, DEPTH, SEED = 100, 256, 10, 7
 #: The share of labelled good texts that the threshold keeps, at least.
 KEEP_GOOD = 0.998
 WINDOW = 8
+_CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _BLANKS, _SYMBOLS, _MARKS = " \t\n\x0b\x0c\r", "#*$%&|<>", "!?;:~^_"
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -76,7 +77,7 @@ def statistics(text: str) -> tuple[list[int], list[float]]:
                 seen.add(line)
     repeat = repeated_words(words)
     letters = max(1, chars)
-    upper = sum(map(str.isupper, text)) if text[:64].upper() == text[:64] else sum(map(text.count, "ABCDEFGHIJKLMNOPQRSTUVWXYZ"))
+    upper = sum(map(text.count, _CAPITALS)) if text.isascii() else sum(map(str.isupper, text))  # of every script, over the whole text
     echo = sum(map(bytes.__eq__, words[1:], words))  # words that repeat the one before them
     lone = sum(1 for w in words if len(w) == 1 and not w.isalnum())
     rates = [
