@@ -193,6 +193,48 @@ def test_one_of_each(spark):
     assert simhash.one_of_each(docs.limit(0)).count() == 0
 
 
+def shingles_of(text):
+    words = text.lower().split()
+    return {" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+
+
+def jaccard(a, b):
+    a, b = shingles_of(a), shingles_of(b)
+    return len(a & b) / len(a | b)
+
+
+def edited(edits):
+    """Originals (even ids) and a copy of each (odd ids), by the edits in turn: from a list of words to a list of words."""
+    vocabulary = ["".join(draw.choice("abcdefgh") for _ in range(5)) for _ in range(3000)]
+    fresh = lambda n: [draw.choice(vocabulary) for _ in range(n)]
+    out = []
+    for size in (60, 150, 400, 1500):
+        for i in range(24):
+            words = fresh(size)
+            out += [" ".join(words), " ".join(edits[i % len(edits)](words, fresh))]
+    return out
+
+
+def left_of_pairs(spark, texts):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    left = {r.doc_id for r in simhash.one_of_each(docs).collect()}
+    assert {i for i in range(0, len(texts), 2)} <= left
+    return left
+
+
+def test_block_edits_are_near_copies(spark):
+    part = lambda words, share: int(len(words) * share)
+    edits = [
+        lambda w, f: w + f(part(w, 0.1)), lambda w, f: w + f(part(w, 0.2)), lambda w, f: w[: len(w) - part(w, 0.18)], lambda w, f: f(part(w, 0.15)) + w,
+        lambda w, f: w[: part(w, 0.4)] + f(part(w, 0.05)) + w[part(w, 0.45) :], lambda w, f: w[: part(w, 0.3)] + w[part(w, 0.42) :],
+    ]
+    texts = edited(edits)
+    left = left_of_pairs(spark, texts)
+    near = [jaccard(texts[i - 1], texts[i]) >= 0.8 for i in range(1, len(texts), 2)]
+    assert sum(near) > 60
+    assert [i in left for i in range(1, len(texts), 2)] == [not n for n in near]
+
+
 # ---- surrogates
 def test_surrogates(spark):
     texts = [

@@ -12,7 +12,6 @@ of near copies gives as many edges as members. Components of these edges are tho
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from functools import partial
 
@@ -23,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm.components import components
-from weftline.llm.shared import by_batch, small_batches, written
+from weftline.llm.shared import by_batch, drop_written, small_batches, written
 
 #: Shingle hashes are the standard 64-bit XXH with this seed.
 SEED = 42
@@ -191,54 +190,131 @@ def near_duplicates(docs: DataFrame, words: int = 3, most: int = 3) -> DataFrame
     return marked.join(named, "fp").select("doc_id", hexed.alias("fingerprint"), "component_id")
 
 
-#: Of the pipeline's documents: views of single words, by their hash's multiplier and whether repeats count; linked texts must also agree in
-#: so many of the 64 bits of the fingerprint of five-word shingles (of texts whose five-word shingles are 0.8 alike, all but a few differ in at most 14).
-VIEWS = ((0x9E3779B97F4A7C15, True), (0xC2B2AE3D27D4EB4F, True), (0x165667B19E3779F9, True))
-SHINGLE_WORDS, SHINGLE_BITS = 5, 14
+#: Near copies among the pipeline's documents: sets of five-word shingles whose Jaccard similarity is 4/5 or more.
+SHINGLE_WORDS, ALIKE = 5, (4, 5)
+#: Candidates share a band of least hashes. A least hash is shared with the probability of the sets' similarity, whatever the edit, so that of pairs
+#: 0.8 alike (1 - 0.8**5)**24 = 7e-5 share no band, and fewer of pairs that are more alike.
+BANDS, BAND = 24, 5
+#: Least hashes, of all, that candidates must share to be compared: pairs 0.8 alike share 96 on average, and fewer than this with a probability under 1e-5.
+SHARED = 76
+_mix = np.random.default_rng(SEED)
+_FACTORS, _TERMS = (_mix.integers(0, 1 << 64, (BANDS * BAND, 1), np.uint64) for _ in range(2))
+_FACTORS |= np.uint64(1)
 
 
-def _majority(hashes: np.ndarray, weights: np.ndarray | None = None) -> int:
-    bits = np.unpackbits(hashes.astype("<u8", copy=False).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    total, set_in = (len(hashes), bits.sum(axis=0, dtype=np.int64)) if weights is None else (weights.sum(), weights @ bits)
-    return int(np.packbits(2 * set_in > total, bitorder="little").view("<i8")[0])
+def shingle_set(text: str) -> np.ndarray:
+    """The sorted distinct hashes of the text's five-word shingles; of a shorter text, of all its words; empty for a text without words."""
+    found = text.encode().lower().split()
+    if not found:
+        return np.zeros(0, np.uint64)
+    shingles = map(b" ".join, zip(*(found[i:] for i in range(SHINGLE_WORDS)))) if len(found) >= SHINGLE_WORDS else [b" ".join(found)]
+    return np.unique(np.fromiter(map(partial(xxhash.xxh64_intdigest, seed=SEED), shingles), np.uint64))
 
 
-def word_views(text: str) -> list[int]:
-    """The text's fingerprints by single words, one for each of VIEWS."""
-    found = Counter(text.encode().lower().split())
-    if not found:
-        return [0] * len(VIEWS)
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, found), np.uint64, len(found))
-    counts, out = np.fromiter(found.values(), np.int64, len(found)), []
-    for factor, repeats in VIEWS:
-        mixed = (hashes ^ (hashes >> np.uint64(31))) * np.uint64(factor)
-        mixed ^= mixed >> np.uint64(29)
-        out.append(_majority(mixed * np.uint64(0xBF58476D1CE4E5B9), counts if repeats else None))
+def least_hashes(shingles: np.ndarray) -> np.ndarray:
+    """For each of the hash functions the least value over the set, which is not empty."""
+    out = np.full(BANDS * BAND, np.iinfo(np.uint64).max, np.uint64)
+    for a in range(0, len(shingles), 1024):
+        out = np.minimum(out, (shingles[None, a : a + 1024] * _FACTORS + _TERMS).min(axis=1))
     return out
 
 
+def _sketches(texts: DataFrame) -> DataFrame:
+    """texts(node, text) to node, digest of the shingle set, n of its shingles, sketch (a byte of each least hash) and the bands' keys."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            digests, counts, sketches, keys = [], [], [], []
+            for text in batch.column(1).to_pylist():
+                found = shingle_set(text or "")
+                digests.append(xxhash.xxh3_128_digest(found.tobytes()))
+                counts.append(len(found))
+                least = least_hashes(found) if len(found) else np.zeros(0, np.uint64)
+                sketches.append((least >> np.uint64(56)).astype(np.uint8).tobytes() if len(found) else b"")
+                bands = least.reshape(-1, BAND)
+                keys.append([xxhash.xxh64_intdigest(b.tobytes(), seed=i) - (1 << 63) for i, b in enumerate(bands)])
+            cols = [batch.column(0), pa.array(digests, pa.binary()), pa.array(counts, pa.int64()), pa.array(sketches, pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(cols, names=["node", "digest", "n", "sketch", "keys"])
+
+    return texts.mapInArrow(run, "node long, digest binary, n long, sketch binary, keys array<long>")
+
+
+def _likely(pairs: DataFrame) -> DataFrame:
+    """pairs(a, b, na, nb, x, y) of counts and sketches to those (a, b), distinct, whose sets can be alike enough."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for i in (2, 3))
+                keep = pa.array((x == y).sum(axis=1) >= SHARED)
+                yield pa.RecordBatch.from_arrays([batch.column(i).filter(keep) for i in (0, 1)], names=["a", "b"])
+
+    over, under = ALIKE
+    near = pairs.where(F.least("na", "nb") * under >= F.greatest("na", "nb") * over)
+    return near.select("a", "b", "x", "y").mapInArrow(run, "a long, b long").distinct()
+
+
+def jaccard_is_enough(x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether the Jaccard similarity of two sorted sets is ALIKE or more; in integers."""
+    both = np.concatenate((x, y))
+    both.sort(kind="stable")
+    shared = int((both[1:] == both[:-1]).sum())
+    return ALIKE[1] * shared >= ALIKE[0] * (len(both) - shared)
+
+
+def _alike(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """pairs(a, b), written, to those whose shingle sets are alike enough; texts(node, text)."""
+    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    schema = pa.schema([("node", pa.int64()), ("shingles", pa.binary())])
+    hashed = by_batch(lambda ids, found: [ids, [shingle_set(t or "").tobytes() for t in found]], ["node", "text"], schema)
+    sets = written(texts.join(wanted, "node").dropDuplicates(["node", "text"]).mapInArrow(hashed, "node long, shingles binary"), "near-sets")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = [jaccard_is_enough(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(keep, pa.bool_())) for i in (0, 1)], names=["a", "b"])
+
+    joined = pairs.join(sets.withColumnRenamed("node", "a").withColumnRenamed("shingles", "x"), "a").join(sets.withColumnRenamed("node", "b").withColumnRenamed("shingles", "y"), "b")
+    edges = written(joined.select("a", "b", "x", "y").mapInArrow(run, "a long, b long").distinct(), "near-edges")
+    drop_written(sets)
+    return edges
+
+
 def one_of_each(docs: DataFrame) -> DataFrame:
     """docs without near copies: of texts that are connected by links, the one of the smallest doc_id stays.
 
-    Copies whose five-word shingles are alike to 0.8 differ in up to 14 bits of one fingerprint, which no covering of 64 bits reaches. Changed words change five
-    shingles each but one word, so candidates come from several fingerprints of single words within three bits, and the fingerprint of the shingles decides.
+    Two texts link if the sets of their five-word shingles have a Jaccard similarity of 0.8 or more, computed from the sets. Candidates come from bands of least hashes (see
+    BANDS for what they miss). In each band every text is first compared with the one of the least id; then, where texts of a band are not connected yet, all pairs
+    of them. A group of near copies thus costs as many comparisons as members, not all pairs.
     Rows that share a doc_id are one document and stay or go together; rows without one stay. Texts without words are copies of each other. All columns are kept.
     """
     small_batches(docs.sparkSession)
-    names = [f"v{i}" for i in range(len(VIEWS))]
-    schema = pa.schema([(n, pa.int64()) for n in ("node", *names, "shingles")])
-
-    def rows(doc_ids: list, texts: list) -> list[list]:
-        views = [word_views(t or "") for t in texts]
-        shingles = [fingerprint(t or "", SHINGLE_WORDS) for t in texts]
-        return [doc_ids, *(list(v) for v in zip(*views, strict=True)), [x - (1 << 64) if x >> 63 else x for x in shingles]] if texts else [[] for _ in schema]
-
-    named = docs.where(docs["doc_id"].isNotNull()).select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"))
-    marked = written(named.mapInArrow(by_batch(rows, ["doc_id", "text"], schema), ", ".join(f"{n} long" for n in schema.names)), "near-views")
-    # equal in all fingerprints: one node, of the smallest id; the others go
-    least = marked.groupBy(*names, "shingles").agg(F.min("node").alias("node"), F.count(F.lit(1)).alias("n"))
-    nodes = written(least, "near-nodes")
-    linked = components(links(nodes, names, check=("shingles", SHINGLE_BITS)))
-    copies = marked.join(nodes.where("n > 1").withColumnRenamed("node", "first"), [*names, "shingles"]).where("node <> first").select("node")
+    texts = docs.where(docs["doc_id"].isNotNull()).select(docs["doc_id"].cast("long").alias("node"), docs["text"].alias("text"))
+    marked = written(_sketches(texts), "near-sketches")
+    # equal sets: one node, of the smallest id; the others go
+    least = marked.groupBy("digest").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("copies"))
+    nodes = written(marked.join(least, "digest").where("node = first").dropDuplicates(["node", "digest"]).select("node", "digest", "copies", "n", "sketch", "keys"), "near-nodes")
+    keyed = nodes.select("node", F.explode("keys").alias("key"))
+    hubs = keyed.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub <> last").select("key", "hub")
+    bands = written(keyed.join(hubs, "key"), "near-bands")
+    about = nodes.select("node", "n", "sketch")
+
+    def compared(pairs: DataFrame) -> DataFrame:
+        """Edges among distinct pairs(a, b)."""
+        known = pairs.join(about.toDF("a", "na", "x"), "a").join(about.toDF("b", "nb", "y"), "b")
+        likely = written(_likely(known), "near-likely")
+        return _alike(likely, texts)
+
+    stars = bands.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
+    edges = compared(stars)
+    linked = written(components(edges), "near-components")
+    rooted = bands.join(linked, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+    apart = rooted.groupBy("key").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r <> s").select("key")
+    rest = written(rooted.join(apart, "key"), "near-rest")
+    others = rest.toDF("key", "a", "ra").join(rest.toDF("key", "b", "rb"), "key").where("a > b AND ra <> rb").select("a", "b").distinct()
+    more = compared(others.join(stars, ["a", "b"], "left_anti"))
+    if not more.isEmpty():
+        linked = components(edges.union(more))
+    copies = marked.join(nodes.where("copies > 1").select(F.col("node").alias("first"), "digest"), "digest").where("node <> first").select("node")
     gone = written(copies.union(linked.where("node <> root").select("node")).distinct(), "near-gone")
     return docs.join(gone, docs["doc_id"].cast("long") == gone["node"], "left_anti")
