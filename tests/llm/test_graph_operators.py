@@ -235,6 +235,17 @@ def test_block_edits_are_near_copies(spark):
     assert [i in left for i in range(1, len(texts), 2)] == [not n for n in near]
 
 
+def test_texts_under_the_similarity_stay(spark):
+    def scattered(words, fresh):
+        return [fresh(1)[0] if i % 25 == 12 else w for i, w in enumerate(words)]
+
+    texts = edited([scattered, lambda w, f: w[: len(w) // 2] + f(len(w) // 7) + w[len(w) // 2 + len(w) // 7 :]])
+    near = [jaccard(texts[i - 1], texts[i]) for i in range(1, len(texts), 2)]
+    assert sum(0.6 < s < 0.8 for s in near) > 80
+    left = left_of_pairs(spark, texts)
+    assert [i in left for i in range(1, len(texts), 2)] == [s < 0.8 for s in near]
+
+
 # ---- surrogates
 def test_surrogates(spark):
     texts = [
