@@ -280,6 +280,26 @@ def test_surrogates_are_distinct_and_no_entities(spark):
     assert not {(r.kind, r.surrogate) for r in got} & set(entities)
 
 
+def replaced(spark, texts):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return [r.text for r in surrogates.pseudonymise(docs, "k").orderBy("doc_id").collect()]
+
+
+def test_whole_names_and_their_mentions_are_replaced(spark):
+    texts = [
+        "Sr Gabriel García Márquez wrote.", "Mr J. Smith left. Smith's hat and SMITH too.", "Mr John Smith came. Smith left. John Smith too.", "Herr Prof. Dr. Ludwig van Beethoven, and Beethoven",
+        "Dr Ναδια Παπα", "Dr محمد came", "Mr X. Y.", "Smith has no title here",
+    ]
+    got = replaced(spark, texts)
+    for text, words in zip(got, (("Gabriel", "García", "Márquez"), ("J.", "Smith", "SMITH"), ("John", "Smith"), ("Ludwig", "Beethoven"), ("Ναδια", "Παπα"), ("محمد",), ("X", "Y")), strict=False):
+        assert not any(w in text for w in words), text
+    given, surname, second, again, last = re.fullmatch(r"Mr (\w+) (\w+) came\. (\w+) left\. (\w+) (\w+) too\.", got[2]).groups()
+    assert surname == second == last and given == again
+    assert re.fullmatch(rf"Mr [A-Z]\. {surname} left\. {surname}'s hat and {surname.upper()} too\.", got[1])
+    assert " van " in got[3] and re.fullmatch(r"Dr [\u0370-\u03ff]+ [\u0370-\u03ff]+", got[4]) and re.fullmatch(r"Dr [\u0600-\u06ff]+ came", got[5])
+    assert got[7] == texts[7]
+
+
 # ---- secrets
 BASE = [
     ("assign", re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A), lambda m: len(m[2]) >= 8),

@@ -10,12 +10,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def matches(text: Column, pattern: str, group: int = 0) -> Column:
+def matches(text: Column, pattern: str | Column, group: int = 0) -> Column:
     """All leftmost non-overlapping matches, or a group of each."""
-    return F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
+    return F.regexp_extract_all(text, pattern if isinstance(pattern, Column) else F.lit(pattern), F.lit(group))
 
 
-def gaps(text: Column, pattern: str) -> Column:
+def gaps(text: Column, pattern: str | Column) -> Column:
     """What stands before, between and after the matches: one more than there are matches."""
     return F.split(text, pattern, -1)
 

@@ -3,7 +3,8 @@
 Detected entities are e-mail and IPv4 addresses, card, phone, social-security and bank account numbers, and names after a title. Each gets a replacement made from a keyed hash of its
 normal form: of the same type and format (digits for digits, the punctuation as it stood, a card's first digit and check digit, a phone's country code, a name's script, gender
 and case). Equal normal forms have equal surrogates in the whole corpus, however they are written; given names and surnames are entities of
-their own, so a person stays one person when only the surname is repeated.
+their own, so a person stays one person when only the surname is repeated. The first of several name words is the given name, the others are surnames; initials get other
+initials, and particles stay. A name word that stands after a title is replaced wherever it stands in the same text, with a title or without one.
 
 Collision checks: a surrogate must not be an entity of the corpus, nor another entity's surrogate. Candidates are made for all distinct entities, each candidate is kept
 by the least entity that has it, and the others try again with another attempt number, until none is left. The mapping never leaves the cluster.
@@ -11,6 +12,8 @@ by the least entity that has it, and the others try again with another attempt n
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,14 +26,18 @@ _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 _MALE = ("Mr", "Herr", "Monsieur", "Sr", "Señor", "Don", "Господин")
 _FEMALE = ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Mlle", "Sra", "Señora", "Doña", "Госпожа")
 _EITHER = ("Dr", "Prof", "Доктор")
-_TITLE = rf"(?:{'|'.join(_MALE + _FEMALE + _EITHER)})\.?"
+_TITLE = rf"(?:{'|'.join(_MALE + _FEMALE + _EITHER)})\.?(?: (?:{'|'.join(_EITHER)})\.?)*"
+#: Words inside names that are no names. What a name is made of: words, initials, and particles before them.
+_PARTICLE = "(?:van|von|vom|der|den|de|del|della|di|da|dos|das|do|du|la|le|el|al|bin|ibn|ben|zu|zum|zur|ter|ten|y|e|af|av)"
+_INITIAL = r"\p{Lu}(?:\.(?:-?\p{Lu}\.)*|(?= \p{Lu}))"
+_WORD = r"(?:[\p{Lu}\p{Lt}][\p{L}\p{M}]*(?:['’-]\p{L}[\p{L}\p{M}]+)+|[\p{Lu}\p{Lt}][\p{L}\p{M}]+|[dl]['’]\p{Lu}[\p{L}\p{M}]+|\p{Lo}[\p{L}\p{M}]*)"
 EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
 IP = rf"(?<![\p{{L}}\p{{N}}.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\.?\p{{N}}|\p{{L}})"
 CARD = rf"{_FREE[0]}\d{{4}}(?:[ -]?\d{{4}}){{2}}[ -]?\d{{1,7}}{_FREE[1]}"
 SSN = rf"{_FREE[0]}\d{{3}}-\d{{2}}-\d{{4}}{_FREE[1]}"
 PHONE = rf"(?<![\p{{L}}\p{{N}}+])(?:\+\d{{1,3}}[ .-]?)?(?:\(\d{{2,4}}\)[ .-]?|\d{{2,4}}[ .-])\d{{3,4}}[ .-]\d{{3,4}}(?:[ .-]\d{{2,4}})?{_FREE[1]}|(?<![\p{{L}}\p{{N}}+])\+\d{{8,15}}{_FREE[1]}"
 IBAN = rf"{_FREE[0]}[A-Z]{{2}}\d{{2}} ?(?:[A-Z]{{4}}|\d{{4}})(?: ?\d{{4}}){{2,6}}(?: ?\d{{1,3}})?{_FREE[1]}"
-NAME = rf"{_FREE[0]}{_TITLE} \p{{Lu}}[\p{{L}}'-]+(?: \p{{Lu}}[\p{{L}}'-]+)?"
+NAME = rf"{_FREE[0]}{_TITLE}(?: (?:{_PARTICLE} ){{0,3}}(?:{_WORD}|{_INITIAL}))+"
 #: All of them: the first that matches at a place counts.
 ENTITY = "|".join((EMAIL, IP, CARD, SSN, PHONE, IBAN, NAME))
 ATTEMPTS = 40
@@ -39,11 +46,24 @@ ATTEMPTS = 40
 _SYLLABLES = {
     "latin": ("ba", "be", "bo", "da", "de", "do", "fa", "ga", "ka", "ko", "la", "le", "li", "lo", "ma", "me", "mi", "na", "ne", "no", "ra", "re", "ri", "ro", "sa", "se", "ta", "te", "to", "va", "ve", "vi"),
     "cyrillic": ("ба", "бо", "ва", "ве", "га", "го", "да", "де", "ка", "ко", "ла", "ле", "ли", "ма", "ме", "ми", "на", "не", "но", "па", "ра", "ро", "са", "се", "та", "то"),
+    "greek": ("βα", "γα", "δα", "δε", "κα", "κο", "λα", "λε", "λι", "μα", "με", "μι", "να", "νε", "πα", "πε", "ρα", "ρο", "σα", "σε", "τα", "το"),
+    "armenian": ("բա", "գա", "դա", "կա", "լա", "մա", "նա", "պա", "ռա", "սա", "տա", "րի", "նե", "լո", "մի", "վա"),
+    "georgian": ("ბა", "გა", "და", "კა", "ლა", "მა", "ნა", "პა", "რა", "სა", "თა", "რი", "ნე", "ლო", "მი", "ვა"),
+    "hebrew": ("בא", "גא", "דא", "כא", "לא", "מא", "נא", "פא", "רא", "סא", "טא", "רי", "נו", "לו", "מי", "שא"),
+    "arabic": ("با", "دا", "را", "سا", "كا", "لا", "ما", "نا", "فا", "تا", "ري", "نو", "لو", "مي", "شا", "جا"),
+    "devanagari": ("बा", "गा", "दा", "का", "ला", "मा", "ना", "पा", "रा", "सा", "ता", "री", "नो", "लो", "मी", "वा"),
+    "hangul": ("가", "나", "다", "라", "마", "바", "사", "아", "자", "하", "민", "수", "진", "우", "현", "영"),
+    "katakana": ("カ", "キ", "サ", "シ", "タ", "ト", "ナ", "ノ", "ハ", "マ", "ミ", "ヤ", "ラ", "リ", "ロ", "ワ"),
+    "hiragana": ("か", "き", "さ", "し", "た", "と", "な", "の", "は", "ま", "み", "や", "ら", "り", "ろ", "わ"),
+    "han": ("安", "白", "成", "大", "方", "高", "海", "江", "金", "林", "明", "宁", "平", "文", "云", "志"),
 }
 _ENDINGS = {
     "latin": {"m": ("ron", "nus", "ldo", "rik"), "f": ("lia", "nna", "rina", "lotte"), "n": ("ren", "ley", "lin"), "s": ("mann", "sen", "ley", "rez", "dier")},
     "cyrillic": {"m": ("н", "р", "слав", "мир"), "f": ("на", "рия", "лина", "ша"), "n": ("ня", "ля"), "s": ("нко", "вич", "нюк")},
+    "greek": {"m": ("ρος", "νης"), "f": ("νη", "ρία"), "n": ("λη", "ρη"), "s": ("δης", "πουλος", "κης")},
 }
+#: The letters that initials are moved in.
+_CAPITALS = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "АБВГДЕЖЗИКЛМНОПРСТУФХЦЧШЩЭЮЯ", "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ")
 
 
 def _byte(digest: Column, i: Column | int) -> Column:
@@ -92,36 +112,66 @@ def surrogate(kind: Column, norm: Column, attempt: Column, key: str) -> Column:
     def name(script: str) -> Column:
         stem = F.array_join(F.transform(F.sequence(F.lit(1), F.floor(attempt / 4).cast("int") + 1), lambda i: _pick(digest, i.cast("int"), _SYLLABLES[script])), "")
         end = F.lit("")
-        for part, endings in _ENDINGS[script].items():
+        for part, endings in _ENDINGS.get(script, {}).items():
             end = F.when(kind == f"name_{part}", _pick(digest, 0, endings)).otherwise(end)
         return F.concat(stem, end)
 
+    named = name("latin")
+    for script in list(_SYLLABLES)[1:]:
+        named = F.when(norm.rlike(rf"\p{{Is{script.capitalize()}}}"), name(script)).otherwise(named)
     return (
         F.when(kind == "email", email).when(kind == "ip", address).when(kind == "card", card)
-        .when(kind.startswith("name"), F.when(norm.rlike(r"\p{IsCyrillic}"), name("cyrillic")).otherwise(name("latin"))).otherwise(number)
+        .when(kind.startswith("name"), named).otherwise(number)
     )
 
 
 def _kind(match: Column) -> Column:
     whole = lambda p: match.rlike(rf"\A(?:{p})\z")
     return (
-        F.when(match.contains("@"), "email").when(match.rlike(rf"\A{_TITLE} "), "name").when(whole(IP), "ip").when(whole(CARD), "card")
+        F.when(match.contains("@"), "email").when(match.rlike(rf"\A{_TITLE} |\A[\p{{L}}\p{{M}}'’-]+\z"), "name").when(whole(IP), "ip").when(whole(CARD), "card")
         .when(whole(SSN), "ssn").when(match.rlike(r"\A[A-Z]"), "iban").otherwise("phone")
     )
 
 
+def _words(match: Column) -> Column:
+    """A name's words without its titles; initials and particles among them."""
+    return F.split(F.regexp_replace(match, rf"\A{_TITLE} ", ""), " ")
+
+
+def _is_name(word: Column) -> Column:
+    """Neither an initial nor a particle."""
+    return ~word.rlike(rf"\A(?:\p{{Lu}}(?:\.(?:-?\p{{Lu}}\.)*)?|{_PARTICLE})\z")
+
+
 def _parts(match: Column) -> Column:
-    """The entities of a match: one, or a name's given name and surname: kind, and norm."""
+    """The entities of a match: one, or a name's given name and surnames: kind, and norm. A name without a title is a mention of one with a title and has none of its own."""
     kind = _kind(match)
     norm = F.when(kind == "phone", F.regexp_replace(match, "[^0-9+]", "")).when(kind.isin("card", "ssn", "iban"), F.upper(F.regexp_replace(match, "[ -]", ""))).otherwise(F.lower(match))
-    title = F.regexp_extract(match, rf"\A({_TITLE}) ", 1)
-    bare = F.regexp_replace(title, r"\.$", "")
-    gender = F.when(bare.isin(*_MALE), "m").when(bare.isin(*_FEMALE), "f").otherwise("n")
-    words = F.split(F.regexp_replace(match, rf"\A{_TITLE} ", ""), " ")
-    named = F.transform(words, lambda w, i: F.struct(F.concat(F.lit("name_"), F.when(i == F.size(words) - 1, "s").otherwise(gender)).alias("kind"), F.lower(w).alias("norm")))
+    title = F.regexp_extract(match, rf"\A({'|'.join(_MALE + _FEMALE + _EITHER)})\.? ", 1)
+    gender = F.when(title.isin(*_MALE), "m").when(title.isin(*_FEMALE), "f").otherwise("n")
+    words = F.filter(_words(match), _is_name)
+    named = F.transform(words, lambda w, i: F.struct(F.concat(F.lit("name_"), F.when((i > 0) | (F.size(words) == 1), "s").otherwise(gender)).alias("kind"), F.lower(w).alias("norm")))
+    named = F.when(title != "", named).otherwise(F.slice(named, 1, 0))
     return F.when(kind == "name", named).otherwise(F.array(F.struct(kind.alias("kind"), norm.alias("norm"))))
 
 
+def _mentions(text: Column) -> Column:
+    """A pattern of the name words that stand after titles in the text, in their usual cases; null if there are none."""
+    titled = F.filter(spans.matches(text, ENTITY), lambda m: m.rlike(rf"\A{_TITLE} "))
+    words = F.filter(F.flatten(F.transform(titled, _words)), lambda w: _is_name(w) & (F.length(w) > 1))
+    cased = F.array_distinct(F.flatten(F.transform(words, lambda w: F.array(w, F.upper(w), F.initcap(F.lower(w))))))
+    return F.when(F.size(cased) > 0, F.concat(F.lit(rf"{_FREE[0]}(?:"), F.array_join(cased, "|"), F.lit(r")(?![\p{L}\p{N}\p{M}])")))
+
+
+def _initials(word: Column, key: str) -> Column:
+    """The word with its capitals moved within their alphabet, by the key; capitals of other alphabets become the first letter."""
+    out = F.regexp_replace(word, rf"[\p{{Lu}}&&[^{''.join(_CAPITALS)}]]", "A")
+    for letters in _CAPITALS:
+        by = 1 + int(hashlib.sha256(f"{key}|initial|{letters}".encode()).hexdigest(), 16) % (len(letters) - 1)
+        out = F.translate(out, letters, letters[by:] + letters[:by])
+    return out
+
+
 def _cased(like: Column, core: Column) -> Column:
     return F.when((F.upper(like) == like) & (F.lower(like) != like) & (F.length(like) > 1), F.upper(core)).otherwise(core)
 
@@ -132,14 +182,18 @@ def _fill(match: Column, digits: Column) -> Column:
     return F.aggregate(F.split(match, ""), F.struct(F.lit("").alias("out"), F.lit(0).alias("n")), step, lambda acc: acc["out"])
 
 
-def _written_as(match: Column, cores: Column) -> Column:
-    """The surrogates of a match's entities in the match's own format."""
+def _written_as(match: Column, cores: Column, known: Column, key: str) -> Column:
+    """The surrogates of a match's entities in the match's own format; cores: those of the match, known: those of the text, of which mentions take theirs."""
     kind = _kind(match)
-    words = F.split(F.regexp_replace(match, rf"\A{_TITLE} ", ""), " ")
-    name = F.array_join(F.transform(words, lambda w, i: _cased(w, F.initcap(F.get(cores, i)))), " ")
+
+    def word(w: Column) -> Column:
+        of = lambda all_: F.get(F.filter(all_, lambda c: c["kind"].startswith("name") & (c["norm"] == F.lower(w))), F.lit(0))["surrogate"]
+        return F.when(_is_name(w), _cased(w, F.initcap(F.coalesce(of(cores), of(known))))).when(w.rlike(rf"\A{_PARTICLE}\z"), w).otherwise(_initials(w, key))
+
+    name, core = F.array_join(F.transform(_words(match), word), " "), F.get(cores, F.lit(0))["surrogate"]
     return (
-        F.when(kind == "name", F.concat(F.regexp_extract(match, rf"\A({_TITLE} )", 1), name)).when(kind == "email", _cased(match, F.get(cores, F.lit(0))))
-        .when(kind == "ip", F.get(cores, F.lit(0))).otherwise(_fill(match, F.get(cores, F.lit(0))))
+        F.when(kind == "name", F.concat(F.regexp_extract(match, rf"\A({_TITLE} )", 1), name)).when(kind == "email", _cased(match, core))
+        .when(kind == "ip", core).otherwise(_fill(match, core))
     )
 
 
@@ -178,17 +232,19 @@ def pseudonymise(docs: DataFrame, key: str = "weftline") -> DataFrame:
     kept = [c for c in docs.columns if c not in ("entities", "n_entities")]
     has = F.coalesce(docs["text"].rlike(ENTITY), F.lit(False))
     packed = F.struct(*(docs[f"`{c}`"].alias(c) for c in kept)).alias("doc")
-    hits = written(docs.where(has).select(packed, F.monotonically_increasing_id().alias("row")), "surrogate-hits")
-    match = spans.matches(F.col("doc.text"), ENTITY)
+    hits = written(docs.where(has).select(packed, F.monotonically_increasing_id().alias("row"), _mentions(docs["text"]).alias("mentions")), "surrogate-hits")
+    pattern = F.concat_ws("|", F.lit(ENTITY), F.col("mentions"))
+    match = spans.matches(F.col("doc.text"), pattern)
     found = hits.select("row", F.posexplode(match).alias("place", "match")).select("row", "place", F.posexplode(_parts(F.col("match"))).alias("part", "entity")).select("row", "place", "part", "entity.*")
     found = written(found, "surrogate-found")
     names = mapping(found.select("kind", "norm").distinct(), key)
     # a common entity is one row of the mapping and many of found: a join that Spark can split
-    cores = found.join(names, ["kind", "norm"]).groupBy("row").agg(F.collect_list(F.struct("place", "part", "surrogate", "kind")).alias("cores"))
-    joined = hits.join(cores, "row").select("doc", F.array_sort("cores").alias("cores"), match.alias("match"), spans.gaps(F.col("doc.text"), ENTITY).alias("gap"))
-    own = lambda i: F.transform(F.filter("cores", lambda c: c["place"] == i), lambda c: c["surrogate"])
-    joined = joined.select("doc", "gap", "match", F.transform("match", lambda m, i: F.struct(m.alias("m"), own(i).alias("cores"))).alias("each"), spans.starts(F.col("gap"), F.col("match")).alias("at"))
-    joined = joined.select("doc", "gap", "match", "at", F.transform("each", lambda e: _written_as(e["m"], e["cores"])).alias("new"))
+    cores = found.join(names, ["kind", "norm"]).groupBy("row").agg(F.collect_list(F.struct("place", "part", "surrogate", "kind", "norm")).alias("cores"))
+    # a text whose names are all initials has no cores
+    joined = hits.join(cores, "row", "left").select("doc", F.array_sort(F.coalesce("cores", F.array().cast(cores.schema["cores"].dataType))).alias("cores"), match.alias("match"), spans.gaps(F.col("doc.text"), pattern).alias("gap"))
+    own = lambda i: F.filter("cores", lambda c: c["place"] == i)
+    joined = joined.select("doc", "gap", "match", "cores", F.transform("match", lambda m, i: F.struct(m.alias("m"), own(i).alias("cores"))).alias("each"), spans.starts(F.col("gap"), F.col("match")).alias("at"))
+    joined = joined.select("doc", "gap", "match", "at", F.transform("each", lambda e: _written_as(e["m"], e["cores"], F.col("cores"), key)).alias("new"))
     text = F.concat(F.array_join(F.transform("new", lambda s, i: F.concat(F.get("gap", i), s)), ""), F.element_at("gap", -1))
     said = F.array_join(F.transform("match", lambda m, i: F.concat_ws(":", _kind(m), F.get("at", i).cast("string"), (F.get("at", i) + F.length(m)).cast("string"))), ",")
     changed = joined.select(*(text.alias("text") if c == "text" else F.col(f"doc.`{c}`").alias(c) for c in kept), said.alias("entities"), F.size("match").cast("long").alias("n_entities"))
