@@ -300,6 +300,18 @@ def test_whole_names_and_their_mentions_are_replaced(spark):
     assert got[7] == texts[7]
 
 
+def test_crowded_formats_have_a_surrogate_for_each(spark):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    entities = [("email", f"{a}{b}@mail.example.com") for a in letters for b in letters] + [("email", f"{a}@x.org") for a in letters]
+    got = surrogates.mapping(spark.createDataFrame(entities, "kind string, norm string"), "k").collect()
+    assert len(got) == len(entities) == len({(r.kind, r.surrogate) for r in got})
+    assert not {(r.kind, r.surrogate) for r in got} & set(entities)
+    # numbers get longer only after all attempts of their own length
+    numbers = spark.createDataFrame([(0, "12-34"), (40, "12-34")], "n int, m string")
+    core = surrogates.surrogate(F.lit("phone"), F.lit("1234"), F.col("n"), "k")
+    assert [len(r[0]) for r in numbers.select(surrogates._fill(F.col("m"), core)).collect()] == [5, 6]
+
+
 # ---- secrets
 BASE = [
     ("assign", re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A), lambda m: len(m[2]) >= 8),

@@ -13,6 +13,7 @@ by the least entity that has it, and the others try again with another attempt n
 from __future__ import annotations
 
 import hashlib
+import itertools
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -40,7 +41,8 @@ IBAN = rf"{_FREE[0]}[A-Z]{{2}}\d{{2}} ?(?:[A-Z]{{4}}|\d{{4}})(?: ?\d{{4}}){{2,6}
 NAME = rf"{_FREE[0]}{_TITLE}(?: (?:{_PARTICLE} ){{0,3}}(?:{_WORD}|{_INITIAL}))+"
 #: All of them: the first that matches at a place counts.
 ENTITY = "|".join((EMAIL, IP, CARD, SSN, PHONE, IBAN, NAME))
-ATTEMPTS = 40
+#: Attempts that keep an entity's length: of names and e-mail addresses, whose values are many once they are longer, and of numbers.
+SHORT, ATTEMPTS = 4, 40
 
 #: What invented names are made of, by script.
 _SYLLABLES = {
@@ -98,6 +100,7 @@ def surrogate(kind: Column, norm: Column, attempt: Column, key: str) -> Column:
     """The candidate of an entity: for numbers, all their digits; for addresses and names, the whole in lower case."""
     digest = F.sha2(F.concat_ws("|", F.lit(key), kind, attempt.cast("string"), norm), 256)
     own = F.regexp_replace(norm, "[^0-9]", "")
+    longer = F.floor(attempt / SHORT).cast("int")
     digits = F.translate(digest, "abcdef", "012345")
     prefix = F.when(kind == "card", F.left(own, F.lit(1))).when(kind == "phone", F.regexp_extract(norm, r"^\+(1|7|\d\d)", 1)).otherwise("")
     number = F.concat(prefix, F.substr(digits, F.lit(1), F.length(own) - F.length(prefix)))
@@ -106,22 +109,25 @@ def surrogate(kind: Column, norm: Column, attempt: Column, key: str) -> Column:
     card = F.when(_luhn(own) % 10 == 0, checked).otherwise(number)
     domain = F.substring_index(norm, "@", -1)
     by_domain = F.sha2(F.concat_ws("|", F.lit(key), F.lit("domain"), domain), 256)
-    email = F.concat(_letters(F.substring_index(norm, "@", 1), digest), F.lit("@"), _letters(F.regexp_replace(domain, r"\.[^.]+$", ""), by_domain), F.lit(".example"))
+    added = F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(longer, F.lit(1))), lambda i: _pick(digest, i + 15, tuple("abcdefghijklmnopqrstuvwxyz"))), "")
+    email = F.concat(_letters(F.substring_index(norm, "@", 1), digest), F.when(longer > 0, added).otherwise(""), F.lit("@"), _letters(F.regexp_replace(domain, r"\.[^.]+$", ""), by_domain), F.lit(".example"))
     address = F.concat_ws(".", *((_byte(digest, i) % 254 + 1).cast("string") for i in range(4)))
 
     def name(script: str) -> Column:
-        stem = F.array_join(F.transform(F.sequence(F.lit(1), F.floor(attempt / 4).cast("int") + 1), lambda i: _pick(digest, i.cast("int"), _SYLLABLES[script])), "")
+        stem = F.array_join(F.transform(F.sequence(F.lit(1), longer + 1), lambda i: _pick(digest, i.cast("int"), _SYLLABLES[script])), "")
         end = F.lit("")
         for part, endings in _ENDINGS.get(script, {}).items():
             end = F.when(kind == f"name_{part}", _pick(digest, 0, endings)).otherwise(end)
         return F.concat(stem, end)
 
+    # digits that _fill puts after the last one, where a format has too few values
+    over = F.when(attempt >= ATTEMPTS, F.substr(F.reverse(digits), F.lit(1), F.floor((attempt - ATTEMPTS) / SHORT).cast("int") + 1)).otherwise("")
     named = name("latin")
     for script in list(_SYLLABLES)[1:]:
         named = F.when(norm.rlike(rf"\p{{Is{script.capitalize()}}}"), name(script)).otherwise(named)
     return (
-        F.when(kind == "email", email).when(kind == "ip", address).when(kind == "card", card)
-        .when(kind.startswith("name"), named).otherwise(number)
+        F.when(kind == "email", email).when(kind == "ip", address).when(kind == "card", F.concat(card, over))
+        .when(kind.startswith("name"), named).otherwise(F.concat(number, over))
     )
 
 
@@ -177,9 +183,9 @@ def _cased(like: Column, core: Column) -> Column:
 
 
 def _fill(match: Column, digits: Column) -> Column:
-    """The match with its digits replaced in their order."""
+    """The match with its digits replaced in their order, and any digits that are left behind the last one."""
     step = lambda acc, c: F.when(c.rlike("[0-9]"), F.struct(F.concat(acc["out"], F.substr(digits, acc["n"] + 1, F.lit(1))).alias("out"), (acc["n"] + 1).alias("n"))).otherwise(F.struct(F.concat(acc["out"], c).alias("out"), acc["n"].alias("n")))
-    return F.aggregate(F.split(match, ""), F.struct(F.lit("").alias("out"), F.lit(0).alias("n")), step, lambda acc: acc["out"])
+    return F.aggregate(F.split(match, ""), F.struct(F.lit("").alias("out"), F.lit(0).alias("n")), step, lambda acc: F.concat(acc["out"], F.substr(digits, acc["n"] + 1, F.length(digits))))
 
 
 def _written_as(match: Column, cores: Column, known: Column, key: str) -> Column:
@@ -200,13 +206,14 @@ def _written_as(match: Column, cores: Column, known: Column, key: str) -> Column
 def mapping(entities: DataFrame, key: str) -> DataFrame:
     """entities(kind, norm), distinct, to (kind, norm, surrogate), each surrogate once and none of them an entity.
 
-    Where a format has too few values for so many entities, those that are left after ATTEMPTS tries keep their last candidate, shared or not.
+    It ends when every entity has a surrogate of its own. Later attempts are longer: those of names and e-mail addresses soon, those of numbers where ATTEMPTS of their own length
+    were all taken, as where a format has hardly more values than the corpus has entities.
     """
     # entities in the form in which candidates are made
     form = F.when(F.col("kind").isin("email", "ip") | F.col("kind").startswith("name"), F.col("norm")).otherwise(F.regexp_replace("norm", "[^0-9]", ""))
     real = written(entities.select("kind", "norm", form.alias("surrogate")), "surrogate-entities")
     open_, done = real.select("kind", "norm"), None
-    for attempt in range(ATTEMPTS):
+    for attempt in itertools.count():
         candidates = open_.withColumn("surrogate", surrogate(F.col("kind"), F.col("norm"), F.lit(attempt), key))
         free = candidates.join(real.select("kind", "surrogate"), ["kind", "surrogate"], "left_anti")
         if done is not None:
@@ -220,7 +227,6 @@ def mapping(entities: DataFrame, key: str) -> DataFrame:
         open_ = left
         if open_.isEmpty():
             return done
-    return done.unionByName(open_.withColumn("surrogate", surrogate(F.col("kind"), F.col("norm"), F.lit(ATTEMPTS - 1), key)))
 
 
 def pseudonymise(docs: DataFrame, key: str = "weftline") -> DataFrame:
