@@ -312,6 +312,20 @@ def test_crowded_formats_have_a_surrogate_for_each(spark):
     assert [len(r[0]) for r in numbers.select(surrogates._fill(F.col("m"), core)).collect()] == [5, 6]
 
 
+def test_ordinary_numbers_and_addresses_are_replaced(spark):
+    numbers = [
+        "+33 1 23 45 67 89", "01 23 45 67 89", "+49 30 12345678", "+4930123456", "030 12345678", "555-1234", "3782 822463 10005", "FR1420041010050500013M02606", "FR14 2004 1010 0505 0001 3M02 606",
+        "2001:db8:85a3:0:0:8a2e:370:7334", "2001:db8:85a3::8a2e:370:7334", "fe80::1",
+    ]
+    plain = ["std::vector and a::b", "at 12:30:45 on 2024-05-17", "about 3.14, 1,200 or 10 000 of them", "pages 12-34, version 1.2.3-4567"]
+    got = replaced(spark, [f"see {x}, please" for x in numbers] + plain)
+    for x, text in zip(numbers, got, strict=False):
+        assert re.fullmatch(r"see [0-9A-Fa-f:+ M\-FR]+, please", text) and x not in text, (x, text)
+    digits = lambda t: re.sub(r"\D", "", t)
+    assert digits(got[7]) == digits(got[8]) and got[9] == got[10]
+    assert got[len(numbers) :] == plain
+
+
 # ---- secrets
 BASE = [
     ("assign", re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A), lambda m: len(m[2]) >= 8),

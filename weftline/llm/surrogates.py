@@ -1,6 +1,6 @@
 """Surrogates for personal data. Column expressions and joins only.
 
-Detected entities are e-mail and IPv4 addresses, card, phone, social-security and bank account numbers, and names after a title. Each gets a replacement made from a keyed hash of its
+Detected entities are e-mail, IPv4 and IPv6 addresses, card, phone, social-security and bank account numbers, and names after a title. Each gets a replacement made from a keyed hash of its
 normal form: of the same type and format (digits for digits, the punctuation as it stood, a card's first digit and check digit, a phone's country code, a name's script, gender
 and case). Equal normal forms have equal surrogates in the whole corpus, however they are written; given names and surnames are entities of
 their own, so a person stays one person when only the surname is repeated. The first of several name words is the given name, the others are surnames; initials get other
@@ -33,14 +33,30 @@ _PARTICLE = "(?:van|von|vom|der|den|de|del|della|di|da|dos|das|do|du|la|le|el|al
 _INITIAL = r"\p{Lu}(?:\.(?:-?\p{Lu}\.)*|(?= \p{Lu}))"
 _WORD = r"(?:[\p{Lu}\p{Lt}][\p{L}\p{M}]*(?:['’-]\p{L}[\p{L}\p{M}]+)+|[\p{Lu}\p{Lt}][\p{L}\p{M}]+|[dl]['’]\p{Lu}[\p{L}\p{M}]+|\p{Lo}[\p{L}\p{M}]*)"
 EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
-IP = rf"(?<![\p{{L}}\p{{N}}.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\.?\p{{N}}|\p{{L}})"
-CARD = rf"{_FREE[0]}\d{{4}}(?:[ -]?\d{{4}}){{2}}[ -]?\d{{1,7}}{_FREE[1]}"
+IP4 = rf"(?<![\p{{L}}\p{{N}}.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\.?\p{{N}}|\p{{L}})"
+_H = "[0-9A-Fa-f]{1,4}"
+#: Whole, or with one gap; with a gap, a digit must be there, so that names of code such as a::b are none.
+IP6 = rf"(?<![\p{{L}}\p{{N}}:.])(?:(?:{_H}:){{7}}{_H}|(?=[A-Fa-f:]*\d)(?:{_H}(?::{_H}){{0,6}})?::(?:{_H}(?::{_H}){{0,6}})?)(?![\p{{L}}\p{{N}}:])"
+IP = f"{IP4}|{IP6}"
+CARD = rf"{_FREE[0]}(?:\d{{4}}(?:[ -]?\d{{4}}){{2}}[ -]?\d{{1,7}}|3[0-9]\d{{2}}[ -]?\d{{6}}[ -]?\d{{4,5}}){_FREE[1]}"
 SSN = rf"{_FREE[0]}\d{{3}}-\d{{2}}-\d{{4}}{_FREE[1]}"
 PHONE = rf"(?<![\p{{L}}\p{{N}}+])(?:\+\d{{1,3}}[ .-]?)?(?:\(\d{{2,4}}\)[ .-]?|\d{{2,4}}[ .-])\d{{3,4}}[ .-]\d{{3,4}}(?:[ .-]\d{{2,4}})?{_FREE[1]}|(?<![\p{{L}}\p{{N}}+])\+\d{{8,15}}{_FREE[1]}"
+_NO = r"(?<![\p{L}\p{N}+.,-])"
+#: Also after a country code in any grouping; in pairs; with an area code in front; and seven digits.
+PHONE += rf"|(?<![\p{{L}}\p{{N}}+])(?:\+|00)[1-9](?:[ .()/-]{{0,2}}\d){{7,14}}{_FREE[1]}|{_NO}0[1-9](?:[ .-]?\d{{2}}){{4}}{_FREE[1]}"
+PHONE += rf"|(?<![\p{{L}}\p{{N}}+.,-])\(?0[1-9]\d{{1,3}}\)?[ /-]{{1,2}}\d{{5,9}}{_FREE[1]}|{_NO}[2-9]\d{{2}}-\d{{4}}(?![\p{{L}}\p{{N}}]|-\d)"
 IBAN = rf"{_FREE[0]}[A-Z]{{2}}\d{{2}} ?(?:[A-Z]{{4}}|\d{{4}})(?: ?\d{{4}}){{2,6}}(?: ?\d{{1,3}})?{_FREE[1]}"
+#: The lengths, without country and check digits, of account numbers that may hold letters anywhere.
+_IBAN_LENGTHS = {
+    11: "NO", 12: "BE", 14: "DK|FI|FO|GL|NL", 15: "MK|SI", 16: "AT|BA|EE|KZ|LT|LU|XK", 17: "CH|CR|HR|LI|LV", 18: "BG|BH|DE|GB|GE|IE|ME|RS|VA", 19: "AE|GI|IL|IQ|TL", 20: "AD|CZ|ES|MD|PK|RO|SA|SE|SK|TN|VG",
+    21: "PT|ST", 22: "IS|TR", 23: "FR|IT|MC|MR|SM", 24: "AL|AZ|CY|DO|GT|HU|LB|PL|SV|BY", 25: "BR|EG|PS|QA|UA", 26: "JO|KW|MU", 27: "MT|SC",
+}
+_WHOLE = "|".join(rf"(?:{c})\d{{2}}(?: ?[A-Z0-9]){{{n}}}{_FREE[1]}(?! \d{{4}}(?!\d))" for n, c in _IBAN_LENGTHS.items())
+IBAN = rf"{_FREE[0]}(?:{_WHOLE})|{IBAN}"
 NAME = rf"{_FREE[0]}{_TITLE}(?: (?:{_PARTICLE} ){{0,3}}(?:{_WORD}|{_INITIAL}))+"
-#: All of them: the first that matches at a place counts.
-ENTITY = "|".join((EMAIL, IP, CARD, SSN, PHONE, IBAN, NAME))
+#: All of them: the first that matches at a place counts. What they begin with is looked at first, which decides nothing but saves most of the time.
+_NUMBER = "|".join((IP4, CARD, SSN, PHONE))
+ENTITY = rf"{EMAIL}|(?=[0-9+(])(?:{_NUMBER})|(?=[A-Z]{{2}}[0-9])(?:{IBAN})|(?=[0-9A-Fa-f]{{0,4}}:)(?:{IP6})|(?=[{''.join(sorted({t[0] for t in _MALE + _FEMALE + _EITHER}))}])(?:{NAME})"
 #: Attempts that keep an entity's length: of names and e-mail addresses, whose values are many once they are longer, and of numbers.
 SHORT, ATTEMPTS = 4, 40
 
@@ -113,6 +129,9 @@ def surrogate(kind: Column, norm: Column, attempt: Column, key: str) -> Column:
     email = F.concat(_letters(F.substring_index(norm, "@", 1), digest), F.when(longer > 0, added).otherwise(""), F.lit("@"), _letters(F.regexp_replace(domain, r"\.[^.]+$", ""), by_domain), F.lit(".example"))
     address = F.concat_ws(".", *((_byte(digest, i) % 254 + 1).cast("string") for i in range(4)))
 
+    groups = F.regexp_replace(F.left(digest, F.lit(32)), "(....)(?=.)", "$1:")
+    address = F.when(norm.contains(":"), groups).otherwise(address)
+
     def name(script: str) -> Column:
         stem = F.array_join(F.transform(F.sequence(F.lit(1), longer + 1), lambda i: _pick(digest, i.cast("int"), _SYLLABLES[script])), "")
         end = F.lit("")
@@ -152,7 +171,7 @@ def _is_name(word: Column) -> Column:
 def _parts(match: Column) -> Column:
     """The entities of a match: one, or a name's given name and surnames: kind, and norm. A name without a title is a mention of one with a title and has none of its own."""
     kind = _kind(match)
-    norm = F.when(kind == "phone", F.regexp_replace(match, "[^0-9+]", "")).when(kind.isin("card", "ssn", "iban"), F.upper(F.regexp_replace(match, "[ -]", ""))).otherwise(F.lower(match))
+    norm = F.when(kind == "phone", F.regexp_replace(match, "[^0-9+]", "")).when(kind.isin("card", "ssn", "iban"), F.upper(F.regexp_replace(match, "[ -]", ""))).when(kind == "ip", _address(match)).otherwise(F.lower(match))
     title = F.regexp_extract(match, rf"\A({'|'.join(_MALE + _FEMALE + _EITHER)})\.? ", 1)
     gender = F.when(title.isin(*_MALE), "m").when(title.isin(*_FEMALE), "f").otherwise("n")
     words = F.filter(_words(match), _is_name)
@@ -161,6 +180,14 @@ def _parts(match: Column) -> Column:
     return F.when(kind == "name", named).otherwise(F.array(F.struct(kind.alias("kind"), norm.alias("norm"))))
 
 
+def _address(match: Column) -> Column:
+    """An IP address in its normal form: that of version 6 with all its eight groups of four digits."""
+    sides = F.transform(F.split(F.lower(match), "::"), lambda s: F.filter(F.split(s, ":"), lambda g: g != ""))
+    left, right = F.get(sides, F.lit(0)), F.coalesce(F.get(sides, F.lit(1)), F.array().cast("array<string>"))
+    groups = F.concat(left, F.array_repeat(F.lit("0"), 8 - F.size(left) - F.size(right)), right)
+    return F.when(match.contains(":"), F.array_join(F.transform(groups, lambda g: F.lpad(g, 4, "0")), ":")).otherwise(match)
+
+
 def _mentions(text: Column) -> Column:
     """A pattern of the name words that stand after titles in the text, in their usual cases; null if there are none."""
     titled = F.filter(spans.matches(text, ENTITY), lambda m: m.rlike(rf"\A{_TITLE} "))
