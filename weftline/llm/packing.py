@@ -146,18 +146,22 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int) -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, part, seen = units.words(tokenizer), TaskContext.get().partitionId(), {}
-        end = np.array([end_id], "<u4").tobytes()
         for doc_ids, texts in units.batches(batches):
-            rows = []
-            for doc_id, ids in zip(doc_ids, own.encode(texts), strict=True):
-                ids += end
-                for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
-                    data = ids[at : at + 4 * capacity]
-                    length = len(data) // 4
-                    local = seen.get(length, 0)
-                    seen[length] = local + 1
-                    rows.append((doc_id, piece, at // 4, length, zlib.crc32(data), part, local))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), PIECES, strict=True)], schema=PIECES)
+            ids, each = own.encode_array(texts, end_id)
+            n = -(-each // capacity)  # pieces of each document
+            doc = np.repeat(np.arange(len(each)), n)
+            piece = np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)
+            start = piece * capacity
+            length = np.minimum(each[doc] - start, capacity)
+            data, places = memoryview(ids).cast("B"), ((np.cumsum(each) - each)[doc] + start) * 4
+            sums = [zlib.crc32(data[a : a + b]) for a, b in zip(places.tolist(), (length * 4).tolist(), strict=True)]
+            local = []
+            for k in length.tolist():
+                local.append(seen.get(k, 0))
+                seen[k] = local[-1] + 1
+            columns = (doc_ids.take(pa.array(doc)), piece, start, length, sums, np.full(len(doc), part), local)
+            yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t.type) for c, t in zip(columns, PIECES, strict=True)], schema=PIECES)
+        units.release()
 
     return written(docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text")).mapInArrow(run, PIECES_DDL), "packing-pieces")
 

@@ -59,6 +59,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def one_each(manifest: DataFrame) -> int:
+    """Partitions in which files are read: one for each row of their manifest, up to some rounds of tasks."""
+    spark = manifest.sparkSession
+    most = max(8 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
+    return min(max(1, manifest.count()), most)
+
+
 def drop_written(df: DataFrame) -> None:
     """Delete the files of a table made by written() that no plan needs any more."""
     remove_dir(df.sparkSession, df.weftline_path)

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.llm import units
-from weftline.llm.shared import fresh_dir, small_batches, written
+from weftline.llm.shared import fresh_dir, one_each, small_batches, written
 
 #: Fixed values of the coding: bits a value and values a word, by selector from 1.
 WIDTHS = (1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60)
@@ -112,7 +112,7 @@ def unpack(words: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def dump(doc_ids: list[int | None], lengths: list[int], ids: np.ndarray) -> bytes:
+def dump(doc_ids: list[int | None], lengths: list[int] | np.ndarray, ids: np.ndarray) -> bytes:
     """A file's bytes; ids are those of all documents, one after another."""
     parts, offsets, total = [], [], 0
     for a in range(0, len(ids), 256 * BLOCK_IDS):  # so many blocks that their arrays stay in a core's cache
@@ -170,30 +170,32 @@ def write_files(docs: DataFrame, tokenizer: str, end_id: int, folder: str) -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, part, file = units.spaced(tokenizer), TaskContext.get().partitionId(), 0
-        end = struct.pack("<I", end_id)
         store, root = pyarrow.fs.FileSystem.from_uri(folder)
         store.create_dir(root, recursive=True)
 
         def close(doc_ids: list, lengths: list, ids: list) -> pa.RecordBatch:
-            path = f"{root}/{part:06d}-{file:04d}-{uuid.uuid4().hex[:12]}.wtb"
+            path, counts = f"{root}/{part:06d}-{file:04d}-{uuid.uuid4().hex[:12]}.wtb", np.concatenate(lengths)
             with store.open_output_stream(path) as out:
-                out.write(dump(doc_ids, lengths, np.frombuffer(b"".join(ids), "<u4")))
-            return pa.RecordBatch.from_pydict({"part": [part], "file": [file], "path": [path], "n_docs": [len(doc_ids)], "n_ids": [sum(lengths)]}, schema=MANIFEST)
+                out.write(dump(doc_ids, counts, np.concatenate(ids)))
+            return pa.RecordBatch.from_pydict({"part": [part], "file": [file], "path": [path], "n_docs": [len(doc_ids)], "n_ids": [int(counts.sum())]}, schema=MANIFEST)
 
-        doc_ids, lengths, ids = [], [], []
+        doc_ids, lengths, ids, held = [], [], [], 0
         for some, texts in units.batches(batches):
-            for doc_id, found in zip(some, own.encode(texts), strict=True):
-                ids.append(found + end)
-                doc_ids.append(doc_id)
-                lengths.append(len(ids[-1]) // 4)
-            if sum(lengths) >= FILE_IDS:
+            found, each = own.encode_array(texts, end_id)
+            doc_ids += some.to_pylist()
+            lengths.append(each)
+            ids.append(found)
+            held += len(found)
+            if held >= FILE_IDS:
                 yield close(doc_ids, lengths, ids)
-                doc_ids, lengths, ids, file = [], [], [], file + 1
+                doc_ids, lengths, ids, held, file = [], [], [], 0, file + 1
         if doc_ids:
             yield close(doc_ids, lengths, ids)
+        units.release()
 
-    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"))
-    ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    # rows that share a doc_id, or have none, are dealt by their texts' hashes too: no id is one task's
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"), F.xxhash64(docs["text"]).alias("hash"))
+    ordered = rows.repartitionByRange("doc_id", "hash").sortWithinPartitions("doc_id", "hash", "text").select("doc_id", "text")
     return written(ordered.mapInArrow(run, "part long, file long, path string, n_docs long, n_ids long"), "tokenbin-manifest")
 
 
@@ -214,10 +216,12 @@ def read_files(manifest: DataFrame, folder: str) -> DataFrame:
                 sums = [zlib.crc32(ids[a:b].tobytes()) for a, b in zip(begins.tolist(), ends.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array(begins + base), pa.array(lengths.astype(np.int64)), pa.array(sums, pa.int64())], schema=READ)
 
-    # The manifest has a row a file, so one window over it is small: it grows by a row for every 16 million ids.
-    before = Window.orderBy("part", "file").rowsBetween(Window.unboundedPreceding, -1)
-    based = manifest.select("path", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("base"))
-    spread = based.repartition(max(1, manifest.count()), "path")
+    # The manifest has a row for every 4 million ids, and the window without partitions a row a part.
+    so_far = lambda window, what: F.coalesce(F.sum(what).over(window.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = manifest.groupBy("part").agg(F.sum("n_ids").alias("n")).select("part", so_far(Window.orderBy("part"), "n").alias("of_part"))
+    of_file = so_far(Window.partitionBy("part").orderBy("file"), "n_ids")
+    based = manifest.withColumn("of_file", of_file).join(parts, "part").select("path", (F.col("of_part") + F.col("of_file")).alias("base"))
+    spread = based.repartition(one_each(manifest), "path")
     return spread.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
@@ -225,7 +229,7 @@ def round_trip(docs: DataFrame, tokenizer: str, end_id: int = 0) -> DataFrame:
     """Write all documents to token files in the shared folder and read them back.
 
     Reads doc_id and text. Null text: no ids but the end id. Null doc_ids come first and stay null; rows that share a doc_id are in the order of
-    their texts. An empty table writes no file and gives no rows.
+    their texts' hashes, then of their texts. An empty table writes no file and gives no rows.
     """
     folder = fresh_dir(docs.sparkSession, "tokenbin")
     return read_files(write_files(docs, tokenizer, end_id, folder), folder)

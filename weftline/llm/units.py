@@ -1,178 +1,273 @@
 """Whole texts to token ids with the tokenizers library, through a cache of units.
 
-A unit is a stretch of text that no neighbour influences: the tokenizer's result for it alone is its part of the result for the text. The ids of a
-unit are kept as the bytes of little-endian unsigned 32-bit integers, so a text's ids are one join.
+A unit is a stretch of text that no neighbour influences: the tokenizer's result for it alone is its part of the result for the text. Texts are cut into
+units, distinct units are found and looked up, and ids are gathered as arrays; Python looks only at units that are new. New units are encoded many at
+once, as one text that is cut at border tokens. The cache is three arrays and a column of strings, bounded in bytes; the units used last stay.
 """
 
 from __future__ import annotations
 
+import ctypes
 import functools
 import os
 from collections.abc import Iterator
-from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from tokenizers import Tokenizer
 
-#: Entries of a worker's cache, at some 200 bytes each, and the longest unit that is kept there.
-CACHE_ENTRIES, CACHE_CHARS = 800_000, 48
-#: Characters of texts that are encoded at once, about: the more, the fewer units are looked at twice.
-BATCH_CHARS = 6_000_000
+#: Bytes of a worker's cache, and the longest unit that stays there.
+CACHE_BYTES, CACHE_CHARS = 16 << 20, 48
+#: Bytes of texts that are looked up at once, about, and new units that are encoded as one text.
+BATCH_BYTES, JOINED = 2_000_000, 4096
 
+Encoded = tuple[np.ndarray, np.ndarray]
+
+
+def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, pa.Array]]:
+    """(doc_ids, texts) of record batches (doc_id, text), put together to BATCH_BYTES at most, but for a longer text alone; a null text is an empty one."""
+    ids, texts, held = [], [], 0
+
+    def out() -> tuple[pa.Array, pa.Array]:
+        return pa.concat_arrays(ids), pa.concat_arrays(texts)
 
-def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[str]]]:
-    """(doc_ids, texts) of record batches (doc_id, text), put together to BATCH_CHARS at most, but for a longer text alone; a null text is an empty one."""
-    ids, texts, chars = [], [], 0
     for batch in rows:
-        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            if texts and chars + len(text or "") > BATCH_CHARS:
-                yield ids, texts
-                ids, texts, chars = [], [], 0
-            ids.append(doc_id)
-            texts.append(text or "")
-            chars += len(texts[-1])
-    if texts:
-        yield ids, texts
+        column = pc.fill_null(batch.column(1).cast(pa.string()), "")
+        sizes, at = pc.binary_length(column).to_numpy(zero_copy_only=False).tolist(), 0
+        for row, size in enumerate(sizes):
+            if held and held + size > BATCH_BYTES:
+                ids.append(batch.column(0).slice(at, row - at))
+                texts.append(column.slice(at, row - at))
+                yield out()
+                ids, texts, held, at = [], [], 0, row
+            held += size
+        ids.append(batch.column(0).slice(at))
+        texts.append(column.slice(at))
+    if sum(map(len, ids)):
+        yield out()
+
+
+def release() -> None:
+    """Give what a task's batches took back to the system: workers wait for other tasks with what they hold."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def _gather(pool: np.ndarray, start: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """pool[start : start + count] of each, one after another."""
+    ends = np.cumsum(count, dtype=np.int64)
+    at = np.repeat(start - ends + count, count)
+    at += np.arange(len(at))
+    return pool[at]
 
 
 class _Units:
-    """Encoded units, in the order in which they were first met."""
+    """The cache: words, and for each the place and number of its ids in the pool (a count of -1: not a unit), and the turn that it was last used in."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict = {}
-
-    def run(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in found]
-
-    def run_joined(self, units: list[str], ends: np.ndarray, space: str = " ") -> list[bytes]:
-        """The ids of units of letters only, encoded as one text; ends tells for an id whether a unit ends before it (begin) or with it.
-
-        Each such unit has exactly one border token. Should the count differ, the units are encoded one by one.
-        """
-        if not units:
-            return []
-        ids = np.array(self.tokenizer.encode_batch_fast([space + space.join(units)], add_special_tokens=False)[0].ids, "<u4")
-        at = np.flatnonzero(ends[ids])
-        if len(at) != len(units):
-            return self.run([self.alone(unit) for unit in units])
-        at, data = (at * 4).tolist(), ids.tobytes()
-        cuts = [*at, len(data)] if self.begins else [0, *(x + 4 for x in at)]
-        return [data[x:y] for x, y in zip(cuts, cuts[1:], strict=False)]
-
-    def lacking(self, wanted: set) -> set:
-        """Those of wanted that must be encoded."""
-        return wanted.difference(self.known)
-
-    def forget(self, new) -> None:
-        """Long units go at once; when there are too many, the older half goes, and what is common soon comes back."""
-        for key in new:
-            if len(key) > CACHE_CHARS:
-                self.known.pop(key, None)
-        if len(self.known) > CACHE_ENTRIES:
-            for key in list(islice(self.known, len(self.known) // 2)):
-                del self.known[key]
+        self.kind = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
+        self.words, self.pool = pa.array([], pa.string()), np.zeros(0, self.kind)
+        self.start, self.count, self.used, self.turn = np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32), 0
+
+    def run(self, texts: list[str]) -> Encoded:
+        """The ids of all texts, one after another, and how many each has."""
+        found = [np.array(e.ids, self.kind) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
+        return np.concatenate([np.zeros(0, self.kind), *found]), np.array([len(x) for x in found], np.int32)
+
+    def run_joined(self, units: list[str], before: str, after: str, border: np.ndarray, borders: int = 1) -> Encoded:
+        """Like run, for units that are encoded as one text, JOINED at once, in which each has so many border tokens; should the count differ, one by one."""
+        parts = [self.run([])]
+        for a in range(0, len(units), JOINED):
+            some = units[a : a + JOINED]
+            joined = before + (after + before).join(some) + after
+            ids = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, self.kind)
+            at = np.flatnonzero(border[ids])
+            if len(at) != borders * len(some):
+                parts.append(self.run(list(map(self.alone, some))))
+            elif self.begins:
+                parts.append((ids, np.diff(at, append=len(ids)).astype(np.int32)))
+            else:
+                parts.append((ids, np.diff(at[borders - 1 :: borders] + 1, prepend=0).astype(np.int32)))
+        ids, counts = zip(*parts, strict=True)
+        return np.concatenate(ids), np.concatenate(counts)
+
+    def look_up(self, distinct: pa.Array) -> Encoded:
+        """Where the ids of each unit are in the pool, and how many; what is new is encoded and kept."""
+        self.turn += 1
+        found = pc.index_in(distinct, value_set=self.words)
+        new = found.is_null()
+        at = found.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+        lacking = distinct.filter(new)
+        if len(lacking):
+            words = lacking.to_pylist()
+            start, count = np.zeros(len(words), np.int64), np.full(len(words), -1, np.int32)
+            parts = [self.pool]
+            for places, (ids, counts) in self.encode_new(words):
+                start[places] = sum(map(len, parts)) + np.cumsum(counts, dtype=np.int64) - counts
+                count[places] = counts
+                parts.append(ids)
+            at[at < 0] = len(self.words) + np.arange(len(words))
+            self.words, self.pool = pa.concat_arrays([self.words, lacking]), np.concatenate(parts)
+            self.start, self.count = np.concatenate((self.start, start)), np.concatenate((self.count, count))
+            self.used = np.concatenate((self.used, np.zeros(len(words), np.int32)))
+        self.used[at] = self.turn
+        return self.start[at], self.count[at]
+
+    def forget(self) -> None:
+        """When the cache is over its bytes: long units go, then the ones that were used least lately, down to half of them."""
+        size = self.words.nbytes + self.pool.nbytes + 16 * len(self.words)
+        if size <= CACHE_BYTES:
+            return
+        keep = pc.utf8_length(self.words).to_numpy(zero_copy_only=False) <= CACHE_CHARS
+        each = pc.binary_length(self.words).to_numpy(zero_copy_only=False) + self.pool.itemsize * np.maximum(self.count, 0) + 20
+        latest = np.argsort(-self.used, kind="stable")
+        keep[latest[np.cumsum(each[latest] * keep[latest]) > CACHE_BYTES // 2]] = False
+        self.words = self.words.filter(pa.array(keep))
+        self.count, self.used = self.count[keep], self.used[keep]
+        held = np.maximum(self.count, 0)
+        self.pool = _gather(self.pool, self.start[keep], held)
+        self.start = np.cumsum(held, dtype=np.int64) - held
+
+    def encode_array(self, texts: pa.Array, end_id: int | None = None) -> Encoded:
+        """The ids of all texts one after another, as encode(text, add_special_tokens=False) gives them, and how many each has; with an end id behind each."""
+        cut = self.split(texts)
+        offsets = cut.offsets.to_numpy().astype(np.int64)
+        coded = cut.flatten().dictionary_encode()
+        start, count = self.look_up(coded.dictionary)
+        index = coded.indices.to_numpy(zero_copy_only=False)
+        start, count = start[index], count[index]
+        odd = np.zeros(len(texts), bool)
+        if len(count) and count.min() < 0:
+            odd = np.diff(np.concatenate(([0], np.cumsum(count < 0)))[offsets]) > 0
+            count[np.repeat(odd, np.diff(offsets))] = 0
+        start, count = self.trim(start, count, offsets)
+        ids = _gather(self.pool, start, count)
+        each = np.diff(np.concatenate(([0], np.cumsum(count, dtype=np.int64)))[offsets])
+        if odd.any():
+            whole, counts = self.run(texts.filter(pa.array(odd)).to_pylist())
+            each[odd] = counts
+            mixed = np.empty(int(each.sum()), self.kind)
+            from_whole = np.repeat(odd, each)
+            mixed[from_whole], mixed[~from_whole] = whole, ids
+            ids = mixed
+        self.forget()
+        if end_id is None:
+            return ids.astype("<u4"), each
+        out = np.empty(len(ids) + len(each), "<u4")
+        body, ends = np.ones(len(out), bool), np.cumsum(each + 1) - 1
+        body[ends] = False
+        out[body], out[ends] = ids, end_id
+        return out, each + 1
+
+    def encode(self, texts: list[str]) -> Iterator[bytes]:
+        """The ids of each text as the bytes of little-endian unsigned 32-bit integers."""
+        ids, each = self.encode_array(pa.array(texts, pa.string()))
+        ends = np.cumsum(each).tolist()
+        for a, b in zip([0, *ends], ends, strict=False):
+            yield ids[a:b].tobytes()
+
+    def trim(self, start: np.ndarray, count: np.ndarray, offsets: np.ndarray) -> Encoded:
+        return start, count
 
 
 class SpacedUnits(_Units):
     """For byte-level files, where a space belongs to the word after it: units begin at each single space and at each single line end between two other
-    characters. A unit's space is not part of its key; a line end is.
+    characters. A unit's space is not part of its key; a line end is. A text's first unit is looked up as if a line end stood before it, whose id is dropped.
 
-    Texts with white space elsewhere (at an edge, several in a row) are encoded as a whole. Of a new unit that is letters and a sign, the letters are looked up.
+    Texts with white space elsewhere (at an edge, several in a row) are encoded as a whole.
     """
 
     begins = True
     _edges = regex.compile(r"\A\n?+[\s\x1c-\x1f]|[\s\x1c-\x1f]\Z")
-    _signs = frozenset(".,;:!?")
+    _blank = regex.compile(r"[\s\x1c-\x1f]")
 
     def __init__(self, path: str):
         super().__init__(path)
-        self.first = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)
-        for token, i in self.tokenizer.get_vocab().items():
-            self.first[i] = token.startswith("\u0120")  # the byte-level sign for a space
-        self.sign = dict(zip(self._signs, self.run(list(self._signs)), strict=True))
-        self.line = np.zeros_like(self.first)
-        self.line[self.tokenizer.get_vocab()["\u010a"]] = True  # the byte-level sign for a line end
+        vocab = self.tokenizer.get_vocab()
+        self.first, self.line = np.zeros(self.tokenizer.get_vocab_size() + 1, bool), np.zeros(self.tokenizer.get_vocab_size() + 1, bool)
+        self.first[[i for token, i in vocab.items() if token.startswith("Ġ")]] = True  # the byte-level sign for a space
+        self.line[vocab["Ċ"]] = True  # the byte-level sign for a line end
 
     def alone(self, unit: str) -> str:
         return unit if unit[0] == "\n" else " " + unit
 
-    def encode(self, texts: list[str]) -> Iterator[bytes]:
-        """The ids of each text of a batch, as encode(text, add_special_tokens=False) gives them."""
-        split = [text.replace("\n", " \n").split(" ") for text in texts]
-        new = self.lacking(set().union(*(units[1:] for units in split)))
-        odd = {unit for unit in new if not unit or self._edges.search(unit)}
-        whole = {i for i, units in enumerate(split) if not units[0] or self._edges.search(units[0]) or (odd and not odd.isdisjoint(units))}
-        new -= odd
-        plain, lines, signed, others = [], [], [], []
-        for unit in new:
+    def split(self, texts: pa.Array) -> pa.ListArray:
+        lines = pc.replace_substring(texts, "\n", " \n")
+        return pc.split_pattern(pc.binary_join_element_wise("\n", lines, ""), " ")
+
+    def trim(self, start: np.ndarray, count: np.ndarray, offsets: np.ndarray) -> Encoded:
+        """Without the line end before each text; texts that are encoded as a whole have none."""
+        first = offsets[:-1][count[offsets[:-1]] > 0]
+        start[first] += 1
+        count[first] -= 1
+        return start, count
+
+    def encode_new(self, words: list[str]) -> Iterator[tuple[list[int], Encoded]]:
+        plain, lines, others = [], [], []
+        for i, unit in enumerate(words):
             if unit.isalpha():
-                plain.append(unit)
-            elif unit[-1] in self._signs and (unit[1:-1] if unit[0] == "\n" else unit[:-1]).isalpha():
-                signed.append(unit)
-            elif unit[0] == "\n" and unit[1:].isalpha():
-                lines.append(unit)
+                plain.append(i)
+            elif not unit or self._edges.search(unit):
+                continue  # not a unit
+            elif self._blank.search(unit, 1):
+                others.append(i)
             else:
-                others.append(unit)
-        cores = list(self.lacking({unit[:-1] for unit in signed}).difference(plain, lines))
-        for unit in cores:
-            (lines if unit[0] == "\n" else plain).append(unit)
-        self.known.update(zip(plain, self.run_joined(plain, self.first), strict=True))
-        self.known.update(zip(lines, self.run_joined(lines, self.line, ""), strict=True))
-        firsts = [texts[i] if i in whole else units[0] for i, units in enumerate(split)]
-        found = self.run([*map(self.alone, others), *firsts])
-        self.known.update(zip(others, found, strict=False))
-        known = self.known.__getitem__
-        self.known.update([(unit, known(unit[:-1]) + self.sign[unit[-1]]) for unit in signed])
-        for i, (units, first) in enumerate(zip(split, found[len(others) :], strict=True)):
-            yield first if i in whole else first + b"".join(map(known, units[1:]))
-        self.forget([*new, *cores])
+                (lines if unit[0] == "\n" else plain).append(i)
+        for places, border, space in ((plain, self.first, " "), (lines, self.line, "")):
+            own = [words[i] for i in places]
+            yield places, self.run_joined(own, space, "", border)
+        yield others, self.run([self.alone(words[i]) for i in others])
 
 
 class WordUnits(_Units):
-    """For files that drop white space: units are what stands between ASCII white space. A sign after letters is looked up apart."""
+    """For files that drop white space: units are what stands between ASCII white space."""
 
     begins = False
     _signs = frozenset(".,;:!?")
 
     def __init__(self, path: str):
         super().__init__(path)
-        self.last = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)
-        for token, i in self.tokenizer.get_vocab().items():
-            self.last[i] = token.endswith("</w>")
+        vocab = self.tokenizer.get_vocab()
+        self.last, self.mark = np.zeros(self.tokenizer.get_vocab_size() + 1, bool), np.zeros(self.tokenizer.get_vocab_size() + 1, bool)
+        self.last[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
+        # stands between units whose border tokens are not known before: the rarest word that is one token
+        words = ((i, t[:-4]) for t, i in vocab.items() if t.endswith("</w>") and len(t) > 9 and t[:-4].isascii() and t[:-4].isalpha())
+        self.mark_word = next(w for _, w in sorted(words, reverse=True) if len(self.run([w])[0]) == 1)
+        self.mark[self.run([self.mark_word])[0][0]] = True
 
     def alone(self, unit: str) -> str:
         return unit
 
-    def encode(self, texts: list[str]) -> Iterator[bytes]:
-        """The ids of each text of a batch, as encode(text, add_special_tokens=False) gives them."""
-        split = [text.encode().split() for text in texts]
-        new = self.lacking(set(chain.from_iterable(split)))
-        plain, signed, others = {}, {}, {}
-        for key in new:
-            unit = key.decode()
+    def split(self, texts: pa.Array) -> pa.ListArray:
+        return pc.ascii_split_whitespace(texts)
+
+    def encode_new(self, words: list[str]) -> Iterator[tuple[list[int], Encoded]]:
+        plain, signed, mixed, others = [], [], [], []
+        for i, unit in enumerate(words):
             low = unit.lower()  # of one letter (U+0130) it is a letter and a mark
             if low.isalpha():
-                plain[key] = unit
+                plain.append(i)
+            elif not unit or self.mark_word in low:
+                others.append(i)
             elif unit[-1] in self._signs and low[:-1].isalpha():
-                signed[key] = unit
+                signed.append(i)
             else:
-                others[key] = unit
-        # a core or a sign may be new itself
-        for key in self.lacking({key[:-1] for key in signed} | {sign.encode() for sign in self._signs}):
-            (plain if len(key) > 1 or key.isalpha() else others).setdefault(key, key.decode())
-        self.known.update(zip(plain, self.run_joined(list(plain.values()), self.last), strict=True))
-        self.known.update(zip(others, self.run(list(others.values())), strict=True))
-        known = self.known.__getitem__
-        for key in signed:
-            self.known[key] = known(key[:-1]) + known(key[-1:])
-        for units in split:
-            yield b"".join(map(known, units))
-        self.forget([*plain, *signed, *others])
+                mixed.append(i)
+        for places, borders in ((plain, 1), (signed, 2)):
+            yield places, self.run_joined([words[i] for i in places], "", " ", self.last, borders)
+        ids, counts = self.run_joined([words[i] for i in mixed], "", f" {self.mark_word} ", self.mark)
+        marks = self.mark[ids]  # none where units were encoded one by one
+        ends = np.cumsum(counts)
+        counts = counts - np.diff(np.concatenate(([0], np.cumsum(marks)))[ends], prepend=0)
+        yield mixed, (ids[~marks], counts.astype(np.int32))
+        yield others, self.run([words[i] for i in others])
 
 
 @functools.lru_cache(maxsize=2)

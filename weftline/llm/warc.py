@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.shared import fresh_dir, small_batches, written
+from weftline.llm.shared import fresh_dir, one_each, small_batches, written
 
 #: Fixed values of the format.
 DICTIONARY_MAGIC, FRAME_MAGIC = 0x184D2A5D, b"\x28\xb5\x2f\xfd"
@@ -213,7 +213,7 @@ def read_pages(manifest: DataFrame, folder: str) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), PAGES, strict=True)], schema=PAGES)
 
-    spread = manifest.repartition(max(1, manifest.count()), "path")  # an archive is read by one task
+    spread = manifest.repartition(one_each(manifest), "path")  # an archive is read by one task
     return spread.mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
