@@ -10,6 +10,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import regex
 import xxhash
 from pyspark.sql import functions as F
 
@@ -326,6 +327,70 @@ def test_ordinary_numbers_and_addresses_are_replaced(spark):
     assert got[len(numbers) :] == plain
 
 
+def iban_is_valid(text):
+    text = text.replace(" ", "")
+    return int("".join(str(int(c, 36)) for c in text[4:] + text[:4])) % 97 == 1
+
+
+def test_surrogates_are_of_the_same_type(spark):
+    texts = [
+        "Dr. Anna Smith met Frau Anna Smith, and Anna left", "DE89370400440532013000 or DE89 3704 0044 0532 0130 00, GB82WEST12345698765432", "10.0.0.1 192.168.1.5 172.20.1.1 127.0.0.1 8.8.8.8 fe80::1",
+        " ".join(f"{100 + i}-45-6789" for i in range(300)), "иван@mail.ru", "Herr Drews und Herr Anna Meier",
+    ]
+    got = replaced(spark, texts)
+    first, last, again, surname, mention = re.fullmatch(r"Dr\. (\w+) (\w+) met Frau (\w+) (\w+), and (\w+) left", got[0]).groups()
+    assert first == again == mention != "Anna" and last == surname
+    a, b, c = re.findall(r"[A-Z]{2}\d\d[\dA-Z ]+\b", got[1].replace(" or", ",or"))
+    assert all(map(iban_is_valid, (a, b, c))) and a == b.replace(" ", "") and c[:2] == "GB" and c[4:8] == "WEST" and a != texts[1][:22]
+    ips = got[2].split()
+    assert [x.split(".")[0] for x in ips[:4]] == ["10", "192", "172", "127"] and ips[1].startswith("192.168.") and 16 <= int(ips[2].split(".")[1]) < 32
+    assert 11 <= int(ips[4].split(".")[0]) < 100 and ips[5].startswith("fe80:") and not set(ips) & set(texts[2].split())
+    areas = [x.split("-") for x in got[3].split()]
+    assert all(x not in ("000", "666") and x < "900" and y != "00" and z != "0000" for x, y, z in areas) and len(set(map(tuple, areas))) == 300
+    assert re.fullmatch(r"[а-я]{4}@[a-z]+\.example", got[4])
+    assert re.fullmatch(rf"Herr \w+ und Herr {first} \w+", got[5]) and "Drews" not in got[5]
+
+
+def test_names_are_no_surrogates_of_other_kinds(spark):
+    entities = [("name_s", a + b + "ren") for a in surrogates._SYLLABLES["latin"] for b in ("", "ba")] + [("name_n", f"x{i}") for i in range(300)]
+    got = surrogates.mapping(spark.createDataFrame(entities, "kind string, norm string"), "k").collect()
+    assert len(got) == len({r.surrogate for r in got}) == len(entities) and not {r.surrogate for r in got} & {n for _, n in entities}
+
+
+def test_long_texts_of_one_kind_end(spark):
+    texts = [
+        "x@a." + "a." * 12_000 + "a", "Mr " + " ".join("Aa" + "b" * (i % 7) for i in range(4000)), "Mr " + "A." * 9000 + " Smith", " ".join(["Dr"] * 9000) + " Smith", "Mr A" + "-bb" * 9000,
+        " ".join(f"u{i}@x{i % 9}.org" for i in range(8000)),
+    ]
+    got = replaced(spark, texts)
+    assert "Smith" not in got[2] + got[3] and len(got[1].split()) == 4001 and "u17@" not in got[5] and len(set(got[5].split())) == 8000
+
+
+def test_surrogates_of_whole_documents_against_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    before = {r.doc_id: r.text or "" for r in docs.collect()}
+    got = {r.doc_id: r for r in surrogates.pseudonymise(docs, "k").collect()}
+    assert set(got) == set(before)
+    title, word, new_of, old_of, n = regex.compile(rf"\A{surrogates._TITLE} "), regex.compile(rf"\A(?:\p{{Lu}}(?:\.(?:-?\p{{Lu}}\.)*+)?|{surrogates._PARTICLE})\Z"), {}, {}, 0
+    for i, text in before.items():
+        names = [w for m in regex.findall(f"({surrogates.ENTITY})", text) if title.match(m) for w in title.sub("", m).split(" ") if not word.match(w) and len(w) > 1]
+        cased = [regex.escape(x) for w in names for x in (w, w.upper(), w.capitalize())]
+        pattern = surrogates.ENTITY + (rf"|(?<![\p{{L}}\p{{N}}])(?:{'|'.join(dict.fromkeys(cased))})(?![\p{{L}}\p{{N}}\p{{M}}])" if cased else "")
+        found = list(regex.finditer(pattern, text))
+        assert [x.split(":")[1:] for x in got[i].entities.split(",") if x] == [[str(m.start()), str(m.end())] for m in found] and got[i].n_entities == len(found)
+        # what stands between the entities is as it was; an entity has one surrogate, and each its own
+        gaps = [text[a:b] for a, b in zip([0, *(m.end() for m in found)], [*(m.start() for m in found), len(text)], strict=True)]
+        rest = regex.fullmatch("(.+?)".join(map(regex.escape, gaps)), got[i].text, regex.S)
+        assert rest, i
+        for m, new, said in zip(found, rest.groups(), got[i].entities.split(","), strict=False):
+            kind, n = said.split(":")[0], n + 1
+            if kind == "name":
+                continue
+            old, new = ((regex.sub("[ .()/-]", "", x) if kind not in ("email", "ip") else x).lower() for x in (m[0], new))
+            assert old != new and new_of.setdefault((kind, old), new) == new and old_of.setdefault((kind, new), old) == old
+    assert n > 20
+
+
 # ---- secrets
 BASE = [
     ("assign", re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A), lambda m: len(m[2]) >= 8),

@@ -20,18 +20,21 @@ def gaps(text: Column, pattern: str | Column) -> Column:
     return F.split(text, pattern, -1)
 
 
-def starts(gap: Column, match: Column) -> Column:
-    """The code point at which each match starts."""
-    steps = F.transform(match, lambda m, i: F.struct(F.length(F.get(gap, i)).alias("gap"), F.length(m).alias("match")))
-    # acc: the places so far, and where the last match ends
-    zero = F.struct(F.array().cast("array<int>").alias("at"), F.lit(0).alias("end"))
+def running(values: Column) -> Column:
+    """The sums of an array of whole numbers up to each place. Each step adds what lies 1, 2, 4, ... places before, so n places take log n passes."""
+    steps = F.sequence(F.lit(0), F.ceil(F.log2(F.greatest(F.size(values), F.lit(1)))).cast("int"))
     return F.aggregate(
-        steps, zero,
-        lambda acc, s: F.struct(F.concat(acc["at"], F.array(acc["end"] + s["gap"])).alias("at"), (acc["end"] + s["gap"] + s["match"]).alias("end")),
-        lambda acc: acc["at"],
+        steps, F.transform(values, lambda v: v.cast("long")),
+        lambda acc, k: F.transform(acc, lambda v, i: v + F.coalesce(F.get(acc, i - F.call_function("shiftleft", F.lit(1), k)), F.lit(0).cast("long"))),
     )
 
 
+def starts(gap: Column, match: Column) -> Column:
+    """The code point at which each match starts."""
+    ends = running(F.zip_with(F.slice(gap, 1, F.size(match)), match, lambda g, m: F.length(g) + F.length(m)))
+    return F.zip_with(ends, match, lambda e, m: (e - F.length(m)).cast("int"))
+
+
 def where_found(text: Column, pattern: str, value: Column) -> Column:
     """value where the text has a match; it is not evaluated for the others, whose array is empty."""
     return F.when(text.rlike(pattern), value)
