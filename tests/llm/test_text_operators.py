@@ -187,6 +187,15 @@ def test_forest_keeps_good_and_rejects_junk(spark):
     assert {r.doc_id for r in rules.keep(wide, labels).collect()} == kept
 
 
+def test_repeated_ids_and_labels_do_not_depend_on_order(spark):
+    texts = ["plain words " * 30 + str(i) for i in range(8)]
+    docs = spark.createDataFrame([(i % 4, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i % 4, i % 2) for i in range(12)] + [(1, 0), (None, 1)], "doc_id long, quality int")
+    found = [rules.labelled_rates(d, x, 3) for d, x in ((docs.repartition(5), labels.repartition(3)), (docs.coalesce(1), labels.coalesce(1)))]
+    (a, b), (c, d) = ([sorted(map(tuple, r)), sorted(g.tolist())] for r, g in found)
+    assert a == c and b == d and len(a) <= 3
+
+
 def test_capitals_count_in_every_script_whatever_the_text_begins_with():
     at = rules.RATES.index("upper_rate")
     for shout in ("ПРИВЕТ МИР ", "ΓΕΙΑ ΣΟΥ ", "ÉÀÜÖÄ ÇÑ ", "LOUD TEXT "):

@@ -168,18 +168,20 @@ def fit(rates: np.ndarray, good: np.ndarray) -> Forest | None:
 def labelled_rates(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> tuple[np.ndarray, np.ndarray]:
     """RATES and quality of at most so many labelled documents: those of the smallest hash of doc_id."""
     small_batches(docs.sparkSession)
-    known = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").alias("quality"))
-    chosen = known.dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    known = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"))
+    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"))
     joined = texts.join(F.broadcast(chosen), "doc_id")  # rows of two numbers, as many as the limit at most
-    schema = pa.schema([("quality", pa.int64()), ("base", pa.bool_()), ("rates", pa.list_(pa.float64()))])
+    schema = pa.schema([("quality", pa.int64()), ("base", pa.bool_()), ("rates", pa.list_(pa.float64())), ("doc_id", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [statistics(t or "") for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(1).cast(pa.int64()), pa.array([base_failed(c) for c, _ in found]), pa.array([r for _, r in found], schema.field(2).type)], schema=schema)
+            yield pa.RecordBatch.from_arrays([batch.column(1).cast(pa.int64()), pa.array([base_failed(c) for c, _ in found]), pa.array([r for _, r in found], schema.field(2).type), batch.column(2)], schema=schema)
 
-    got = joined.select("text", "quality").mapInArrow(run, "quality long, base boolean, rates array<double>").where("NOT base").select("quality", "rates").limit(2 * rows).toArrow()
+    # of rows that share a doc_id, the one of least rates: a row for each chosen id at most
+    found = joined.select("text", "quality", "doc_id").mapInArrow(run, "quality long, base boolean, rates array<double>, doc_id long").where("NOT base")
+    got = found.groupBy("doc_id").agg(F.min(F.struct("rates", "quality")).alias("one")).select("one.quality", "one.rates").toArrow()
     rates = np.array(got.column("rates").to_pylist(), float).reshape(-1, len(RATES))
     return rates, got.column("quality").to_numpy() == 1
 
