@@ -53,6 +53,47 @@ def test_changed_weights_move_rows_only_at_the_changed_subtree(spark):
         grown = more
 
 
+def slow_shard(key, shards):
+    """The descent written apart from the operator: weighted draws by region, rack and shard, again while a shard isn't there yet; later shards against all."""
+    def value(name):
+        return np.log((int(hashlib.md5(f"{name}/{key}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52)
+
+    def descend(again):
+        region = max(range(3), key=lambda r: value(f"{again}region{r}") / 8)
+        rack = max(range(2), key=lambda k: value(f"{again}rack{region}.{k}") / 4)
+        first = region * 8 + rack * 4
+        return max(range(first, first + 4), key=lambda s: value(f"{again}shard{s}"))
+
+    tries = [descend("" if t == 0 else f"{t}/") for t in range(1 if shards >= 24 else sharding.TRIES)]
+    core = next((s for s in tries if s < shards), None)
+    if core is None:
+        core = max(range(min(24, shards)), key=lambda s: value(f"last/shard{s}"))
+    if shards <= 24:
+        return core
+    best = max([(value(f"region{r}") / 8, None) for r in range(3)] + [(value(f"grown{s}"), s) for s in range(24, shards)], key=lambda t: t[0])
+    return core if best[1] is None else best[1]
+
+
+def test_one_more_shard_takes_rows_only_into_itself_from_any_count(spark):
+    counts = (1, 2, 3, 7, 8, 15, 16, 23, 24, 25, 26, 33)
+    keys = spark.range(3000).select("id", *(sharding.shard_of(F.col("id"), sharding.tree_of(n)).alias(f"n{n}") for n in counts)).collect()
+    for n in counts:
+        by = Counter(r[f"n{n}"] for r in keys)
+        assert set(by) == set(range(n)) and max(by.values()) < 2.2 * min(by.values())
+        assert all(r[f"n{n}"] == slow_shard(r.id, n) for r in keys[:300]), n
+        if n + 1 in counts:
+            moved = [r for r in keys if r[f"n{n}"] != r[f"n{n + 1}"]]
+            assert moved and {r[f"n{n + 1}"] for r in moved} == {n}
+    tree = sharding.tree_of(26)
+    assert sharding.address(25, tree) == (3, 0) and sharding.address(29, tree) == (3, 1) and sharding.address(9, tree) == (1, 0)
+
+
+def test_very_long_texts_are_placed(spark):
+    text = "long é " * 300_000
+    r = sharding.place(spark.createDataFrame([(1, text, 2)], "doc_id long, text string, slot int")).first()
+    assert (r["size"], r.text_crc32, r.slot) == (len(text.encode()) + 8, zlib.crc32(text.encode()), 0)
+
+
 # ---- archives
 def test_archive_round_trip_and_checks():
     out = io.BytesIO()
@@ -420,3 +461,72 @@ def test_random_runs_are_told_from_words(spark):
     got = {r.doc_id: r.n_random for r in secrets.scan(docs).collect()}
     assert sum(got[i] for i in range(len(random_))) >= 0.9 * len(random_)
     assert sum(got[len(random_) + i] for i in range(len(plain))) <= 1
+
+
+WORDS = "get user name account value index table config file path stream reader writer manager service factory handler request response session client thread queue event message status model parser string number array object method field node tree graph vector image color height offset total average minimum create delete update remove search filter reduce process convert validate logger metric timer local default abstract private internal output primary lock atomic commit database schema column cursor query driver network address port protocol element style template render window button listener provider publisher channel router gateway cache storage bucket partition replica cluster version pipeline worker scheduler".split()
+
+
+def identifiers(n):
+    return [("" if draw.random() < 0.5 else draw.choice(WORDS)) + "".join(draw.choice(WORDS).capitalize() for _ in range(draw.randrange(4, 7))) + draw.choice(("", "", "2")) for _ in range(n)]
+
+
+def random_keys(n):
+    alphabets = ("0123456789ABCDEF", secrets._ALPHABETS[62], secrets._ALPHABETS[64], secrets._ALPHABETS[32])
+    return ["".join(draw.choice(alphabets[i % 4]) for _ in range((32, 40, 64)[i % 3])) for i in range(n)]
+
+
+def slow_step(run):
+    """The distance of a run from a random one, and from that its p-value as words; written apart from the operator."""
+    body = run.rstrip("=").replace("-", "+").replace("_", "/")
+    kinds = {"u": any(c.isupper() for c in body), "l": any(c.islower() for c in body), "s": any(c in "+/" for c in run.replace("-", "+").replace("_", "/"))}
+    if re.fullmatch("[0-9a-f]+|[0-9A-F]+", body):
+        size, body = 16, body.lower()
+    elif re.fullmatch("[A-Z2-7]+", body):
+        size = 32
+    elif not kinds["s"] and not (kinds["u"] and kinds["l"]):
+        size, body = 36, body.lower()
+    else:
+        size = 64 if kinds["s"] else 62
+    x = [secrets._ALPHABETS[size].index(c) for c in body]
+    n, parts = len(x), secrets._CLASSES[size]
+    klass = [next(j for j in range(len(parts)) if v < sum(parts[: j + 1])) for v in x]
+
+    def normal(counts, shares):
+        free, chi = len(shares) - 1, sum((c - n * q) ** 2 / (n * q) for c, q in zip(counts, shares, strict=True))
+        return max(0.0, ((chi / free) ** (1 / 3) - (1 - 2 / (9 * free))) / (2 / (9 * free)) ** 0.5)
+
+    shares = [p / size for p in parts]
+    change = sum(a * b for i, a in enumerate(shares) for j, b in enumerate(shares) if i != j)
+    both = sum(a * b * c for i, a in enumerate(shares) for j, b in enumerate(shares) for k, c in enumerate(shares) if i != j != k) - change**2
+    mid, var = (size - 1) / 2, (size**2 - 1) / 12
+    d = (
+        normal([x.count(v) for v in range(size)], [1 / size] * size) ** 2 + normal([klass.count(j) for j in range(len(parts))], shares) ** 2
+        + (sum(a != b for a, b in zip(klass, klass[1:], strict=False)) - (n - 1) * change) ** 2 / ((n - 1) * change * (1 - change) + 2 * (n - 2) * both)
+        + (sum((a - mid) * (b - mid) for a, b in zip(x, x[1:], strict=False)) / var) ** 2 / (n - 1)
+    ) ** 0.5
+    if np.exp(-d * d / 2) * (1 + d * d / 2) < 1e-4:
+        return n, -1
+    z = (1.25 * n**0.5 - d) / 1.4
+    p = 1.0 if z <= 0 else min(1.0, np.exp(-z * z / 2) / (2 * np.pi) ** 0.5 * 4 / (3 * z + (z * z + 8) ** 0.5))
+    return n, min(750, int(-np.log10(max(p, 1e-300)) * 50))
+
+
+def test_words_are_no_secrets_and_random_keys_are(spark):
+    plain, keys = identifiers(300), random_keys(120)
+    assert all(len(x) >= 16 for x in plain)
+    both = "0123456789abcdef" * 2 + "-" + random_keys(3)[2]
+    texts = [f"see {t} there" for t in plain + keys] + [both, "password=" + keys[1], "x " + "".join(draw.choice(secrets._ALPHABETS[64]) for _ in range(50_000)), "1234567890" * 4]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r for r in secrets.scan(docs).collect()}
+    assert sum(got[i].n_random for i in range(300)) < 15
+    assert sum(got[300 + i].n_random for i in range(120)) >= 114
+    assert got[420].n_hex == 1 == got[420].n_random  # a run that the base span covers only in part stays
+    assert got[421].n_assign == 1 and got[421].n_random == 0 and got[422].n_random == 1 and got[423].n_random == 0
+    # the same by brute force over all runs
+    runs = [(i, m.start(), m.end(), *slow_step(m[0])) for i, t in enumerate(texts) for m in re.finditer(secrets.CANDIDATE, t) if re.search("[A-Za-z]", m[0]) and not re.fullmatch("[0-9a-f]{32,}", m[0])]
+    weight = lambda n: min(n, 256) / (sum(min(r[3], 256) for r in runs) / len(runs))
+    q = sorted(10 ** (-max(s, 0) / 50) / weight(n) for _, _, _, n, s in runs)
+    last = max((v for i, v in enumerate(q, 1) if v <= 0.05 * i / len(runs)), default=-1)
+    for i in got:
+        want = [f"random:{a}:{b}" for j, a, b, n, s in runs if j == i and s >= 0 and 10 ** (-s / 50) / weight(n) <= last * (1 + 1e-12)]
+        assert i == 421 or [x for x in got[i].spans.split(",") if x.startswith("random")] == want, texts[i][:80]

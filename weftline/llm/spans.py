@@ -6,6 +6,8 @@ of lengths, in code points.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,12 +22,13 @@ def gaps(text: Column, pattern: str | Column) -> Column:
     return F.split(text, pattern, -1)
 
 
-def running(values: Column) -> Column:
-    """The sums of an array of whole numbers up to each place. Each step adds what lies 1, 2, 4, ... places before, so n places take log n passes."""
+def running(values: Column, combine: Callable[[Column, Column], Column] = lambda a, b: a + b, none: int = 0) -> Column:
+    """The sums of an array of whole numbers up to each place, or what else combine makes of two of them, none being neutral. Each step takes in what lies
+    1, 2, 4, ... places before, so n places take log n passes."""
     steps = F.sequence(F.lit(0), F.ceil(F.log2(F.greatest(F.size(values), F.lit(1)))).cast("int"))
     return F.aggregate(
         steps, F.transform(values, lambda v: v.cast("long")),
-        lambda acc, k: F.transform(acc, lambda v, i: v + F.coalesce(F.get(acc, i - F.call_function("shiftleft", F.lit(1), k)), F.lit(0).cast("long"))),
+        lambda acc, k: F.transform(acc, lambda v, i: combine(v, F.coalesce(F.get(acc, i - F.call_function("shiftleft", F.lit(1), k)), F.lit(none).cast("long")))),
     )
 
 
