@@ -18,7 +18,7 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.llm.components import components
@@ -36,7 +36,11 @@ def fingerprint(text: str, words: int = 3) -> int:
     if not found:
         return 0
     shingles = map(b" ".join, zip(*(found[i:] for i in range(words)))) if len(found) >= words else [b" ".join(found)]
-    hashes = np.fromiter(map(partial(xxhash.xxh64_intdigest, seed=SEED), shingles), np.uint64)
+    return majority(np.fromiter(map(partial(xxhash.xxh64_intdigest, seed=SEED), shingles), np.uint64))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half the hashes; 0 for none."""
     set_in = np.zeros(64, np.int64)
     for a in range(0, len(hashes), 8192):
         part = hashes[a : a + 8192].astype("<u8", copy=False).view(np.uint8).reshape(-1, 8)
@@ -180,7 +184,6 @@ def near_duplicates(docs: DataFrame, words: int = 3, most: int = 3) -> DataFrame
     """
     spark = docs.sparkSession
     marked = written(fingerprints(docs, words), "simhash")
-    small_batches(spark, 10_000)
     by_fp = marked.groupBy("fp").agg(F.min("doc_id").alias("least"))
     linked = written(components(links(marked.select("fp", F.col("fp").alias("node")).distinct(), ["fp"], most)), "simhash-components")
     rooted = by_fp.join(linked.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
@@ -220,23 +223,24 @@ def least_hashes(shingles: np.ndarray) -> np.ndarray:
 
 
 def _sketches(texts: DataFrame) -> DataFrame:
-    """texts(node, text) to node, digest of the shingle set, n of its shingles, sketch (a byte of each least hash) and the bands' keys."""
+    """texts(node, text) to node, digest of the shingle set, n of its shingles, its fingerprint, sketch (a byte of each least hash) and the bands' keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            digests, counts, sketches, keys = [], [], [], []
+            digests, counts, prints, sketches, keys = [], [], [], [], []
             for text in batch.column(1).to_pylist():
                 found = shingle_set(text or "")
                 digests.append(xxhash.xxh3_128_digest(found.tobytes()))
                 counts.append(len(found))
+                prints.append(np.uint64(majority(found)).view(np.int64))
                 least = least_hashes(found) if len(found) else np.zeros(0, np.uint64)
                 sketches.append((least >> np.uint64(56)).astype(np.uint8).tobytes() if len(found) else b"")
                 bands = least.reshape(-1, BAND)
                 keys.append([xxhash.xxh64_intdigest(b.tobytes(), seed=i) - (1 << 63) for i, b in enumerate(bands)])
-            cols = [batch.column(0), pa.array(digests, pa.binary()), pa.array(counts, pa.int64()), pa.array(sketches, pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(cols, names=["node", "digest", "n", "sketch", "keys"])
+            cols = [batch.column(0), pa.array(digests, pa.binary()), pa.array(counts, pa.int64()), pa.array(prints, pa.int64()), pa.array(sketches, pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(cols, names=["node", "digest", "n", "fp", "sketch", "keys"])
 
-    return texts.mapInArrow(run, "node long, digest binary, n long, sketch binary, keys array<long>")
+    return texts.mapInArrow(run, "node long, digest binary, n long, fp long, sketch binary, keys array<long>")
 
 
 def _likely(pairs: DataFrame) -> DataFrame:
@@ -280,12 +284,39 @@ def _alike(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return edges
 
 
+def _sharing_rare(rest: DataFrame, texts: DataFrame) -> DataFrame:
+    """rest(node, root, n), distinct, to pairs (a, b) of different roots, among them all whose sets are ALIKE.
+
+    Of sets with their shingles in one order, rarest first, two of n and m members that share o of them have their first common one at a place up to n - o in the
+    one and m - o in the other; and ALIKE sets share 4/9 of n + m or more. So only the rarest few of each set are joined: where copies differ by words of their own,
+    those are shared with nobody. Shingles whose texts are all connected are left out.
+    """
+    over, under = ALIKE
+    schema = pa.schema([("node", pa.int64()), ("shingles", pa.list_(pa.int64()))])
+    hashed = by_batch(lambda ids, found: [ids, [shingle_set(t or "").view(np.int64) for t in found]], ["node", "text"], schema)
+    sets = texts.join(rest.select("node"), "node").dropDuplicates(["node", "text"]).mapInArrow(hashed, "node long, shingles array<long>")
+    each = written(sets.select("node", F.explode("shingles").alias("h")).distinct(), "near-shingles")
+    counted = each.join(each.groupBy("h").agg(F.count(F.lit(1)).alias("df")), "h")
+    place = F.row_number().over(Window.partitionBy("node").orderBy("df", "h")) - 1
+    early = counted.withColumn("p", place).join(rest, "node").where(F.col("p") * under <= F.col("n") * (under - over)).where("df > 1")
+    early = written(early.select("h", "node", "root", "n", "p"), "near-early")
+    mixed = early.groupBy("h").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r <> s").select("h")
+    early = early.join(mixed, "h")
+    x, y = early.toDF("h", "a", "ra", "na", "pa"), early.toDF("h", "b", "rb", "nb", "pb")
+    shared = F.ceil((F.col("na") + F.col("nb")) * over / (over + under))
+    fits = (F.col("na") * under >= F.col("nb") * over) & (F.col("pa") <= F.col("na") - shared) & (F.col("pb") <= F.col("nb") - shared)
+    smaller = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))
+    return x.join(y, "h").where(smaller & (F.col("ra") != F.col("rb")) & fits).select("a", "b").distinct()
+
+
 def one_of_each(docs: DataFrame) -> DataFrame:
     """docs without near copies: of texts that are connected by links, the one of the smallest doc_id stays.
 
-    Two texts link if the sets of their five-word shingles have a Jaccard similarity of 0.8 or more, computed from the sets. Candidates come from bands of least hashes (see
-    BANDS for what they miss). In each band every text is first compared with the one of the least id; then, where texts of a band are not connected yet, all pairs
-    of them. A group of near copies thus costs as many comparisons as members, not all pairs.
+    Two texts link if the sets of their five-word shingles have a Jaccard similarity of 0.8 or more, computed from the sets. Candidates are those whose fingerprints of
+    these shingles differ in 3 bits at most, found by anchors, which is what changes of single words leave; and, as a paragraph more or less changes more bits, bands of least hashes (see
+    BANDS for what they miss). In each band every text is first compared with the one that shares most bands with others, which is the one that copies were made
+    from where it is there. Where texts of a band are not connected then, those that share one of their rarest shingles are compared (see _sharing_rare), which leaves out
+    no pair. A group of near copies thus costs as many comparisons as members, not all pairs.
     Rows that share a doc_id are one document and stay or go together; rows without one stay. Texts without words are copies of each other. All columns are kept.
     """
     small_batches(docs.sparkSession)
@@ -293,10 +324,15 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     marked = written(_sketches(texts), "near-sketches")
     # equal sets: one node, of the smallest id; the others go
     least = marked.groupBy("digest").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("copies"))
-    nodes = written(marked.join(least, "digest").where("node = first").dropDuplicates(["node", "digest"]).select("node", "digest", "copies", "n", "sketch", "keys"), "near-nodes")
+    nodes = written(marked.join(least, "digest").where("node = first").dropDuplicates(["node", "digest"]).select("node", "digest", "copies", "n", "fp", "sketch", "keys"), "near-nodes")
     keyed = nodes.select("node", F.explode("keys").alias("key"))
-    hubs = keyed.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub <> last").select("key", "hub")
-    bands = written(keyed.join(hubs, "key"), "near-bands")
+    sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    several = written(keyed.join(sizes, "key"), "near-several")
+    degree = several.groupBy("node").agg(F.sum("size").alias("degree"))
+    # the most met one; of several, the least id
+    hubs = several.join(degree, "node").groupBy("key").agg(F.max(F.struct("degree", (-F.col("node")).alias("minus"))).alias("most")).select("key", (-F.col("most.minus")).alias("hub"))
+    bands = written(several.select("key", "node").join(hubs, "key"), "near-bands")
+    drop_written(several)
     about = nodes.select("node", "n", "sketch")
 
     def compared(pairs: DataFrame) -> DataFrame:
@@ -306,13 +342,12 @@ def one_of_each(docs: DataFrame) -> DataFrame:
         return _alike(likely, texts)
 
     stars = bands.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
-    edges = compared(stars)
+    edges = compared(stars.union(links(nodes.where("n > 0").select("node", "fp"), ["fp"])).distinct())
     linked = written(components(edges), "near-components")
     rooted = bands.join(linked, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
     apart = rooted.groupBy("key").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r <> s").select("key")
-    rest = written(rooted.join(apart, "key"), "near-rest")
-    others = rest.toDF("key", "a", "ra").join(rest.toDF("key", "b", "rb"), "key").where("a > b AND ra <> rb").select("a", "b").distinct()
-    more = compared(others.join(stars, ["a", "b"], "left_anti"))
+    rest = written(rooted.join(apart, "key").select("node", "root").distinct().join(nodes.select("node", "n"), "node"), "near-rest")
+    more = compared(_sharing_rare(rest, texts).join(stars.union(stars.select("b", "a")), ["a", "b"], "left_anti"))
     if not more.isEmpty():
         linked = components(edges.union(more))
     copies = marked.join(nodes.where("copies > 1").select(F.col("node").alias("first"), "digest"), "digest").where("node <> first").select("node")
