@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from weftline.operators import load, quality
+from weftline.operators import graph, load, quality
 from weftline.streaming.loads import deduplicated, upsert_stream
 
 
@@ -52,3 +52,17 @@ def test_streams(spark, tmp_path):
     query.awaitTermination(60)
     assert out[0] == [(1, "b"), (2, "c")]
     assert deduplicated(stream, ["k"], "t", "1 day").isStreaming
+
+
+def test_hashes_tell_values_apart(spark):
+    rows = [("a|b", "c"), ("a", "b|c"), ("a\\", "|b|c"), (None, "c"), ("\\N", "c"), ("", "c"), ("a||b", "c"), ("a", "|b||c")]
+    df = spark.createDataFrame(rows, "x string, y string")
+    for of in (load.row_hash, load.hash_key):
+        assert df.select(of(["x", "y"]).alias("h")).distinct().count() == len(rows)
+
+
+def test_everything_reached_from_several_starts(spark):
+    edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("x", "c")], "src string, dst string")
+    starts = spark.createDataFrame([("1", "a"), ("2", "x"), ("3", "c")], "start string, node string")
+    got = sorted(tuple(r) for r in graph.reach_from(edges, starts).collect())
+    assert got == [("1", "b", 1), ("1", "c", 2), ("2", "a", 2), ("2", "b", 3), ("2", "c", 1), ("3", "a", 1), ("3", "b", 2)]

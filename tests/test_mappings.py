@@ -81,3 +81,19 @@ def test_non_additive_measures_need_components(spark):
 def test_dates(spark):
     got = run(spark, "now_utc", ["a"], options=Options(now=F.lit(dt.datetime(2024, 1, 1))), target="TIMESTAMP")
     assert values(got) == [dt.datetime(2024, 1, 1)]
+
+
+def test_grouped_rows_are_dropped_and_warned_of(spark):
+    w = Workspace([parse("schema o { k STRING hi INT lo INT } mapping m (group_by k) { source { s } target { o } k -> k x -> hi { warn_if_null | max } x -> lo { drop_if_null | min } }")])
+    got = compile_mapping(w, "m", {"s": spark.createDataFrame([("a", 1), ("a", None), ("b", None), ("c", 3)], "k string, x int")})
+    assert sorted(tuple(r) for r in got.rows.collect()) == [("a", 1, 1), ("c", 3, 3)]
+    assert sorted((r.k, r["warnings"]) for r in got.warnings.collect()) == [("a", ["hi: warn_if_null"]), ("b", ["hi: warn_if_null"])]
+    late = Workspace([parse("schema o { k STRING hi INT } mapping m (group_by k) { source { s } target { o } k -> k x -> hi { max | drop_if_null } }")])
+    got = compile_mapping(late, "m", {"s": spark.createDataFrame([("a", 1), ("a", None), ("b", None)], "k string, x int")})
+    assert [tuple(r) for r in got.rows.collect()] == [("a", 1)]
+
+
+def test_targets_below_two_levels_are_structs(spark):
+    w = Workspace([parse("schema o { r record { u record { v INT w STRING } x INT } } mapping m { source { s } target { o } i -> r.u.v i -> r.x i -> r.u.w }")])
+    got = compile_mapping(w, "m", {"s": spark.createDataFrame([("7",)], "i string")}).rows
+    assert got.schema.simpleString() == "struct<r:struct<u:struct<v:int,w:string>,x:int>>" and got.first().r.u.v == 7

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -20,6 +22,21 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def reach_from(edges: DataFrame, starts: DataFrame, depth: int = 10) -> DataFrame:
+    """edges(src, dst) and starts(start, node) to (start, node, depth): what each start reaches, all of them in one walk. The starts themselves are no results."""
+    hops = edges.select("src", "dst").distinct()
+    visited = cut_lineage(starts.distinct().withColumn("depth", F.lit(0)))
+    frontier, found = visited, []
+    for hop in range(1, depth + 1):
+        step = frontier.select("start", F.col("node").alias("src")).join(hops, "src").select("start", F.col("dst").alias("node")).distinct()
+        new = cut_lineage(step.join(visited.select("start", "node"), ["start", "node"], "left_anti").withColumn("depth", F.lit(hop)))
+        if new.isEmpty():
+            break
+        found.append(new)
+        visited, frontier = visited.union(new), new
+    return functools.reduce(DataFrame.union, found, visited.limit(0))
+
+
 def reach(edges: DataFrame, start: str, depth: int = 10) -> DataFrame:
     """edges(ordinal, src, dst, ...) to the nodes that start reaches: node, depth, and the columns of the first edge that got there.
 
@@ -74,15 +91,18 @@ def field_lineage(catalog: Catalog, field: str, upstream: bool = False, depth: i
 
 def upstream_paths(spark: SparkSession, edges: DataFrame, target: str, depth: int = 10) -> DataFrame:
     """Every path (array of nodes, root first) that ends in target."""
-    edges.select("src", "dst").distinct().createOrReplaceTempView("weftline_edges")
-    return spark.sql(
-        """WITH RECURSIVE walk(node, path, n) AS (
+    view = f"weftline_edges_{uuid.uuid4().hex}"
+    edges.select("src", "dst").distinct().createOrReplaceTempView(view)
+    paths = spark.sql(
+        f"""WITH RECURSIVE walk(node, path, n) AS (
              SELECT :target, array(:target), 0
              UNION ALL
-             SELECT e.src, concat(array(e.src), w.path), w.n + 1 FROM weftline_edges e JOIN walk w ON e.dst = w.node WHERE w.n < :depth AND NOT array_contains(w.path, e.src))
-           SELECT path FROM walk w LEFT ANTI JOIN weftline_edges e ON e.dst = w.node WHERE n > 0""",
+             SELECT e.src, concat(array(e.src), w.path), w.n + 1 FROM {view} e JOIN walk w ON e.dst = w.node WHERE w.n < :depth AND NOT array_contains(w.path, e.src))
+           SELECT path FROM walk w LEFT ANTI JOIN {view} e ON e.dst = w.node WHERE n > 0""",
         args={"target": target, "depth": depth},
     )
+    spark.catalog.dropTempView(view)  # the plan has the edges themselves
+    return paths
 
 
 def nodes(catalog: Catalog, namespace: str | None = None) -> DataFrame:
@@ -109,12 +129,10 @@ def schema_rollup(catalog: Catalog) -> DataFrame:
 
 def impact(catalog: Catalog, tag: str) -> DataFrame:
     """field, node, depth: everything downstream of each field that bears a tag."""
-    tagged = catalog.metadata.where((F.col("owner_kind") == "field") & (F.lower("key") == tag.lower())).select("owner", "field").distinct().collect()  # a specification's fields
-    frames = [field_lineage(catalog, f"{r['owner'] if '::' in r['owner'] else '::' + r['owner']}.{r['field']}").select(F.lit(f"{r['owner']}.{r['field']}").alias("field"), "node", "depth") for r in tagged]
-    out = catalog.spark.createDataFrame([], "field string, node string, depth int")
-    for f in frames:
-        out = out.union(f)
-    return out
+    tagged = catalog.metadata.where((F.col("owner_kind") == "field") & (F.lower("key") == tag.lower()))
+    owner = F.when(F.col("owner").contains("::"), F.col("owner")).otherwise(F.concat(F.lit("::"), F.col("owner")))
+    starts = tagged.select(F.concat_ws(".", "owner", "field").alias("start"), F.concat_ws(".", owner, "field").alias("node"))
+    return reach_from(catalog.fedges, starts).withColumnRenamed("start", "field")
 
 
 def model(catalog: Catalog) -> DataFrame:

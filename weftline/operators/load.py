@@ -66,9 +66,15 @@ def soft_delete(target: DataFrame, deleted: DataFrame, keys: list[str], flag: st
     return both.select(*out)
 
 
+def _joined(values: list[Column], by: str) -> Column:
+    """Texts in one, from which each can be told: a separator or backslash inside a value has a backslash before it, and a null is a backslash and an N."""
+    escaped = (F.regexp_replace(v.cast("string"), r"([\\|])", r"\\$1") for v in values)
+    return F.concat_ws(by, *(F.coalesce(v, F.lit("\\N")) for v in escaped))
+
+
 def row_hash(columns: list[str]) -> Column:
-    """SHA-256 of the columns; nulls are told from empty texts."""
-    return F.sha2(F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("\\N")) for c in columns)), 256)
+    """SHA-256 of the columns; different values have different texts, and nulls are told from any of them."""
+    return F.sha2(_joined([F.col(c) for c in columns], "|"), 256)
 
 
 def scd2_history(snapshots: DataFrame, keys: list[str], at: str, track: list[str]) -> DataFrame:
@@ -77,7 +83,7 @@ def scd2_history(snapshots: DataFrame, keys: list[str], at: str, track: list[str
     hashed = snapshots.withColumn("row_hash", row_hash(track))
     starts = hashed.withColumn("_was", F.lag("row_hash").over(by)).where(F.col("_was").isNull() | (F.col("_was") != F.col("row_hash"))).drop("_was")
     closed = starts.withColumn("valid_to", F.lead(at).over(by)).withColumnRenamed(at, "valid_from")
-    return closed.withColumn("is_current", F.col("valid_to").isNull()).withColumn("surrogate_key", F.sha2(F.concat_ws("|", *(F.col(k).cast("string") for k in keys), F.col("valid_from").cast("string")), 256))
+    return closed.withColumn("is_current", F.col("valid_to").isNull()).withColumn("surrogate_key", F.sha2(_joined([*map(F.col, keys), F.col("valid_from")], "|"), 256))
 
 
 def scd2_merge(dimension: DataFrame, source: DataFrame, keys: list[str], track: list[str], now: Column) -> DataFrame:
@@ -85,7 +91,7 @@ def scd2_merge(dimension: DataFrame, source: DataFrame, keys: list[str], track:
     new = _checked(source, keys).withColumn("row_hash", row_hash(track))
     current = dimension.where("is_current").select(*keys, F.col("row_hash").alias("_old"))
     differing = new.join(current, keys, "left").where(F.col("_old").isNull() | (F.col("_old") != F.col("row_hash"))).drop("_old")
-    key = F.sha2(F.concat_ws("|", *(F.col(k).cast("string") for k in keys), now.cast("string")), 256)
+    key = F.sha2(_joined([*map(F.col, keys), now], "|"), 256)
     opened = differing.withColumns({"valid_from": now, "valid_to": F.lit(None).cast("timestamp_ntz"), "is_current": F.lit(True), "surrogate_key": key})
     changed = differing.select(*keys, F.lit(True).alias("_changed"))
     closed = dimension.join(changed, keys, "left")
@@ -102,7 +108,7 @@ def scd6(history: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:
 
 def hash_key(columns: list[str]) -> Column:
     """A vault's hash key: upper-case, trimmed business keys."""
-    return F.sha2(F.concat_ws("||", *(F.upper(F.trim(F.col(c).cast("string"))) for c in columns)), 256)
+    return F.sha2(_joined([F.upper(F.trim(F.col(c).cast("string"))) for c in columns], "||"), 256)
 
 
 def hub(source: DataFrame, business: list[str], name: str, load_date: str, record_source: Column, existing: DataFrame | None = None) -> DataFrame:
@@ -120,8 +126,8 @@ def _any_null(columns: list[str]) -> Column:
 
 
 def satellite(source: DataFrame, business: list[str], name: str, fields: list[str], load_date: str) -> DataFrame:
-    """A row for each change of the fields, with load_end_date where the next one starts."""
-    hashed = source.select(hash_key(business).alias(f"{name}_hk"), row_hash(fields).alias("hash_diff"), *fields, F.col(load_date).alias("load_date"))
+    """A row for each change of the fields, with load_end_date where the next one starts; rows without a key belong to no hub and are left out."""
+    hashed = source.where(~_any_null(business)).select(hash_key(business).alias(f"{name}_hk"), row_hash(fields).alias("hash_diff"), *fields, F.col(load_date).alias("load_date"))
     by = Window.partitionBy(f"{name}_hk").orderBy("load_date")
     changed = hashed.withColumn("_was", F.lag("hash_diff").over(by)).where(F.col("_was").isNull() | (F.col("_was") != F.col("hash_diff"))).drop("_was")
     return changed.withColumn("load_end_date", F.lead("load_date").over(by))

@@ -12,8 +12,11 @@ CONVENTION = {
     "hub": ("load_date", "record_source"), "link": ("load_date", "record_source"), "satellite": ("load_date", "record_source", "load_end_date", "hash_diff"),
     "dimension": ("valid_from", "valid_to", "is_current", "surrogate_key", "row_hash"), "fact": ("etl_batch_id", "loaded_at"),
 }
-#: Step names that prose may refer to without meaning a field.
-STEP_WORDS = ("trim", "lowercase", "uppercase", "title_case", "coalesce", "round", "split", "first", "last", "to_utc", "to_iso8601", "parse", "null_if_empty", "null_if_invalid", "now_utc", "validate_email", "truncate", "max_length", "append", "prepend", "replace", "hash", "encrypt", "to_number", "to_string", "to_boolean", "uuid_v5")
+#: Step names that prose may refer to without meaning a field; lint leaves them out.
+STEP_WORDS = (
+    "trim", "lowercase", "uppercase", "coalesce", "round", "split", "first", "last", "to_utc", "to_iso8601", "parse", "null_if_empty", "null_if_invalid", "drop_if_invalid", "drop_if_null",
+    "warn_if_invalid", "warn_if_null", "error_if_invalid", "error_if_null", "validate_email", "now_utc", "title_case", "escape_html", "truncate", "to_number", "prepend", "max_length",
+)
 
 
 def _rows(df: DataFrame, rule: str, severity: str, subject: Column | str, message: Column) -> DataFrame:
@@ -43,7 +46,17 @@ def undefined_references(c: Catalog) -> DataFrame:
 
 
 def unresolved_prose(c: Catalog) -> DataFrame:
-    lost = c.nl_refs.where("schema IS NULL").where(~F.col("ref").isin(*STEP_WORDS))
+    """References in prose that name nothing, step names among them."""
+    return _unresolved(c.nl_refs)
+
+
+def unresolved_in_lint(c: Catalog) -> DataFrame:
+    """The lint form: the name of a step is an instruction and no reference."""
+    return _unresolved(c.nl_refs.where(~F.col("ref").isin(*STEP_WORDS)))
+
+
+def _unresolved(refs: DataFrame) -> DataFrame:
+    lost = refs.where("schema IS NULL")
     return _rows(lost, "unresolved-nl-ref", "warning", "owner", F.concat(F.lit("@"), F.col("ref")))
 
 
@@ -151,7 +164,7 @@ def governance_rules(c: Catalog) -> DataFrame:
 
 
 RULES = (duplicate_definitions, namespace_conflicts, undefined_references, unresolved_prose, prose_not_in_source, fields_not_in_schema, circular_spreads, imports, import_scope, parse_errors)
-LINT = (hidden_sources, unresolved_prose, duplicate_definitions)
+LINT = (hidden_sources, unresolved_in_lint, duplicate_definitions)
 
 
 def validate(c: Catalog) -> DataFrame:

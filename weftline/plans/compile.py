@@ -11,6 +11,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -220,7 +221,7 @@ def compile_mapping(workspace: Workspace, name: str, inputs: dict[str, DataFrame
         rows = rows.select("*", explode(arrows.filtered(scope, flat[0].sources[0])).alias("_element"))
         scope = arrows.scope = _Scope(names, F.col("_element"), flat[0].sources[0].lstrip("."), scope)
     made: dict[str, Column] = {}
-    nested: dict[str, dict[str, Column]] = {}
+    nested: dict[str, dict] = {}
     plain_keys: list[str] = []
     for a in [*tops, *(c for f in flat for c in f.children)]:
         path = a.target.lstrip(".").split("::")[-1]
@@ -228,39 +229,88 @@ def compile_mapping(workspace: Workspace, name: str, inputs: dict[str, DataFrame
             path = path[len(flat[0].target.lstrip(".")) + 1 :]
         head, _, rest = path.partition(".")
         if rest:
-            nested.setdefault(head, {})[rest] = arrows.item(a, scope, None)
+            at, field = nested.setdefault(head, {}), declared.get(head)
+            *between, last = rest.split(".")
+            for name in between:
+                at, field = at.setdefault(name, {}), _child(field, name)
+            field = _child(field, last)
+            at[last] = arrows.typed(arrows.item(a, scope, field), field)
             continue
         made[head] = arrows.typed(arrows.item(a, scope, declared.get(head)), declared.get(head))
         if not _is_aggregate(a):
             plain_keys.append(head)
     for head, parts in nested.items():
-        made[head] = F.struct(*(c.alias(n.replace(".", "_")) for n, c in parts.items()))
+        made[head] = _struct(parts, declared.get(head))
         plain_keys.append(head)
     order = [n for n in declared if n in made] + [n for n in made if n not in declared]
+    warned = None
     if grouped:
+        # what a step says of source rows counts before they are grouped, and what it says of an aggregate after it
+        drops, having = _split_conditions(rows, arrows.drops)
+        bad_rows, bad_groups = _split_conditions(rows, [bad for _, bad in arrows.warnings])
+        said = [(text, bad) for text, bad in arrows.warnings if any(bad is b for b in bad_rows)]
+        if said:
+            warned = rows.select("*", _said(said)).where(F.size("warnings") > 0)
+        rows = _without(rows, drops)
+        late = {f"_late{i}": c for i, c in enumerate([*having, *bad_groups])}
+        extra = [c.alias(n) for n, c in late.items()]
         keys = [k.strip() for k in group_by.split(",")] if group_by else []
         if not keys:  # without a token: the arrows that don't aggregate are the keys
             keyed = [made[n].alias(n) for n in plain_keys]
-            out = rows.groupBy(*keyed).agg(*(made[n].alias(n) for n in order if n not in plain_keys)).select(*order)
+            out = rows.groupBy(*keyed).agg(*(made[n].alias(n) for n in order if n not in plain_keys), *extra) if len(plain_keys) < len(order) or extra else rows.select(*keyed).distinct()
         else:
-            source_keys = [scope.column(k) for k in keys]
+            source_keys = [scope.column(k).alias(f"_key{i}") for i, k in enumerate(keys)]  # a target may have a key's name
             lifted = {n: (F.any_value(made[n]) if n in plain_keys else made[n]) for n in order}
-            out = rows.groupBy(*source_keys).agg(*(c.alias(n) for n, c in lifted.items())).select(*order)
-        return Compiled(out, None, context.unresolved)
-    warned = None
+            out = rows.groupBy(*source_keys).agg(*(c.alias(n) for n, c in lifted.items()), *extra)
+        texts = [text for text, bad in arrows.warnings if any(bad is b for b in bad_groups)]
+        if texts:
+            groups = out.select(*order, _said([(t, F.col(n)) for t, n in zip(texts, list(late)[len(having) :], strict=True)])).where(F.size("warnings") > 0)
+            warned = groups if warned is None else warned.unionByName(groups, allowMissingColumns=True)
+        return Compiled(_without(out, [F.col(n) for n in list(late)[: len(having)]]).select(*order), warned, context.unresolved)
     if arrows.warnings:
-        said = F.array_compact(F.array(*(F.when(bad, F.lit(text)) for text, bad in arrows.warnings)))
-        warned = rows.select(*(made[n].alias(n) for n in order), said.alias("warnings")).where(F.size("warnings") > 0)
-    if arrows.drops:
-        rows = rows.where(~reduce(lambda a, b: a | b, (F.coalesce(d, F.lit(False)) for d in arrows.drops)))
+        warned = rows.select(*(made[n].alias(n) for n in order), _said(arrows.warnings)).where(F.size("warnings") > 0)
+    rows = _without(rows, arrows.drops)
     return Compiled(rows.select(*(made[n].alias(n) for n in order)), warned, context.unresolved)
 
 
+def _child(field: Field | None, name: str) -> Field | None:
+    return next((f for f in field.children if f.name == name), None) if field else None
+
+
+def _struct(parts: dict, field: Field | None) -> Column:
+    """Columns by name, and by name again below one, as structs; declared fields come first, in their order."""
+    declared = [f.name for f in field.children] if field else []
+    names = [n for n in declared if n in parts] + [n for n in parts if n not in declared]
+    return F.struct(*((_struct(parts[n], _child(field, n)) if isinstance(parts[n], dict) else parts[n]).alias(n) for n in names))
+
+
+def _split_conditions(rows: DataFrame, conditions: list[Column]) -> tuple[list[Column], list[Column]]:
+    """Conditions on single rows, and those on aggregates, which no row can be asked."""
+    single, grouped = [], []
+    for c in conditions:
+        try:
+            rows.where(c)
+            single.append(c)
+        except AnalysisException:
+            grouped.append(c)
+    return single, grouped
+
+
+def _said(warnings: list[tuple[str, Column]]) -> Column:
+    return F.array_compact(F.array(*(F.when(bad, F.lit(text)) for text, bad in warnings))).alias("warnings")
+
+
+def _without(rows: DataFrame, drops: list[Column]) -> DataFrame:
+    return rows.where(~reduce(lambda a, b: a | b, (F.coalesce(d, F.lit(False)) for d in drops))) if drops else rows
+
+
 def compile_target(workspace: Workspace, target: str, inputs: dict[str, DataFrame], options: Options | None = None) -> Compiled:
     """All mappings into one target, one after another: a union of all their rows by name."""
     parts = [compile_mapping(workspace, k, inputs, options) for k, m in workspace.mappings.items() if target in m.targets]
     rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), (p.rows for p in parts))
-    return Compiled(rows, None, [u for p in parts for u in p.unresolved])
+    warned = [p.warnings for p in parts if p.warnings is not None]
+    told = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), warned) if warned else None
+    return Compiled(rows, told, [u for p in parts for u in p.unresolved])
 
 
 def compile_metric(workspace: Workspace, metric: str, fact: DataFrame, time: str | None = None, slices: list[str] | None = None, components: dict[str, str] | None = None) -> DataFrame:
@@ -279,22 +329,28 @@ def compile_metric(workspace: Workspace, metric: str, fact: DataFrame, time: str
     by = [F.col(c) for c in cut]
     if grain and time:
         by.append(F.date_trunc(grain, F.col(time)).cast("date").alias(grain))
-    last = None
     kinds = {f.name: m.value or "additive" if m.kind == "kv" else "additive" for f in workspace.fields[key] for m in f.meta if m.key == "measure"}
-    made = []
+    made, at_last = [], []
     for name, kind in kinds.items():
         if kind == "non_additive":
             if name not in (components or {}):
                 raise ValueError(f"{name} is not additive: give its expression over the facts")
             made.append(F.expr(components[name]).alias(name))
         elif kind == "semi_additive":
-            last = time
-            made.append(F.max_by(name, F.col(time)).alias(name))
+            at_last.append(name)
         else:
             made.append(F.sum(name).alias(name))
-    if last:  # first over everything but time, then the last time of each grain
-        fact = fact.groupBy(*cut, time).agg(*(F.sum(n).alias(n) for n, k in kinds.items() if k != "non_additive"))
-    return fact.groupBy(*by).agg(*made)
+    if not at_last:
+        return fact.groupBy(*by).agg(*made)
+    # first over everything but time, then the last time of each grain
+    levels = fact.groupBy(*cut, time).agg(*(F.sum(n).alias(n) for n in at_last)).groupBy(*by).agg(*(F.max_by(n, F.col(time)).alias(n) for n in at_last))
+    if not made:
+        return levels
+    names = [*cut, *([grain] if grain and time else [])]
+    sums = fact.groupBy(*by).agg(*made).alias("s")
+    levels = levels.alias("l")
+    same = reduce(lambda a, b: a & b, (F.col(f"s.{n}").eqNullSafe(F.col(f"l.{n}")) for n in names), F.lit(True))
+    return sums.join(levels, same).select(*(F.col(f"s.{n}") for n in names), *(F.col(f"{'l' if n in at_last else 's'}.{n}") for n in kinds))
 
 
 __all__ = ["Compiled", "NotAPredicate", "Options", "compile_mapping", "compile_metric", "compile_target", "source_input"]

@@ -311,6 +311,51 @@ def json_extract(spark: SparkSession, d: str) -> DataFrame:
     return _t(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
 
 
+# ---- deeper targets, rows that steps drop before groups, mixed measures
+_DEEP = Workspace([parse("""
+schema shipped { id BIGINT to record { place record { nation INT segment STRING (default "none") } name STRING(6) } }
+mapping deep { source { customer } target { shipped }
+  c_custkey -> id
+  c_nationkey -> to.place.nation
+  c_mktsegment -> to.place.segment { lowercase }
+  c_name -> to.name { prepend("c ") }
+}
+schema best { status STRING least DOUBLE known BIGINT }
+mapping best_of (group_by status) { source { s } target { best }
+  status -> status
+  price -> least { drop_if_null | min }
+  price -> known { warn_if_null | count }
+}
+schema levels (metric, grain daily) {
+  stock DOUBLE (measure semi_additive)
+  sold DOUBLE (measure additive)
+  mean DOUBLE (measure non_additive)
+}
+""")])
+
+
+@query("nested_targets", "SELECT c_custkey AS id, c_nationkey AS nation, coalesce(lower(c_mktsegment), 'none') AS segment, 'c ' || c_name AS name FROM customer")
+def nested_targets(spark: SparkSession, d: str) -> DataFrame:
+    got = compile_mapping(_DEEP, "deep", {"customer": _t(spark, d, "customer")}).rows
+    return got.select("id", "to.place.nation", "to.place.segment", "to.name")
+
+
+@query("group_dropped_rows", "SELECT o_orderstatus AS status, min(o_totalprice) AS least, count(o_totalprice) AS known FROM orders WHERE o_custkey % 7 <> 0 GROUP BY 1")
+def group_dropped_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Rows whose price is null, as every seventh customer's is made here, are dropped before they are grouped."""
+    rows = _t(spark, d, "orders").select(F.col("o_orderstatus").alias("status"), F.when(F.col("o_custkey") % 7 != 0, F.col("o_totalprice")).alias("price"))
+    return compile_mapping(_DEEP, "best_of", {"s": rows}).rows
+
+
+@query("metric_mixed_measures", """WITH f AS (SELECT l_returnflag AS flag, CAST(l_shipdate AS TIMESTAMP) AS moment, l_quantity AS stock, l_quantity AS sold FROM lineitem),
+    t AS (SELECT flag, moment, sum(stock) AS stock FROM f GROUP BY 1, 2), k AS (SELECT flag, date_trunc('day', moment)::DATE AS day, max_by(stock, moment) AS stock FROM t GROUP BY 1, 2),
+    s AS (SELECT flag, date_trunc('day', moment)::DATE AS day, sum(sold) AS sold, sum(sold) / count(*) AS mean FROM f GROUP BY 1, 2)
+    SELECT flag, day, stock, sold, round(mean, 6) AS mean FROM k JOIN s USING (flag, day)""")
+def metric_mixed_measures(spark: SparkSession, d: str) -> DataFrame:
+    fact = _t(spark, d, "lineitem").select(F.col("l_returnflag").alias("flag"), F.col("l_shipdate").alias("at"), F.col("l_quantity").alias("stock"), F.col("l_quantity").alias("sold"))
+    return compile_metric(_DEEP, "levels", fact, time="at", slices=["flag"], components={"mean": "sum(sold) / count(1)"}).withColumn("mean", F.round("mean", 6))
+
+
 # ---- groups and metrics
 @query("group_session_profile", """SELECT user_id AS user, min(ts) AS first_seen, max(ts) AS last_seen, count(event_id) AS n, round(sum(value), 2) AS total, max(value) AS best, bool_or(event_type = 'purchase') AS bought FROM events GROUP BY user_id""")
 def group_session_profile(spark: SparkSession, d: str) -> DataFrame:
@@ -375,12 +420,12 @@ def metric_non_additive(spark: SparkSession, d: str) -> DataFrame:
 
 # ---- loads
 def _halves(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Existing customers, and incoming ones with another balance."""
+    """Existing customers, and incoming ones with another balance; every customer is in one of them, some in both."""
     c = _t(spark, d, "customer").select("c_custkey", "c_name", "c_acctbal")
-    return c.where("c_custkey % 3 <> 0"), c.where("c_custkey % 2 = 0").withColumn("c_acctbal", F.col("c_acctbal") + 1)
+    return c.where("c_custkey % 3 <> 0"), c.where("c_custkey % 2 = 0 OR c_custkey % 3 = 0").withColumn("c_acctbal", F.col("c_acctbal") + 1)
 
 
-_OLD, _NEW = "(SELECT c_custkey, c_name, c_acctbal FROM customer WHERE c_custkey % 3 <> 0)", "(SELECT c_custkey, c_name, c_acctbal + 1 AS c_acctbal FROM customer WHERE c_custkey % 2 = 0)"
+_OLD, _NEW = "(SELECT c_custkey, c_name, c_acctbal FROM customer WHERE c_custkey % 3 <> 0)", "(SELECT c_custkey, c_name, c_acctbal + 1 AS c_acctbal FROM customer WHERE c_custkey % 2 = 0 OR c_custkey % 3 = 0)"
 
 
 @query("merge_upsert", f"SELECT coalesce(n.c_custkey, o.c_custkey) AS c_custkey, coalesce(n.c_name, o.c_name) AS c_name, CASE WHEN n.c_custkey IS NOT NULL THEN n.c_acctbal ELSE o.c_acctbal END AS c_acctbal FROM {_OLD} o FULL JOIN {_NEW} n ON o.c_custkey = n.c_custkey")
