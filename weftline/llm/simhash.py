@@ -266,26 +266,27 @@ def jaccard_is_enough(x: np.ndarray, y: np.ndarray) -> bool:
     return ALIKE[1] * shared >= ALIKE[0] * (len(both) - shared)
 
 
-def _alike(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """pairs(a, b), written, to those whose shingle sets are alike enough; texts(node, text)."""
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+def _sets(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """texts(node, text) to (node, shingles), the sets of the wanted nodes, written: the only time that texts are moved."""
     schema = pa.schema([("node", pa.int64()), ("shingles", pa.binary())])
     hashed = by_batch(lambda ids, found: [ids, [shingle_set(t or "").tobytes() for t in found]], ["node", "text"], schema)
-    sets = written(texts.join(wanted, "node").dropDuplicates(["node", "text"]).mapInArrow(hashed, "node long, shingles binary"), "near-sets")
+    return written(texts.join(wanted, "node").mapInArrow(hashed, "node long, shingles binary").distinct(), "near-sets")
+
+
+def _alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """pairs(a, b), written, to those whose shingle sets are alike enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = [jaccard_is_enough(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(keep, pa.bool_())) for i in (0, 1)], names=["a", "b"])
 
-    joined = pairs.join(sets.withColumnRenamed("node", "a").withColumnRenamed("shingles", "x"), "a").join(sets.withColumnRenamed("node", "b").withColumnRenamed("shingles", "y"), "b")
-    edges = written(joined.select("a", "b", "x", "y").mapInArrow(run, "a long, b long").distinct(), "near-edges")
-    drop_written(sets)
-    return edges
+    joined = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
+    return written(joined.select("a", "b", "x", "y").mapInArrow(run, "a long, b long").distinct(), "near-edges")
 
 
-def _sharing_rare(rest: DataFrame, texts: DataFrame) -> DataFrame:
-    """rest(node, root, n), distinct, to pairs (a, b) of different roots, among them all whose sets are ALIKE.
+def _sharing_rare(rest: DataFrame, sets: DataFrame) -> DataFrame:
+    """rest(node, root, n), distinct, and sets(node, shingles) to pairs (a, b) of different roots, among them all whose sets are ALIKE.
 
     Of sets with their shingles in one order, rarest first, two of n and m members that share o of them have their first common one at a place up to n - o in the
     one and m - o in the other; and ALIKE sets share 4/9 of n + m or more. So only the rarest few of each set are joined: where copies differ by words of their own,
@@ -293,9 +294,9 @@ def _sharing_rare(rest: DataFrame, texts: DataFrame) -> DataFrame:
     """
     over, under = ALIKE
     schema = pa.schema([("node", pa.int64()), ("shingles", pa.list_(pa.int64()))])
-    hashed = by_batch(lambda ids, found: [ids, [shingle_set(t or "").view(np.int64) for t in found]], ["node", "text"], schema)
-    sets = texts.join(rest.select("node"), "node").dropDuplicates(["node", "text"]).mapInArrow(hashed, "node long, shingles array<long>")
-    each = written(sets.select("node", F.explode("shingles").alias("h")).distinct(), "near-shingles")
+    lists = by_batch(lambda ids, found: [ids, [np.frombuffer(x, np.int64) for x in found]], ["node", "shingles"], schema)
+    own = sets.join(rest.select("node"), "node").mapInArrow(lists, "node long, shingles array<long>")
+    each = written(own.select("node", F.explode("shingles").alias("h")).distinct(), "near-shingles")
     counted = each.join(each.groupBy("h").agg(F.count(F.lit(1)).alias("df")), "h")
     place = F.row_number().over(Window.partitionBy("node").orderBy("df", "h")) - 1
     early = counted.withColumn("p", place).join(rest, "node").where(F.col("p") * under <= F.col("n") * (under - over)).where("df > 1")
@@ -338,16 +339,18 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     def compared(pairs: DataFrame) -> DataFrame:
         """Edges among distinct pairs(a, b)."""
         known = pairs.join(about.toDF("a", "na", "x"), "a").join(about.toDF("b", "nb", "y"), "b")
-        likely = written(_likely(known), "near-likely")
-        return _alike(likely, texts)
+        return _alike(written(_likely(known), "near-likely"), sets)
 
     stars = bands.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
-    edges = compared(stars.union(links(nodes.where("n > 0").select("node", "fp"), ["fp"])).distinct())
+    near = written(stars.union(links(nodes.where("n > 0").select("node", "fp"), ["fp"])).distinct(), "near-candidates")
+    # what can be compared at all: the members of bands, and what fingerprints link
+    sets = _sets(texts, bands.select("node").union(near.select("a")).union(near.select("b")).distinct())
+    edges = compared(near)
     linked = written(components(edges), "near-components")
     rooted = bands.join(linked, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
     apart = rooted.groupBy("key").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r <> s").select("key")
     rest = written(rooted.join(apart, "key").select("node", "root").distinct().join(nodes.select("node", "n"), "node"), "near-rest")
-    more = compared(_sharing_rare(rest, texts).join(stars.union(stars.select("b", "a")), ["a", "b"], "left_anti"))
+    more = compared(_sharing_rare(rest, sets).join(stars.union(stars.select("b", "a")), ["a", "b"], "left_anti"))
     if not more.isEmpty():
         linked = components(edges.union(more))
     copies = marked.join(nodes.where("copies > 1").select(F.col("node").alias("first"), "digest"), "digest").where("node <> first").select("node")
