@@ -22,7 +22,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
+    """One document of each group of near copies; null and empty texts are copies of each other, rows without a doc_id stay."""
     return simhash.one_of_each(docs.select(*COLUMNS))
 
 
@@ -38,7 +38,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [("quality", quality), ("dedup", dedup), ("private", private), ("pack", pack)]
-#: Forest, fingerprints and surrogates are not SQL; tests compare each stage with a brute-force version.
+#: Forest, fingerprints and surrogates are not SQL. Tests hold rule counts, near copies, surrogates and packing against brute force, each on the operator; not the forest's verdict.
 ORACLE_SQL = None
 
 
