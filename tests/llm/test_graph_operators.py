@@ -288,6 +288,24 @@ def test_texts_under_the_similarity_stay(spark):
     assert [i in left for i in range(1, len(texts), 2)] == [s < 0.8 for s in near]
 
 
+def test_sieve_keeps_all_that_is_wanted(spark):
+    nodes = spark.range(20_000).withColumnRenamed("id", "node").withColumn("text", F.lit("t"))
+    wanted = nodes.where("node % 7 = 3").select("node")
+    got = simhash._sieved(nodes, "node", wanted)
+    assert got.columns == ["node", "text"]
+    assert got.join(wanted, "node").count() == wanted.count() and got.count() < 1.05 * wanted.count()
+    assert simhash._sieved(nodes, "node", wanted.limit(0)).count() == 0
+
+
+def test_one_of_each_with_repeated_rows(spark):
+    """Rows of one id are one document: they go if one of their texts is a copy of an earlier document's, and stay with all their rows otherwise."""
+    vocabulary = ["".join(draw.choice("abcdefgh") for _ in range(5)) for _ in range(2000)]
+    a, b, c = (" ".join(draw.choice(vocabulary) for _ in range(200)) for _ in range(3))
+    rows_of = [(1, a), (2, b), (2, b), (2, b), (3, a + " end"), (3, c), (4, b + " end"), (4, b + " end"), (5, c + " more")]
+    docs = spark.createDataFrame(rows_of, "doc_id long, text string").repartition(4)
+    assert sorted(r.doc_id for r in simhash.one_of_each(docs).collect()) == [1, 2, 2, 2]
+
+
 # ---- surrogates
 def test_surrogates(spark):
     texts = [

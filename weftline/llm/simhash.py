@@ -200,6 +200,8 @@ SHINGLE_WORDS, ALIKE = 5, (4, 5)
 BANDS, BAND = 24, 5
 #: Least hashes, of all, that candidates must share to be compared: pairs 0.8 alike share 96 on average, and fewer than this with a probability under 1e-5.
 SHARED = 76
+#: Words of 64 bits of a sieve: 2 MB of bits, some 10 MB as a broadcast table, whatever the corpus.
+SIEVE = 1 << 18
 _mix = np.random.default_rng(SEED)
 _FACTORS, _TERMS = (_mix.integers(0, 1 << 64, (BANDS * BAND, 1), np.uint64) for _ in range(2))
 _FACTORS |= np.uint64(1)
@@ -266,11 +268,35 @@ def jaccard_is_enough(x: np.ndarray, y: np.ndarray) -> bool:
     return ALIKE[1] * shared >= ALIKE[0] * (len(both) - shared)
 
 
-def _sets(texts: DataFrame, wanted: DataFrame) -> DataFrame:
-    """texts(node, text) to (node, shingles), the sets of the wanted nodes, written: the only time that texts are moved."""
+def _sieved(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """rows without most of those whose key is not in wanted (one column): an exact join follows, which then moves few others.
+
+    wanted becomes one bit for each hash of it, in SIEVE words of 64 bits at most, which is what is broadcast. Where wanted has as many members as there are bits, rows pass and the
+    join does all the work.
+    """
+    member = wanted.columns[0]
+    place = f"xxhash64({{0}}) & {SIEVE - 1}"
+    bit = "shiftleft(1L, cast(shiftrightunsigned(xxhash64({0}), 40) & 63 AS int))"
+    sieve = wanted.groupBy(F.expr(place.format(member)).alias("_word")).agg(F.expr(f"bit_or({bit.format(member)})").alias("_bits"))
+    near = rows.withColumn("_word", F.expr(place.format(key))).join(F.broadcast(sieve), "_word")
+    return near.where(F.expr(f"_bits & {bit.format(key)} <> 0")).select(*rows.columns)
+
+
+def _repeated(texts: DataFrame) -> DataFrame | None:
+    """The nodes of several rows; None if there are none."""
+    found = written(texts.groupBy("node").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("node"), "near-repeated")
+    return None if found.isEmpty() else found
+
+
+def _sets(texts: DataFrame, wanted: DataFrame, repeated: DataFrame | None) -> DataFrame:
+    """texts(node, text) to (node, shingles), the sets of the wanted nodes, written: the only time that texts are moved. Rows that are repeated give one set."""
     schema = pa.schema([("node", pa.int64()), ("shingles", pa.binary())])
     hashed = by_batch(lambda ids, found: [ids, [shingle_set(t or "").tobytes() for t in found]], ["node", "text"], schema)
-    return written(texts.join(wanted, "node").mapInArrow(hashed, "node long, shingles binary").distinct(), "near-sets")
+    found = _sieved(texts, "node", wanted).join(wanted, "node")
+    if repeated is not None:  # else no two rows can be equal, and the sets need not be moved to see that
+        again = found.join(repeated, "node")
+        found = found.join(repeated, "node", "left_anti").union(again.distinct())
+    return written(found.mapInArrow(hashed, "node long, shingles binary"), "near-sets")
 
 
 def _alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -281,12 +307,13 @@ def _alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             keep = [jaccard_is_enough(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(keep, pa.bool_())) for i in (0, 1)], names=["a", "b"])
 
-    joined = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
+    x, y = (_sieved(sets, "node", pairs.select(side)).toDF(side, value) for side, value in (("a", "x"), ("b", "y")))
+    joined = pairs.join(x, "a").join(y, "b")
     return written(joined.select("a", "b", "x", "y").mapInArrow(run, "a long, b long").distinct(), "near-edges")
 
 
-def _sharing_rare(rest: DataFrame, sets: DataFrame) -> DataFrame:
-    """rest(node, root, n), distinct, and sets(node, shingles) to pairs (a, b) of different roots, among them all whose sets are ALIKE.
+def _sharing_rare(rest: DataFrame, sets: DataFrame, repeated: DataFrame | None) -> DataFrame:
+    """rest(node, root, n), distinct, and sets(node, shingles), of which only repeated nodes have several, to pairs (a, b) of different roots, among them all whose sets are ALIKE.
 
     Of sets with their shingles in one order, rarest first, two of n and m members that share o of them have their first common one at a place up to n - o in the
     one and m - o in the other; and ALIKE sets share 4/9 of n + m or more. So only the rarest few of each set are joined: where copies differ by words of their own,
@@ -296,7 +323,8 @@ def _sharing_rare(rest: DataFrame, sets: DataFrame) -> DataFrame:
     schema = pa.schema([("node", pa.int64()), ("shingles", pa.list_(pa.int64()))])
     lists = by_batch(lambda ids, found: [ids, [np.frombuffer(x, np.int64) for x in found]], ["node", "shingles"], schema)
     own = sets.join(rest.select("node"), "node").mapInArrow(lists, "node long, shingles array<long>")
-    each = written(own.select("node", F.explode("shingles").alias("h")).distinct(), "near-shingles")
+    each = own.select("node", F.explode("shingles").alias("h"))
+    each = written(each if repeated is None else each.distinct(), "near-shingles")
     counted = each.join(each.groupBy("h").agg(F.count(F.lit(1)).alias("df")), "h")
     place = F.row_number().over(Window.partitionBy("node").orderBy("df", "h")) - 1
     early = counted.withColumn("p", place).join(rest, "node").where(F.col("p") * under <= F.col("n") * (under - over)).where("df > 1")
@@ -344,13 +372,14 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     stars = bands.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
     near = written(stars.union(links(nodes.where("n > 0").select("node", "fp"), ["fp"])).distinct(), "near-candidates")
     # what can be compared at all: the members of bands, and what fingerprints link
-    sets = _sets(texts, bands.select("node").union(near.select("a")).union(near.select("b")).distinct())
+    repeated = _repeated(texts)
+    sets = _sets(texts, written(bands.select("node").union(near.select("a")).union(near.select("b")).distinct(), "near-wanted"), repeated)
     edges = compared(near)
     linked = written(components(edges), "near-components")
     rooted = bands.join(linked, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
     apart = rooted.groupBy("key").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r <> s").select("key")
     rest = written(rooted.join(apart, "key").select("node", "root").distinct().join(nodes.select("node", "n"), "node"), "near-rest")
-    more = compared(_sharing_rare(rest, sets).join(stars.union(stars.select("b", "a")), ["a", "b"], "left_anti"))
+    more = compared(_sharing_rare(rest, sets, repeated).join(stars.union(stars.select("b", "a")), ["a", "b"], "left_anti"))
     if not more.isEmpty():
         linked = components(edges.union(more))
     copies = marked.join(nodes.where("copies > 1").select(F.col("node").alias("first"), "digest"), "digest").where("node <> first").select("node")
