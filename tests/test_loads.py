@@ -66,3 +66,24 @@ def test_everything_reached_from_several_starts(spark):
     starts = spark.createDataFrame([("1", "a"), ("2", "x"), ("3", "c")], "start string, node string")
     got = sorted(tuple(r) for r in graph.reach_from(edges, starts).collect())
     assert got == [("1", "b", 1), ("1", "c", 2), ("2", "a", 2), ("2", "b", 3), ("2", "c", 1), ("3", "a", 1), ("3", "b", 2)]
+
+
+def test_columns_by_convention(spark):
+    from weftline.catalog.tables import Catalog
+    from weftline.lang.names import Workspace
+    from weftline.lang.syntax import parse
+    from weftline.operators import validate
+
+    text = """
+    schema src { a STRING }
+    schema sat (satellite, parent customer) { a STRING }
+    schema lnk (link, link_hubs {customer, product}) { a STRING }
+    schema hist (dimension, scd 2) { a STRING }
+    schema plain (dimension, scd 1) { a STRING }
+    mapping m1 { source { src } target { sat } a -> customer_hk a -> hash_diff a -> other_hk }
+    mapping m2 { source { src } target { lnk } a -> product_hk a -> lnk_hk a -> load_end_date }
+    mapping m3 { source { src } target { hist } a -> row_hash }
+    mapping m4 { source { src } target { plain } a -> row_hash }
+    """
+    got = validate.fields_not_in_schema(Catalog(spark, Workspace([parse(text, "t.spec")])))
+    assert sorted((r.subject, r.message) for r in got.collect()) == [("m1", "sat.other_hk"), ("m2", "lnk.load_end_date"), ("m4", "plain.row_hash")]

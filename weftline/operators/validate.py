@@ -76,14 +76,27 @@ def hidden_sources(c: Catalog) -> DataFrame:
     return _rows(_outside(c).select("mapping", "schema").distinct(), "hidden-source-in-nl", "error", "mapping", F.concat(F.lit("add source "), F.col("schema")))
 
 
+def _convention_fields(c: Catalog) -> DataFrame:
+    """owner, path of the columns that a schema has by convention: by its tags (a dimension's only with history, scd 2 or 6), and the hash keys of hubs and links, of a
+    satellite's parent and of a link's hubs."""
+    meta = c.metadata.where("owner_kind = 'block'")
+    tags = meta.select("owner", F.col("key").alias("tag"))
+    history = meta.where("key = 'scd' AND value IN ('2', '6')").select("owner").distinct()
+    kept = tags.where("tag <> 'dimension'").union(tags.where("tag = 'dimension'").join(history, "owner", "left_semi"))
+    extra = c.spark.createDataFrame([(t, p) for t, ps in CONVENTION.items() for p in ps], "tag string, path string")
+    names = c.schemas.where("kind = 'schema'").select(F.col("key").alias("owner"), "name")
+    own = tags.where("tag IN ('hub', 'link')").join(names, "owner").select("owner", "name")
+    listed = F.concat(F.split(F.coalesce("value", F.lit("")), ","), F.coalesce("values", F.array().cast("array<string>")))
+    others = [meta.where(F.col("key") == key).join(tags.where(F.col("tag") == tag), "owner", "left_semi").select("owner", F.explode(listed).alias("name")).select("owner", F.trim("name").alias("name")) for tag, key in (("satellite", "parent"), ("link", "link_hubs"))]
+    keys = own.union(others[0]).union(others[1]).where("name <> ''").select("owner", F.concat("name", F.lit("_hk")).alias("path"))
+    return kept.join(extra, "tag").select("owner", "path").union(keys)
+
+
 def fields_not_in_schema(c: Catalog) -> DataFrame:
     """Arrow paths that no field has. Paths that start with a dot are valid, as are a convention's columns; schemas whose spreads are missing are not checked."""
     m = c.mappings
     paths = c.fields.select("owner", "path")
-    tagged = c.metadata.where("owner_kind = 'block'").select("owner", F.col("key").alias("tag"))
-    extra = c.spark.createDataFrame([(t, p) for t, ps in CONVENTION.items() for p in ps], "tag string, path string")
-    named = c.schemas.where("kind = 'schema'").join(tagged.where("tag IN ('hub', 'link')"), F.col("key") == F.col("owner")).select("owner", F.concat("name", F.lit("_hk")).alias("path"))
-    valid = paths.union(tagged.join(extra, "tag").select("owner", "path")).union(named).distinct()
+    valid = paths.union(_convention_fields(c)).distinct()
     known = c.schemas.where("kind = 'schema'").select(F.col("key").alias("owner"))
     open_ = c.spark.createDataFrame([(k,) for k, _ in c.workspace.missing] or [("",)], "owner string")
     target = c.arrows.join(m.select(F.col("key").alias("mapping"), F.col("target").alias("owner")), "mapping").select("mapping", "owner", F.col("target").alias("path"))
