@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.llm import ann, bpe, packing, periodic, rules, secrets, sharding, simhash, surrogates, tokenbin, trie, warc
+from weftline.llm import ann, bpe, embedding_dedup, packing, periodic, rules, secrets, sharding, simhash, surrogates, tokenbin, trie, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -55,6 +55,10 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(_read(spark, sf_dir, "documents"))
 
 
+def op11_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(_read(spark, sf_dir, "embeddings"), threshold=0.98).drop("label")
+
+
 def op12_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.digests(_read(spark, sf_dir, "documents"), rebuild=True)
 
@@ -74,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash": op8_simhash,
     "op9_surrogates": op9_surrogates,
     "op10_secrets": op10_secrets,
+    "op11_embeddings": op11_embeddings,
     "op12_periodic": op12_periodic,
     "op13_trie": op13_trie,
 }
@@ -101,6 +106,14 @@ ORACLE: dict[str, str] = {
                CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
                CASE WHEN page_id <> first THEN first END AS refers_to
         FROM p JOIN b USING (h)""",
+    "op11_embeddings": """
+        WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL),
+        u AS (SELECT vec_id, label, e, sqrt(list_inner_product(e, e)) AS length FROM v WHERE NOT list_contains(list_transform(e, lambda x: x IS NULL OR NOT isfinite(x)), true)),
+        l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND a.length > 0 AND b.length > 0
+              WHERE list_inner_product(a.e, b.e) / (a.length * b.length) >= 0.98),
+        r AS (SELECT vec_id AS node, vec_id AS root FROM embeddings UNION SELECT l.b, r.root FROM r JOIN l ON l.a = r.node WHERE r.root < l.b),
+        c AS (SELECT node, min(root) AS component_id FROM r GROUP BY 1), n AS (SELECT a, count(*) AS n FROM l GROUP BY 1)
+        SELECT vec_id, coalesce(n.n, 0) AS n_links, component_id, vec_id = component_id AS kept FROM embeddings LEFT JOIN n ON n.a = vec_id JOIN c ON c.node = vec_id""",
     "op12_periodic": f"""
         WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS o, {_crc32("doc_id")} AS h FROM documents),
         g AS (SELECT doc_id, o, len(o) AS n, h, h // 10 AS g FROM d),
