@@ -5,9 +5,13 @@ Nothing is written here: a caller writes the result to a new path, or with a tab
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftline.operators import timeline
+
 
 def _checked(source: DataFrame, keys: list[str]) -> DataFrame:
     """source, which raises where a key comes twice: a match would be ambiguous."""
@@ -16,9 +20,12 @@ def _checked(source: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def _paired(target: DataFrame, source: DataFrame, keys: list[str]) -> DataFrame:
-    t = target.select(F.struct(*target.columns).alias("t"), *keys)
-    s = source.select(F.struct(*source.columns).alias("s"), *keys)
-    return t.join(s, keys, "full_outer")
+    """Rows t and s of equal keys, or one of them; nulls are equal to nulls, so that a load that is run again changes nothing."""
+    t = target.select(F.struct(*target.columns).alias("t"), *(F.col(k).alias(f"_t{i}") for i, k in enumerate(keys)))
+    s = source.select(F.struct(*source.columns).alias("s"), *(F.col(k).alias(f"_s{i}") for i, k in enumerate(keys)))
+    same = reduce(lambda a, b: a & b, (F.col(f"_t{i}").eqNullSafe(F.col(f"_s{i}")) for i in range(len(keys))))
+    both = t.join(s, same, "full_outer")
+    return both.select("t", "s", *(F.coalesce(F.col(f"_t{i}"), F.col(f"_s{i}")).alias(k) for i, k in enumerate(keys)))
 
 
 def upsert(target: DataFrame, source: DataFrame, keys: list[str], on_match: str = "update", on_no_match: str = "insert", check: bool = True) -> DataFrame:
@@ -77,10 +84,17 @@ def row_hash(columns: list[str]) -> Column:
     return F.sha2(_joined([F.col(c) for c in columns], "|"), 256)
 
 
+def _one_at_a_time(rows: DataFrame, keys: list[str], at: str, digest: str) -> DataFrame:
+    """rows, of those of a key at the same time only the one with the greatest digest: whatever order rows come in, the same one is kept."""
+    after = F.lead(at).over(Window.partitionBy(*keys).orderBy(at, digest))
+    return rows.withColumn("_after", after).where(F.col("_after").isNull() | (F.col("_after") != F.col(at))).drop("_after")
+
+
 def scd2_history(snapshots: DataFrame, keys: list[str], at: str, track: list[str]) -> DataFrame:
-    """Versions from all snapshots of each key: valid_from, valid_to (open: null), is_current, row_hash, surrogate_key. A version starts where a tracked column changes."""
-    by = Window.partitionBy(*keys).orderBy(at)
-    hashed = snapshots.withColumn("row_hash", row_hash(track))
+    """Versions from all snapshots of each key: valid_from, valid_to (open: null), is_current, row_hash, surrogate_key. A version starts where a tracked column changes.
+    Of snapshots at the same time the one with the greatest hash counts."""
+    by = Window.partitionBy(*keys).orderBy(at, "row_hash")
+    hashed = _one_at_a_time(snapshots.withColumn("row_hash", row_hash(track)), keys, at, "row_hash")
     starts = hashed.withColumn("_was", F.lag("row_hash").over(by)).where(F.col("_was").isNull() | (F.col("_was") != F.col("row_hash"))).drop("_was")
     closed = starts.withColumn("valid_to", F.lead(at).over(by)).withColumnRenamed(at, "valid_from")
     return closed.withColumn("is_current", F.col("valid_to").isNull()).withColumn("surrogate_key", F.sha2(_joined([*map(F.col, keys), F.col("valid_from")], "|"), 256))
@@ -89,17 +103,41 @@ def scd2_history(snapshots: DataFrame, keys: list[str], at: str, track: list[str
 def scd2_merge(dimension: DataFrame, source: DataFrame, keys: list[str], track: list[str], now: Column) -> DataFrame:
     """A dimension with versions after a load: changed current versions are closed at now, and new versions open; keys that don't come stay as they are."""
     new = _checked(source, keys).withColumn("row_hash", row_hash(track))
-    current = dimension.where("is_current").select(*keys, F.col("row_hash").alias("_old"))
-    differing = new.join(current, keys, "left").where(F.col("_old").isNull() | (F.col("_old") != F.col("row_hash"))).drop("_old")
+    _, same = _keys_of(new, keys)
+    current = dimension.where("is_current").select(*(F.col(k).alias(f"_t{i}") for i, k in enumerate(keys)), F.col("row_hash").alias("_old"))
+    differing = new.join(current, same, "left").where(F.col("_old").isNull() | (F.col("_old") != F.col("row_hash"))).select(*new.columns)
     key = F.sha2(_joined([*map(F.col, keys), now], "|"), 256)
     opened = differing.withColumns({"valid_from": now, "valid_to": F.lit(None).cast("timestamp_ntz"), "is_current": F.lit(True), "surrogate_key": key})
-    changed = differing.select(*keys, F.lit(True).alias("_changed"))
-    closed = dimension.join(changed, keys, "left")
+    changed, same = _keys_of(differing, keys)
+    closed = dimension.join(changed.withColumn("_changed", F.lit(True)), same, "left")
     closing = F.col("is_current") & F.coalesce("_changed", F.lit(False))
-    closed = closed.withColumns({"valid_to": F.when(closing, now).otherwise(F.col("valid_to")), "is_current": F.col("is_current") & ~closing}).drop("_changed")
+    closed = closed.withColumns({"valid_to": F.when(closing, now).otherwise(F.col("valid_to")), "is_current": F.col("is_current") & ~closing}).select(*dimension.columns)
     return closed.unionByName(opened.select(*(F.col(c).cast(dimension.schema[c].dataType) for c in dimension.columns)))
 
 
+def scd2_arrivals(versions: DataFrame, sightings: DataFrame, source: DataFrame, keys: list[str], at: str, track: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(versions, sightings) after rows have come whose time may lie in the past: whatever order rows arrive in, the versions are those of scd2_history over all of them.
+
+    A change for the past splits the version that was in force then, or moves a start back, or goes into one that says the same. To know where the split one resumes, what was seen when is kept:
+    sightings(keys, at, track), a row for each key and time, the one with the greatest hash where several came. Only the keys that come are derived again, from their own sightings; the versions of
+    all others pass unchanged. Rows without a time are left out; null keys are keys.
+    """
+    named = [*keys, at, *track]
+    new = source.where(F.col(at).isNotNull()).select(*named)
+    touched, same = _keys_of(new, keys)
+    seen = sightings.select(*named)
+    told = seen.join(touched, same, "left_semi").unionByName(new).withColumn("row_hash", row_hash(track))
+    told = _one_at_a_time(told, keys, at, "row_hash").drop("row_hash")
+    again = scd2_history(told, keys, at, track)
+    return versions.join(touched, same, "left_anti").unionByName(again.select(*versions.columns)), seen.join(touched, same, "left_anti").unionByName(told)
+
+
+def _keys_of(rows: DataFrame, keys: list[str]) -> tuple[DataFrame, Column]:
+    """The distinct keys of rows, under names of their own, and the condition that they are the keys of a row of another table; nulls are equal to nulls."""
+    distinct = rows.select(*(F.col(k).alias(f"_t{i}") for i, k in enumerate(keys))).distinct()
+    return distinct, reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"_t{i}")) for i, k in enumerate(keys)))
+
+
 def scd6(history: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:
     """A history of versions with current_<field> on every row."""
     by = Window.partitionBy(*keys).orderBy("valid_from").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
@@ -126,9 +164,11 @@ def _any_null(columns: list[str]) -> Column:
 
 
 def satellite(source: DataFrame, business: list[str], name: str, fields: list[str], load_date: str) -> DataFrame:
-    """A row for each change of the fields, with load_end_date where the next one starts; rows without a key belong to no hub and are left out."""
+    """A row for each change of the fields, with load_end_date where the next one starts; rows without a key belong to no hub and are left out. Of rows at the same time the one with the
+    greatest hash counts."""
     hashed = source.where(~_any_null(business)).select(hash_key(business).alias(f"{name}_hk"), row_hash(fields).alias("hash_diff"), *fields, F.col(load_date).alias("load_date"))
-    by = Window.partitionBy(f"{name}_hk").orderBy("load_date")
+    hashed = _one_at_a_time(hashed, [f"{name}_hk"], "load_date", "hash_diff")
+    by = Window.partitionBy(f"{name}_hk").orderBy("load_date", "hash_diff")
     changed = hashed.withColumn("_was", F.lag("hash_diff").over(by)).where(F.col("_was").isNull() | (F.col("_was") != F.col("hash_diff"))).drop("_was")
     return changed.withColumn("load_end_date", F.lead("load_date").over(by))
 
@@ -151,13 +191,8 @@ def current(versions: DataFrame) -> DataFrame:
 
 
 def as_of(facts: DataFrame, versions: DataFrame, keys: list[str], at: str, start: str = "valid_from", end: str = "valid_to") -> DataFrame:
-    """Each fact with the version of its key that was in force: start <= at < end, an open end being null."""
-    inside = (versions[start] <= facts[at]) & (versions[end].isNull() | (facts[at] < versions[end]))
-    same = [facts[k] == versions[k] for k in keys]
-    condition = inside
-    for s in same:
-        condition = s & condition
-    return facts.join(versions, condition, "left").drop(*(versions[k] for k in keys))
+    """Each fact with the version of its key that was in force: start <= at < end, an open end being null. Versions of a key must not overlap; see timeline.as_of."""
+    return timeline.as_of(facts, versions, keys, at, start, end)
 
 
 def with_dimension_keys(facts: DataFrame, dimensions: dict[str, tuple[DataFrame, str, str]], batch: str | None = None, now: Column | None = None) -> DataFrame:
