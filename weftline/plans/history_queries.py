@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.operators import load, timeline
+from weftline.lang.names import Workspace
+from weftline.lang.syntax import parse
+from weftline.operators import load, sketches, timeline
 from weftline.plans.registry import query
 
 
@@ -136,3 +140,53 @@ def vault_effectivity(spark: SparkSession, d: str) -> DataFrame:
     """The last order of each customer, from its date until the next one's."""
     links = _t(spark, d, "orders").groupBy("o_custkey", "o_orderdate").agg(F.max("o_orderkey").alias("o_orderkey"))
     return load.effectivity(links, ["o_custkey"], "o_orderdate")
+
+
+# ---- measures that roll up
+_SHIPPED = Workspace([parse("""
+schema shipped (metric, source lineitem, grain daily, slice {l_returnflag}, filter "l_quantity > 1") {
+  l_extendedprice DOUBLE (measure additive)
+  rows BIGINT (measure non_additive)
+  parts BIGINT (measure non_additive)
+  dearest DOUBLE (measure non_additive)
+  middle DOUBLE (measure non_additive)
+}
+""")])
+_KEPT = {"rows": sketches.Measure("count"), "parts": sketches.Measure("distinct", "l_partkey"), "dearest": sketches.Measure("max", "l_extendedprice"), "middle": sketches.Measure("quantiles", "l_extendedprice")}
+
+
+def _rolled(spark: SparkSession, d: str) -> tuple[dict[str, DataFrame], sketches.Measures]:
+    """From one table by day and return flag: by day, by month from days, by year from months."""
+    facts = _t(spark, d, "lineitem")
+    days, by, measures = sketches.store_metric(_SHIPPED, "shipped", facts, "l_shipdate", _KEPT)
+    months = sketches.coarser(days, by, measures, "month")
+    return {"day": days, "month": months, "year": sketches.coarser(months, by, measures, "year")}, measures
+
+
+_GRAINS = " UNION ALL ".join(f"SELECT '{g}' AS grain, l_returnflag, date_trunc('{g}', l_shipdate)::TIMESTAMP AS period, l_partkey, l_extendedprice FROM lineitem WHERE l_quantity > 1" for g in ("day", "month", "year"))
+
+
+@query("metric_rollup", f"SELECT grain, l_returnflag, period::DATE AS period, count(*) AS rows, round(sum(l_extendedprice), 2) AS l_extendedprice, max(l_extendedprice) AS dearest FROM ({_GRAINS}) GROUP BY ALL")
+def metric_rollup(spark: SparkSession, d: str) -> DataFrame:
+    grains, measures = _rolled(spark, d)
+    told = [sketches.answers(t, measures).select(F.lit(g).alias("grain"), "l_returnflag", F.col("period").cast("date").alias("period"), "rows", F.round("l_extendedprice", 2).alias("l_extendedprice"), "dearest") for g, t in grains.items()]
+    return reduce(DataFrame.unionByName, told)
+
+
+@query("metric_rollup_errors", f"""SELECT grain, l_returnflag, period::DATE AS period, count(DISTINCT l_partkey) AS parts, true AS parts_within, true AS middle_within FROM ({_GRAINS}) GROUP BY ALL""")
+def metric_rollup_errors(spark: SparkSession, d: str) -> DataFrame:
+    """The exact number of parts, and whether the sketches' distinct count and median keep their bounds, at every grain. The exact numbers read all facts; the sketches only read the stored days."""
+    grains, measures = _rolled(spark, d)
+    facts, out = _t(spark, d, "lineitem").where("l_quantity > 1"), []
+    for g, t in grains.items():
+        told = sketches.answers(t, measures).select("l_returnflag", "period", F.col("parts").alias("guess"), "middle_median")
+        both = facts.withColumn("period", F.date_trunc(g, "l_shipdate")).join(told, ["l_returnflag", "period"])
+        share = lambda c: F.count_if(c) / F.count(F.lit(1))
+        middle, slack = F.col("middle_median"), 2 * measures["middle"].error()
+        exact = both.groupBy("l_returnflag", F.col("period").cast("date").alias("period")).agg(
+            F.count_distinct("l_partkey").alias("parts"), F.first("guess").alias("guess"),
+            ((share(F.col("l_extendedprice") < middle) <= 0.5 + slack) & (share(F.col("l_extendedprice") <= middle) >= 0.5 - slack)).alias("middle_within"),
+        )
+        within = F.abs(F.col("guess") - F.col("parts")) <= F.greatest(F.lit(1.0), measures["parts"].error() * F.col("parts"))
+        out.append(exact.select(F.lit(g).alias("grain"), "l_returnflag", "period", "parts", within.alias("parts_within"), "middle_within"))
+    return reduce(DataFrame.unionByName, out)
