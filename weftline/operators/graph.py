@@ -3,23 +3,13 @@
 from __future__ import annotations
 
 import functools
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftline.catalog.tables import Catalog
-
-
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """df from the folder that driver and executors share, without its history."""
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None):  # as in tests
-        folder = "file://" + tempfile.mkdtemp(prefix="weftline-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-        spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint()
+from weftline.storage import cut_lineage
 
 
 def reach_from(edges: DataFrame, starts: DataFrame, depth: int = 10) -> DataFrame:

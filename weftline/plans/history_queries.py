@@ -11,6 +11,7 @@ from weftline.lang.names import Workspace
 from weftline.lang.syntax import parse
 from weftline.operators import load, sketches, timeline
 from weftline.plans.registry import query
+from weftline.streaming import late as stream
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -190,3 +191,17 @@ def metric_rollup_errors(spark: SparkSession, d: str) -> DataFrame:
         within = F.abs(F.col("guess") - F.col("parts")) <= F.greatest(F.lit(1.0), measures["parts"].error() * F.col("parts"))
         out.append(exact.select(F.lit(g).alias("grain"), "l_returnflag", "period", "parts", within.alias("parts_within"), "middle_within"))
     return reduce(DataFrame.unionByName, out)
+
+
+# ---- late rows of streams
+@query("stream_late_rows", "SELECT user_id, time_bucket(INTERVAL 7 DAYS, ts, TIMESTAMP '1970-01-01')::DATE AS week, count(*) AS n, round(sum(value), 3) AS total, min(value) AS low, max(value) AS high FROM events GROUP BY 1, 2")
+def stream_late_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Events replayed out of order, up to ten days late and every eleventh one twice: the windows that hold in the end are those of the table."""
+    e = _t(spark, d, "events").select("event_id", "user_id", "ts", "value")
+    block = F.floor(F.datediff("ts", F.lit("2024-01-01").cast("date")) / 6).cast("int")
+    last = e.agg(F.max(block)).first()[0] or 0
+    late = e.withColumn("batch", block + F.pmod(F.xxhash64("event_id"), F.lit(2)).cast("int"))
+    twice = late.unionByName(late.where("event_id % 11 = 0").withColumn("batch", F.col("batch") + 1))
+    emitted = stream.settled(stream.corrected(stream.replayed(twice, "batch", last + 3), ["user_id"], "ts", "value", "event_id", "7 days", "21 days"), "late-rows")
+    held = stream.holding(emitted, ["user_id"])
+    return held.select("user_id", F.col("window_start").cast("date").alias("week"), "n", F.round("total", 3).alias("total"), "low", "high")
