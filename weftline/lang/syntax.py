@@ -367,7 +367,7 @@ class _Parser:
     def arrow(self) -> Arrow:
         start = self.now
         kind = "map"
-        if start.text in ("each", "flatten") and self.peek().kind in ("name", "tick", "mark") and self.peek().text not in ("->", ",", "."):
+        if start.text in ("each", "flatten") and self.peek().kind in ("name", "tick", "mark") and (self.peek().text not in ("->", ",", ".") or self.peek().text == "." and self.peek().start > start.end):
             kind = self.next().text
         sources = []
         while self.now.text != "->":

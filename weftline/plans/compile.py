@@ -3,12 +3,15 @@
 Every arrow becomes one column expression and the mapping one select (or one aggregation), so that the optimiser sees the whole plan. Filters of sources
 come before anything else, list filters before their list is exploded. Conditions under which rows go are collected from all arrows and applied once,
 on the values at their place in the chain. Prose is never guessed at: an arrow whose chain holds prose without a binding is listed as unresolved and its target is null.
+
+An arrow without a source whose prose is arithmetic of references is computed from target fields: these arrows come after the others, in stages, one select each, so that each takes the finished
+values of those it needs.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import reduce
 
 from pyspark.errors import AnalysisException
@@ -18,7 +21,8 @@ from pyspark.sql import functions as F
 from weftline.functions.steps import AGGREGATES, Context, Value, apply
 from weftline.functions.types import field_type
 from weftline.lang.names import Workspace
-from weftline.lang.syntax import Arrow, Block, Field
+from weftline.lang.syntax import Arrow, Block, Field, unquote
+from weftline.plans.formula import NotAFormula, formula, stages
 from weftline.plans.predicate import NotAPredicate, predicate
 
 Binding = Callable[[Column], Column] | str
@@ -214,35 +218,42 @@ def compile_mapping(workspace: Workspace, name: str, inputs: dict[str, DataFrame
     names = [s.name.split("::")[-1] for s in mapping.sources if not s.is_prose]
     scope = _Scope(names)
     arrows = _Arrows(scope, context, options, filters)
-    if len(flat) > 1:
-        raise ValueError("a mapping flattens one list")
-    if flat:
-        explode = F.explode_outer if options.outer else F.explode
-        rows = rows.select("*", explode(arrows.filtered(scope, flat[0].sources[0])).alias("_element"))
+    rows, placed = _flattened(rows, arrows, flat, scope, options.outer)
+    if len(flat) == 1:  # arrows outside the block may still name the list's elements
         scope = arrows.scope = _Scope(names, F.col("_element"), flat[0].sources[0].lstrip("."), scope)
     made: dict[str, Column] = {}
     nested: dict[str, dict] = {}
     plain_keys: list[str] = []
-    for a in [*tops, *(c for f in flat for c in f.children)]:
+    every = [(a, "", scope) for a in tops] + placed
+    computed = _computed(workspace, mapping, every, options)
+    for a, inside, own in every:
         path = a.target.lstrip(".").split("::")[-1]
-        if flat and path.startswith(f"{flat[0].target.lstrip('.')}."):
-            path = path[len(flat[0].target.lstrip(".")) + 1 :]
+        if inside and path.startswith(f"{inside}."):
+            path = path[len(inside) + 1 :]
         head, _, rest = path.partition(".")
+        if head in computed:
+            continue
         if rest:
             at, field = nested.setdefault(head, {}), declared.get(head)
             *between, last = rest.split(".")
             for name in between:
                 at, field = at.setdefault(name, {}), _child(field, name)
             field = _child(field, last)
-            at[last] = arrows.typed(arrows.item(a, scope, field), field)
+            at[last] = arrows.typed(arrows.item(a, own, field), field)
             continue
-        made[head] = arrows.typed(arrows.item(a, scope, declared.get(head)), declared.get(head))
+        made[head] = arrows.typed(arrows.item(a, own, declared.get(head)), declared.get(head))
         if not _is_aggregate(a):
             plain_keys.append(head)
     for head, parts in nested.items():
         made[head] = _struct(parts, declared.get(head))
         plain_keys.append(head)
+    carried = {f"_source{i}": scope.column(r) for i, r in enumerate(sorted({r for c in computed.values() for r in c.from_source}))}
+    origin = dict(zip(sorted({r for c in computed.values() for r in c.from_source}), carried, strict=True))
+    if grouped and carried:
+        raise ValueError(f"fields of a group are computed from target fields, not from rows: {', '.join(origin)}")
     order = [n for n in declared if n in made] + [n for n in made if n not in declared]
+    final = [n for n in declared if n in made or n in computed] + [n for n in [*made, *computed] if n not in declared]
+    finish = lambda out: _staged(out, computed, origin, declared, arrows, context).select(*final) if computed else out.select(*order)
     warned = None
     if grouped:
         # what a step says of source rows counts before they are grouped, and what it says of an aggregate after it
@@ -260,17 +271,97 @@ def compile_mapping(workspace: Workspace, name: str, inputs: dict[str, DataFrame
             out = rows.groupBy(*keyed).agg(*(made[n].alias(n) for n in order if n not in plain_keys), *extra) if len(plain_keys) < len(order) or extra else rows.select(*keyed).distinct()
         else:
             source_keys = [scope.column(k).alias(f"_key{i}") for i, k in enumerate(keys)]  # a target may have a key's name
-            lifted = {n: (F.any_value(made[n]) if n in plain_keys else made[n]) for n in order}
+            of = (lambda c: F.min(c)) if options.order is None else (lambda c: F.min_by(c, options.order))
+            lifted = {n: (of(made[n]) if n in plain_keys else made[n]) for n in order}  # whatever order rows come in
             out = rows.groupBy(*source_keys).agg(*(c.alias(n) for n, c in lifted.items()), *extra)
         texts = [text for text, bad in arrows.warnings if any(bad is b for b in bad_groups)]
         if texts:
             groups = out.select(*order, _said([(t, F.col(n)) for t, n in zip(texts, list(late)[len(having) :], strict=True)])).where(F.size("warnings") > 0)
             warned = groups if warned is None else warned.unionByName(groups, allowMissingColumns=True)
-        return Compiled(_without(out, [F.col(n) for n in list(late)[: len(having)]]).select(*order), warned, context.unresolved)
+        return Compiled(finish(_without(out, [F.col(n) for n in list(late)[: len(having)]])), warned, context.unresolved)
     if arrows.warnings:
         warned = rows.select(*(made[n].alias(n) for n in order), _said(arrows.warnings)).where(F.size("warnings") > 0)
     rows = _without(rows, arrows.drops)
-    return Compiled(rows.select(*(made[n].alias(n) for n in order)), warned, context.unresolved)
+    return Compiled(finish(rows.select(*(made[n].alias(n) for n in order), *(c.alias(n) for n, c in carried.items()))), warned, context.unresolved)
+
+
+def _flattened(rows: DataFrame, arrows: _Arrows, flats: list[Arrow], scope: _Scope, outer: bool) -> tuple[DataFrame, list[tuple[Arrow, str, _Scope]]]:
+    """rows with an element of each list, and (arrow, its block's target, its scope) for what the blocks hold.
+
+    Lists of several blocks beside each other are aligned by position: one explode of as many places as the longest has, and nulls where a list has ended; never their product. A block inside
+    a block explodes a list of the element, after it. Rows without any element are dropped, or kept with nulls (outer).
+    """
+    placed: list[tuple[Arrow, str, _Scope]] = []
+    explode = F.explode_outer if outer else F.explode
+    level, depth = [(f, f.target.lstrip("."), scope) for f in flats], 0
+    while level:
+        name = "_element" if depth == 0 else f"_element{depth}"
+        lists = [arrows.filtered(s, f.sources[0]) for f, _, s in level]
+        if len(level) == 1:
+            rows, elements = rows.select("*", explode(lists[0]).alias(name)), [F.col(name)]
+        else:
+            most = F.greatest(*(F.coalesce(F.size(x), F.lit(0)) for x in lists))
+            places = F.when(most > 0, F.sequence(F.lit(0), most - 1)).otherwise(F.array().cast("array<int>"))
+            aligned = F.transform(places, lambda i: F.struct(*(F.get(x, i).alias(f"e{k}") for k, x in enumerate(lists))))
+            rows, elements = rows.select("*", explode(aligned).alias(name)), [F.col(name)[f"e{k}"] for k in range(len(level))]
+        below = []
+        for (f, inside, s), element in zip(level, elements, strict=True):
+            own = _Scope(s.sources, element, f.sources[0].lstrip("."), s)
+            placed += [(c, inside, own) for c in f.children if c.kind != "flatten"]
+            below += [(c, c.target.lstrip("."), own) for c in f.children if c.kind == "flatten"]
+        level, depth = below, depth + 1
+    return rows, placed
+
+
+@dataclass
+class _Computed:
+    """An arrow on target fields: what it needs of them and of the sources, how they make its column, and the steps after that."""
+
+    arrow: Arrow
+    needs: set[str]
+    from_source: set[str]
+    column: Callable[[Callable[[str], Column]], Column]
+
+
+def _computed(workspace: Workspace, mapping: Block, every: list[tuple[Arrow, str, _Scope]], options: Options) -> dict[str, _Computed]:
+    """The arrows without a source whose first step is arithmetic of references, each to a target field of the mapping or a field of its sources."""
+    targets = {a.target.lstrip(".").split("::")[-1].split(".")[-1 if inside else 0] for a, inside, _ in every}
+    out = {}
+    for a, _, _ in every:
+        name = a.target.lstrip(".").split("::")[-1]
+        bound = options.bindings.get(f"target:{name}")
+        text = a.steps[0].text if a.steps and a.steps[0].kind == "text" else ""
+        if a.sources or bound is not None or not text or options.bindings.get(text) or options.bindings.get(unquote(text)):
+            continue
+        try:
+            said = formula(unquote(text))
+        except NotAFormula:
+            continue
+        of_source = {r for r in said.refs if r not in targets}
+        if all(_in_sources(workspace, mapping, r) for r in of_source):
+            out[name] = _Computed(a, set(said.refs) - of_source, of_source, said.column)
+    return out
+
+
+def _in_sources(workspace: Workspace, mapping: Block, ref: str) -> bool:
+    for s in mapping.sources:
+        key = None if s.is_prose else workspace.find(s.name, mapping.namespace, workspace.schemas)
+        if key and any(path in (ref, ref.split("::")[-1].partition(".")[2]) for path, _, _ in workspace.paths(key)):
+            return True
+    return False
+
+
+def _staged(out: DataFrame, computed: dict[str, _Computed], origin: dict[str, str], declared: dict[str, Field], arrows: _Arrows, context: Context) -> DataFrame:
+    """out with its computed fields, a select for each stage."""
+    plain = replace(context, grouped=False)
+    for names in stages({n: c.needs for n, c in computed.items()}):
+        made = {}
+        for n in names:
+            one = computed[n]
+            got = apply(Value(one.column(lambda r: F.col(f"`{origin.get(r, r)}`")), F.lit(True)), one.arrow.steps[1:], plain)
+            made[n] = arrows.typed(F.lit(None) if got is None else got.column, declared.get(n))
+        out = out.withColumns(made)
+    return out
 
 
 def _child(field: Field | None, name: str) -> Field | None:

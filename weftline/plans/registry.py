@@ -26,6 +26,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 def queries() -> dict[str, Query]:
     import weftline.plans.history_queries  # noqa: F401  fills the registry
+    import weftline.plans.mapping_queries  # noqa: F401
     import weftline.plans.queries  # noqa: F401
 
     return _QUERIES
