@@ -112,7 +112,7 @@ def scd2_merge(dimension: DataFrame, source: DataFrame, keys: list[str], track:
     closed = dimension.join(changed.withColumn("_changed", F.lit(True)), same, "left")
     closing = F.col("is_current") & F.coalesce("_changed", F.lit(False))
     closed = closed.withColumns({"valid_to": F.when(closing, now).otherwise(F.col("valid_to")), "is_current": F.col("is_current") & ~closing}).select(*dimension.columns)
-    return closed.unionByName(opened.select(*(F.col(c).cast(dimension.schema[c].dataType) for c in dimension.columns)))
+    return closed.unionByName(opened.select(*(F.col(c).cast(dimension.schema[c].dataType) for c in dimension.columns if c in opened.columns)), allowMissingColumns=True)
 
 
 def scd2_arrivals(versions: DataFrame, sightings: DataFrame, source: DataFrame, keys: list[str], at: str, track: list[str]) -> tuple[DataFrame, DataFrame]:

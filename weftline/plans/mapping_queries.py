@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from weftline.lang.names import Workspace
 from weftline.lang.syntax import parse
 from weftline.plans.compile import Options, compile_mapping
+from weftline.plans.loading import load_mapping
 from weftline.plans.registry import query
 
 
@@ -130,3 +131,95 @@ def group_other_columns_by_order(spark: SparkSession, d: str) -> DataFrame:
     """The same columns of the dearest order."""
     order = F.struct(-F.col("o_totalprice"), F.col("o_orderkey"))
     return compile_mapping(_LISTS, "grouped", {"orders": _t(spark, d, "orders")}, Options(order=order)).rows
+
+
+# ---- load strategies from tokens
+_LOADS = Workspace([parse("""
+schema customer { c_custkey BIGINT c_name STRING c_nationkey INT c_acctbal DOUBLE c_mktsegment STRING }
+schema accounts { id BIGINT name STRING balance DOUBLE note STRING }
+mapping `accounts upsert` (merge upsert, match_on id) { source { customer } target { accounts } c_custkey -> id c_name -> name { lowercase } c_acctbal -> balance }
+mapping `accounts new` (merge upsert, match_on id, on_match skip) { source { customer } target { accounts } c_custkey -> id c_name -> name { uppercase } c_acctbal -> balance }
+mapping `accounts known` (merge upsert, match_on {id, name}, on_no_match skip) { source { customer } target { accounts } c_custkey -> id c_name -> name c_acctbal -> balance { * 2 } }
+mapping `accounts log` (merge append) { source { customer } target { accounts } c_custkey -> id c_name -> name }
+schema closed { id BIGINT name STRING gone BOOLEAN gone_at TIMESTAMP }
+mapping `accounts closed` (merge soft_delete, match_on id, delete_flag gone, delete_timestamp gone_at) { source { customer (filter "c_acctbal < 0") } target { closed } c_custkey -> id c_name -> name }
+schema dim_customer (dimension, scd 2, natural_key id, track {segment}) { id BIGINT name STRING segment STRING nation INT }
+mapping dim_load { source { customer } target { dim_customer } c_custkey -> id c_name -> name c_mktsegment -> segment c_nationkey -> nation }
+schema dim_overlay (dimension, scd 6, natural_key id, ignore {name}) { id BIGINT name STRING segment STRING nation INT }
+mapping overlay_load { source { customer } target { dim_overlay } c_custkey -> id c_name -> name c_mktsegment -> segment c_nationkey -> nation }
+schema dim_first (dimension, scd 1, natural_key id) { id BIGINT segment STRING }
+mapping first_load { source { customer } target { dim_first } c_custkey -> id c_mktsegment -> segment }
+""")])
+
+
+def _accounts(spark: SparkSession, d: str) -> DataFrame:
+    return _t(spark, d, "customer").where("c_custkey % 3 <> 0").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_acctbal").alias("balance"), F.lit("kept").alias("note"))
+
+
+def _into(spark: SparkSession, d: str, mapping: str, rows: DataFrame, target: DataFrame | None = None, now: str | None = None) -> DataFrame:
+    at = None if now is None else F.lit(now).cast("timestamp_ntz")
+    return load_mapping(_LOADS, mapping, {"customer": rows}, target, Options(now=at)).rows
+
+
+_ACCOUNTS = "(SELECT c_custkey AS id, c_name AS name, c_acctbal AS balance, 'kept' AS note FROM customer WHERE c_custkey % 3 <> 0)"
+
+
+@query("load_upsert", f"""SELECT coalesce(n.c_custkey, o.id) AS id, coalesce(lower(n.c_name), o.name) AS name, coalesce(n.c_acctbal, o.balance) AS balance, o.note FROM {_ACCOUNTS} o FULL JOIN (SELECT * FROM customer WHERE c_custkey % 2 = 0) n ON o.id = n.c_custkey""")
+def load_upsert(spark: SparkSession, d: str) -> DataFrame:
+    """Matched rows are updated and keep the columns that nothing is mapped to; the others come in."""
+    return _into(spark, d, "accounts upsert", _t(spark, d, "customer").where("c_custkey % 2 = 0"), _accounts(spark, d))
+
+
+@query("load_upsert_skip", f"""SELECT * FROM {_ACCOUNTS} UNION ALL SELECT c_custkey, upper(c_name), c_acctbal, NULL FROM customer WHERE c_custkey % 3 = 0""")
+def load_upsert_skip(spark: SparkSession, d: str) -> DataFrame:
+    return _into(spark, d, "accounts new", _t(spark, d, "customer"), _accounts(spark, d))
+
+
+@query("load_update_only", f"""SELECT o.id, o.name, CASE WHEN o.id % 2 = 0 THEN o.balance * 2 ELSE o.balance END AS balance, o.note FROM {_ACCOUNTS} o""")
+def load_update_only(spark: SparkSession, d: str) -> DataFrame:
+    """Two fields are the key, and rows that are not there stay out."""
+    return _into(spark, d, "accounts known", _t(spark, d, "customer").where("c_custkey % 2 = 0"), _accounts(spark, d))
+
+
+@query("load_append", f"""SELECT * FROM {_ACCOUNTS} UNION ALL SELECT c_custkey, c_name, NULL, NULL FROM customer""")
+def load_append(spark: SparkSession, d: str) -> DataFrame:
+    return _into(spark, d, "accounts log", _t(spark, d, "customer"), _accounts(spark, d))
+
+
+@query("load_soft_delete", """SELECT c_custkey AS id, c_name AS name, c_acctbal < 0 AS gone, CASE WHEN c_acctbal < 0 THEN TIMESTAMP '2024-05-01' END AS gone_at FROM customer WHERE c_custkey % 3 <> 0 OR c_acctbal < 0""")
+def load_soft_delete(spark: SparkSession, d: str) -> DataFrame:
+    there = _accounts(spark, d).select("id", "name", F.lit(False).alias("gone"), F.lit(None).cast("timestamp_ntz").alias("gone_at"))
+    return _into(spark, d, "accounts closed", _t(spark, d, "customer"), there, "2024-05-01")
+
+
+def _moved(rows: DataFrame) -> DataFrame:
+    """Every third customer in another segment, every fifth with another name."""
+    segment = F.when(F.col("c_custkey") % 3 == 0, "MOVED").otherwise(F.col("c_mktsegment"))
+    return rows.withColumns({"c_mktsegment": segment, "c_name": F.when(F.col("c_custkey") % 5 == 0, F.lit("renamed")).otherwise(F.col("c_name"))})
+
+
+_TWICE = """WITH c AS (SELECT *, c_custkey % 3 = 0 AND c_custkey % 2 = 0 AND c_mktsegment <> 'MOVED' AS moved, CASE WHEN c_custkey % 5 = 0 THEN 'renamed' ELSE c_name END AS renamed FROM customer)
+    SELECT c_custkey AS id, c_name AS name, c_mktsegment AS segment, c_nationkey AS nation, TIMESTAMP '2024-01-01' AS valid_from, CASE WHEN moved THEN TIMESTAMP '2024-02-01' END AS valid_to, NOT moved AS is_current FROM c
+    UNION ALL SELECT c_custkey, renamed, 'MOVED', c_nationkey, TIMESTAMP '2024-02-01', NULL, true FROM c WHERE moved"""
+
+
+@query("load_scd2", _TWICE)
+def load_scd2(spark: SparkSession, d: str) -> DataFrame:
+    """A first load and a second one of every second customer: only the tracked field makes versions, another name alone does not."""
+    c = _t(spark, d, "customer")
+    first = _into(spark, d, "dim_load", c, None, "2024-01-01")
+    return _into(spark, d, "dim_load", _moved(c.where("c_custkey % 2 = 0")), first, "2024-02-01").drop("row_hash", "surrogate_key")
+
+
+@query("load_scd6", f"""SELECT *, last_value(segment) OVER w AS current_segment, last_value(nation) OVER w AS current_nation FROM ({_TWICE}) WINDOW w AS (PARTITION BY id ORDER BY valid_from ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)""")
+def load_scd6(spark: SparkSession, d: str) -> DataFrame:
+    """The same with the current values on every version; all fields but the name are tracked."""
+    c = _t(spark, d, "customer")
+    first = _into(spark, d, "overlay_load", c, None, "2024-01-01")
+    return _into(spark, d, "overlay_load", _moved(c.where("c_custkey % 2 = 0")), first, "2024-02-01").drop("row_hash", "surrogate_key")
+
+
+@query("load_scd1", """SELECT c_custkey AS id, CASE WHEN c_custkey % 6 = 0 THEN 'MOVED' ELSE c_mktsegment END AS segment FROM customer""")
+def load_scd1(spark: SparkSession, d: str) -> DataFrame:
+    c = _t(spark, d, "customer")
+    return _into(spark, d, "first_load", _moved(c.where("c_custkey % 2 = 0")), _into(spark, d, "first_load", c))
