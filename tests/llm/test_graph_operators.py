@@ -548,3 +548,31 @@ def test_words_are_no_secrets_and_random_keys_are(spark):
     for i in got:
         want = [f"random:{a}:{b}" for j, a, b, n, s in runs if j == i and s >= 0 and 10 ** (-s / 50) / weight(n) <= last * (1 + 1e-12)]
         assert i == 421 or [x for x in got[i].spans.split(",") if x.startswith("random")] == want, texts[i][:80]
+
+
+@pytest.mark.parametrize("block", [1024, 7])
+def test_texts_of_one_form_are_paired_only_where_they_can_be_alike(spark, monkeypatch, block):
+    """Forms with a few or many words of their own: the rarest shingles give every pair that is alike, cut into blocks or not, and nothing at all where all have too many."""
+    monkeypatch.setattr(simhash, "PAIRED", block)
+    draw = random.Random(8)
+    forms = [[f"w{f}_{i}" for i in range(150 + 60 * f)] for f in range(3)]
+    texts = []
+    for i in range(90):
+        words = list(forms[i % 3])
+        at = draw.randrange(len(words) - 12)
+        words[at : at + draw.choice([1, 2, 4, 12])] = [f"own{i}_{k}" for k in range(draw.choice([1, 2, 3, 30]))]
+        texts.append(" ".join(words))
+
+    def paired(rows):
+        df = spark.createDataFrame(list(enumerate(rows)), "node long, text string").repartition(4)
+        marked = simhash._sketches(df)
+        rest, about = marked.select("node", F.col("node").alias("root"), "n"), marked.select("node", "n", "sketch")
+        sets = spark.createDataFrame([(i, simhash.shingle_set(t).tobytes()) for i, t in enumerate(rows)], "node long, shingles binary")
+        return {(r.a, r.b) for r in simhash._sharing_rare(rest, sets, about, None).collect()}
+
+    found = [simhash.shingle_set(t) for t in texts]
+    alike = {(a, b) for a in range(90) for b in range(a + 1, 90) if simhash.jaccard_is_enough(found[a], found[b])}
+    assert len(alike) > 100 and alike <= paired(texts)
+    form = [f"w{i}" for i in range(200)]
+    many = [" ".join(form[:80] + [f"own{i}_{k}" for k in range(27)] + form[107:]) for i in range(200)]
+    assert paired(many) == set()

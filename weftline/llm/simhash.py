@@ -200,6 +200,8 @@ SHINGLE_WORDS, ALIKE = 5, (4, 5)
 BANDS, BAND = 24, 5
 #: Least hashes, of all, that candidates must share to be compared: pairs 0.8 alike share 96 on average, and fewer than this with a probability under 1e-5.
 SHARED = 76
+#: Texts of a block, by expectation: two blocks are compared in one task.
+PAIRED = 1024
 #: Words of 64 bits of a sieve: 2 MB of bits, some 10 MB as a broadcast table, whatever the corpus.
 SIEVE = 1 << 18
 _mix = np.random.default_rng(SEED)
@@ -312,12 +314,16 @@ def _alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return written(joined.select("a", "b", "x", "y").mapInArrow(run, "a long, b long").distinct(), "near-edges")
 
 
-def _sharing_rare(rest: DataFrame, sets: DataFrame, repeated: DataFrame | None) -> DataFrame:
-    """rest(node, root, n), distinct, and sets(node, shingles), of which only repeated nodes have several, to pairs (a, b) of different roots, among them all whose sets are ALIKE.
+def _sharing_rare(rest: DataFrame, sets: DataFrame, about: DataFrame, repeated: DataFrame | None) -> DataFrame:
+    """rest(node, root, n), distinct, sets(node, shingles), of which only repeated nodes have several, and about(node, n, sketch) to likely pairs (a, b) of different roots, among them all whose sets
+    are ALIKE but for what SHARED misses.
 
     Of sets with their shingles in one order, rarest first, two of n and m members that share o of them have their first common one at a place up to n - o in the
-    one and m - o in the other; and ALIKE sets share 4/9 of n + m or more. So only the rarest few of each set are joined: where copies differ by words of their own,
-    those are shared with nobody. Shingles whose texts are all connected are left out.
+    one and m - o in the other; and ALIKE sets share 4/9 of n + m or more. So a set of n that has a shingle at place p is ALIKE only to sets of ``most`` = 9/4 (n - p) - n members or fewer. Where most < n for
+    both sets of a pair neither can have the other's size, so a shingle is of use only if some set has it so early that most >= n: texts made from one form, each with words of its own
+    on more than a ninth of its places, drop out here, however many they are. Shingles whose texts are all connected are left out too.
+
+    The texts of a shingle are cut into blocks, and every pair of blocks is compared in one task, which gives pairs only where places, sizes and sketches fit.
     """
     over, under = ALIKE
     schema = pa.schema([("node", pa.int64()), ("shingles", pa.list_(pa.int64()))])
@@ -327,15 +333,55 @@ def _sharing_rare(rest: DataFrame, sets: DataFrame, repeated: DataFrame | None)
     each = written(each if repeated is None else each.distinct(), "near-shingles")
     counted = each.join(each.groupBy("h").agg(F.count(F.lit(1)).alias("df")), "h")
     place = F.row_number().over(Window.partitionBy("node").orderBy("df", "h")) - 1
-    early = counted.withColumn("p", place).join(rest, "node").where(F.col("p") * under <= F.col("n") * (under - over)).where("df > 1")
-    early = written(early.select("h", "node", "root", "n", "p"), "near-early")
-    mixed = early.groupBy("h").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r <> s").select("h")
-    early = early.join(mixed, "h")
-    x, y = early.toDF("h", "a", "ra", "na", "pa"), early.toDF("h", "b", "rb", "nb", "pb")
-    shared = F.ceil((F.col("na") + F.col("nb")) * over / (over + under))
-    fits = (F.col("na") * under >= F.col("nb") * over) & (F.col("pa") <= F.col("na") - shared) & (F.col("pb") <= F.col("nb") - shared)
-    smaller = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))
-    return x.join(y, "h").where(smaller & (F.col("ra") != F.col("rb")) & fits).select("a", "b").distinct()
+    most = F.floor((F.col("n") - F.col("p")) * (over + under) / over) - F.col("n")
+    early = counted.withColumn("p", place).join(rest, "node").where("df > 1").withColumn("most", most).where(F.col("most") * under >= F.col("n") * over)
+    early = written(early.select("h", "node", "root", "n", "most"), "near-early")
+    drop_written(each)
+    useful = early.groupBy("h").agg(F.min("root").alias("r"), F.max("root").alias("s"), F.max(F.col("most") - F.col("n")).alias("slack"), F.min("n").alias("low"), F.max("most").alias("top"), F.count(F.lit(1)).alias("met"))
+    useful = useful.where("r <> s AND slack >= 0").select("h", "low", "top", F.ceil(F.col("met") / PAIRED).cast("int").alias("blocks"))
+    met = early.join(useful, "h").where("most >= low AND n <= top").withColumn("own", F.pmod(F.xxhash64("node", "h"), F.col("blocks")).cast("int"))
+    dealt = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    ends = dealt.select("h", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "root", "n", "most")
+    told = ends.join(about.select("node", "sketch"), "node").select("h", "i", "j", "own", "node", "root", "n", "most", "sketch")
+    return told.repartition("h", "i", "j").sortWithinPartitions("h", "i", "j").mapInArrow(_paired, "a long, b long").distinct()
+
+
+def _paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by (h, i, j) to likely pairs within each of these groups; where i and j differ, across the two blocks alone."""
+    kept: list[tuple[np.ndarray, ...]] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        now = tuple(batch.column(k).to_numpy() for k in range(8)) + (np.frombuffer(b"".join(batch.column(8).to_pylist()), np.uint8).reshape(batch.num_rows, -1),)
+        cols = tuple(np.concatenate(x) for x in zip(*kept, now, strict=True)) if kept else now
+        h, i, j = cols[:3]
+        edges = np.flatnonzero((h[1:] != h[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
+        for start, stop in zip([0, *edges[:-1].tolist()], edges.tolist(), strict=False):
+            yield from _group_pairs([c[start:stop] for c in cols[1:]])
+        cut = int(edges[-1]) if len(edges) else 0
+        kept = [tuple(c[cut:] for c in cols)]
+    if kept:
+        yield from _group_pairs(list(kept[0][1:]))
+
+
+def _group_pairs(group: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    i, j, own, node, root, n, most, sketch = group
+    over, under = ALIKE
+    left = np.flatnonzero(own == i[0]) if i[0] != j[0] else np.arange(len(node))
+    right = np.flatnonzero(own == j[0]) if i[0] != j[0] else left
+    for at in range(0, len(left), 128):
+        x = left[at : at + 128, None]
+        y = right[None, :]
+        fits = (n[y] <= most[x]) & (n[x] <= most[y]) & (root[x] != root[y]) & (np.minimum(n[x], n[y]) * under >= np.maximum(n[x], n[y]) * over)
+        if i[0] == j[0]:
+            fits &= x < y
+        p, q = np.nonzero(fits)
+        for k in range(0, len(p), 32768):
+            a, b = left[at + p[k : k + 32768]], right[q[k : k + 32768]]
+            near = (sketch[a] == sketch[b]).sum(axis=1) >= SHARED
+            if near.any():
+                a, b = node[a[near]], node[b[near]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
@@ -345,7 +391,7 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     these shingles differ in 3 bits at most, found by anchors, which is what changes of single words leave; and, as a paragraph more or less changes more bits, bands of least hashes (see
     BANDS for what they miss). In each band every text is first compared with the one that shares most bands with others, which is the one that copies were made
     from where it is there. Where texts of a band are not connected then, those that share one of their rarest shingles are compared (see _sharing_rare), which leaves out
-    no pair. A group of near copies thus costs as many comparisons as members, not all pairs.
+    no pair. A group of near copies thus costs as many comparisons as members, not all pairs; texts made from one form, which are less alike than that, drop out before they are paired.
     Rows that share a doc_id are one document and stay or go together; rows without one stay. Texts without words are copies of each other. All columns are kept.
     """
     small_batches(docs.sparkSession)
@@ -379,7 +425,7 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     rooted = bands.join(linked, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
     apart = rooted.groupBy("key").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r <> s").select("key")
     rest = written(rooted.join(apart, "key").select("node", "root").distinct().join(nodes.select("node", "n"), "node"), "near-rest")
-    more = compared(_sharing_rare(rest, sets, repeated).join(stars.union(stars.select("b", "a")), ["a", "b"], "left_anti"))
+    more = _alike(written(_sharing_rare(rest, sets, about, repeated).join(stars.union(stars.select("b", "a")), ["a", "b"], "left_anti"), "near-rare"), sets)
     if not more.isEmpty():
         linked = components(edges.union(more))
     copies = marked.join(nodes.where("copies > 1").select(F.col("node").alias("first"), "digest"), "digest").where("node <> first").select("node")
