@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from weftline.lang.names import Workspace
 from weftline.lang.syntax import parse
-from weftline.operators import load, sketches, timeline
+from weftline.operators import lifecycle, load, sketches, timeline
 from weftline.plans.registry import query
 from weftline.streaming import late as stream
 
@@ -205,3 +205,35 @@ def stream_late_rows(spark: SparkSession, d: str) -> DataFrame:
     emitted = stream.settled(stream.corrected(stream.replayed(twice, "batch", last + 3), ["user_id"], "ts", "value", "event_id", "7 days", "21 days"), "late-rows")
     held = stream.holding(emitted, ["user_id"])
     return held.select("user_id", F.col("window_start").cast("date").alias("week"), "n", F.round("total", 3).alias("total"), "low", "high")
+
+
+# ---- retention and rejection
+_LINKED = Workspace([parse("""
+schema customer { c_custkey BIGINT (pk) c_nationkey INT c_acctbal DOUBLE }
+schema orders { o_orderkey BIGINT (pk) o_custkey BIGINT (ref @customer.c_custkey) }
+schema lineitem { l_orderkey BIGINT (ref @orders.o_orderkey) l_partkey BIGINT (ref @part.p_partkey) l_linenumber INT }
+schema part { p_partkey BIGINT (pk) p_size INT }
+""")])
+
+
+@query("gov_retention_cascade", """WITH o AS (SELECT * FROM orders WHERE NOT o_orderdate < TIMESTAMP '1996-01-01'),
+    c AS (SELECT * FROM customer WHERE NOT (c_acctbal < 2000 AND c_custkey NOT IN (SELECT o_custkey FROM o))), p AS (SELECT * FROM part WHERE NOT p_size > 45)
+    SELECT 'customer' AS name, c_custkey AS id, NULL::BIGINT AS other FROM c UNION ALL SELECT 'orders', o_orderkey, o_custkey FROM o UNION ALL SELECT 'part', p_partkey, NULL FROM p
+    UNION ALL SELECT 'lineitem', l_orderkey, p_partkey FROM lineitem JOIN o ON l_orderkey = o_orderkey LEFT JOIN p ON l_partkey = p_partkey""")
+def gov_retention_cascade(spark: SparkSession, d: str) -> DataFrame:
+    """Old orders go with their lines, poor customers only where no order that stays is theirs, and lines of large parts, which go, keep no part."""
+    names = ["customer", "orders", "lineitem", "part"]
+    keys, refs = lifecycle.references(_LINKED, names, {("orders", "o_custkey"): "restrict", ("lineitem", "l_partkey"): "null"})
+    expired = {"customer": F.col("c_acctbal") < 2000, "orders": F.col("o_orderdate") < F.lit("1996-01-01").cast("timestamp_ntz"), "part": F.col("p_size") > 45}
+    whole = lifecycle.retain_whole({n: _t(spark, d, n) for n in names}, keys, refs, expired)
+    ids = {"customer": ("c_custkey", None), "orders": ("o_orderkey", "o_custkey"), "lineitem": ("l_orderkey", "l_partkey"), "part": ("p_partkey", None)}
+    return reduce(DataFrame.unionByName, (whole[n].select(F.lit(n).alias("name"), F.col(a).alias("id"), (F.col(b) if b else F.lit(None).cast("long")).alias("other")) for n, (a, b) in ids.items()))
+
+
+@query("dq_rejections", """WITH r AS (SELECT o_orderkey, list_filter([CASE WHEN o_totalprice < 20000 THEN 'cheap' END, CASE WHEN o_orderstatus NOT IN ('F', 'O') THEN 'pending' END], lambda x: x IS NOT NULL) AS reasons FROM orders)
+    SELECT o_orderkey, array_to_string(reasons, '+') AS reasons, (SELECT count(*) FROM r WHERE len(reasons) > 0) AS rejected FROM r WHERE len(reasons) > 0""")
+def dq_rejections(spark: SparkSession, d: str) -> DataFrame:
+    """Rejected orders with their reasons, and how many the job that wrote them observed."""
+    rules = {"cheap": F.col("o_totalprice") < 20000, "pending": ~F.col("o_orderstatus").isin("F", "O")}
+    got = lifecycle.checked(_t(spark, d, "orders"), rules, 0.9)
+    return got.rejected.select("o_orderkey", F.array_join("reasons", "+").alias("reasons"), F.lit(got.counts["rejected"]).cast("long").alias("rejected"))
