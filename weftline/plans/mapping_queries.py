@@ -10,6 +10,8 @@ from weftline.lang.syntax import parse
 from weftline.plans.compile import Options, compile_mapping
 from weftline.plans.loading import load_mapping
 from weftline.plans.registry import query
+from weftline.sources import copybook
+from weftline.storage import written
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -223,3 +225,32 @@ def load_scd6(spark: SparkSession, d: str) -> DataFrame:
 def load_scd1(spark: SparkSession, d: str) -> DataFrame:
     c = _t(spark, d, "customer")
     return _into(spark, d, "first_load", _moved(c.where("c_custkey % 2 = 0")), _into(spark, d, "first_load", c))
+
+
+# ---- packed records
+_RECORDS = parse("""
+schema order_record (format copybook, encoding ebcdic) {
+  KEY BIGINT (pic "9(10)", offset 1, length 10)
+  HEAD record { STATUS STRING (pic "X(3)") PRIORITY STRING (pic "X(15)") }
+  PRICE DECIMAL(11,2) (pic "S9(9)V99", encoding comp-3)
+  NUMBERS INT (pic "9(4)", encoding comp)
+  LINES list_of record (occurs 40, depends_on NUMBERS) { NUMBER INT (pic "9(2)") AMOUNT DECIMAL(9,2) (pic "S9(7)V99", encoding comp-3) FLAG STRING (pic "X") }
+}
+""").blocks[0].fields
+
+
+@query("copybook_records", """SELECT o_orderkey AS "KEY", o_orderstatus AS status, o_orderpriority AS priority, (round(o_totalprice * 100) / 100)::DECIMAL(11,2) AS price, l_linenumber::INT AS number,
+    (-round(l_extendedprice * 100) / 100)::DECIMAL(9,2) AS amount, l_returnflag AS flag FROM orders JOIN lineitem ON o_orderkey = l_orderkey""")
+def copybook_records(spark: SparkSession, d: str) -> DataFrame:
+    """Orders with their lines as mainframe records, and read back: EBCDIC text, zoned and packed decimals, a binary number, and as many lines as that says. Amounts are negative."""
+    text = lambda c, n: copybook.to_ebcdic(F.rpad(c, n, " "))
+    digits = lambda c, n: copybook.to_ebcdic(F.lpad(c.cast("string"), n, "0"))
+    line = F.concat(digits(F.col("l_linenumber"), 2), copybook.packed(-F.round(F.col("l_extendedprice"), 2), 9, 2), text(F.col("l_returnflag"), 1))
+    lines = _t(spark, d, "lineitem").groupBy("l_orderkey").agg(F.collect_list(line).alias("lines"))
+    number = F.unhex(F.lpad(F.hex(F.size("lines").cast("long")), 4, "0"))
+    body = F.aggregate("lines", F.unhex(F.lit("")), lambda a, x: F.concat(a, x))
+    head = F.concat(digits(F.col("o_orderkey"), 10), text(F.col("o_orderstatus"), 3), text(F.col("o_orderpriority"), 15), copybook.packed(F.round(F.col("o_totalprice"), 2), 11, 2), number, body)
+    records = written(_t(spark, d, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey")).select(head.alias("value")), "records")
+    read = records.select(*copybook.columns(F.col("value"), _RECORDS))
+    flat = read.select("KEY", F.col("HEAD.STATUS").alias("status"), F.col("HEAD.PRIORITY").alias("priority"), F.col("PRICE").alias("price"), F.explode("LINES").alias("x"))
+    return flat.select("KEY", "status", "priority", "price", F.col("x.NUMBER").alias("number"), F.col("x.AMOUNT").alias("amount"), F.col("x.FLAG").alias("flag"))

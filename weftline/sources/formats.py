@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from weftline.functions.types import field_type, struct_type
 from weftline.lang.names import Workspace
 from weftline.lang.syntax import Field, Meta
+from weftline.sources import copybook
 
 
 def _value(meta: list[Meta], key: str) -> str | None:
@@ -30,7 +31,9 @@ def read(spark: SparkSession, workspace: Workspace, schema: str, path: str, row_
         return spark.read.schema(struct_type(fields)).format(form).option("header", "true").load(path)
     if form == "xml":
         return spark.read.schema(struct_type(fields)).format("xml").option("rowTag", row_tag).load(path)
-    if form in ("fixed-length", "copybook"):
+    if form == "copybook":
+        return copybook.read(spark, workspace, schema, path)
+    if form == "fixed-length":
         return spark.read.text(path).select(*fixed_length(F.col("value"), fields))
     if form in ("avro", "protobuf"):
         return spark.read.format(form).load(path)  # needs Spark's add-on package

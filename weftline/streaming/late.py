@@ -34,7 +34,9 @@ def corrected(stream: DataFrame, keys: list[str], time: str, value: str, identit
     out = [*columns, "n", "total", "low", "high", "revision", "closed"]
 
     def say(key: tuple, numbers: tuple, closed: bool) -> pd.DataFrame:
-        return pd.DataFrame([[*key, *numbers, closed]], columns=out)
+        n, *values, revision = numbers
+        told = pd.DataFrame([[*key, n, *values, revision, closed]], columns=out)
+        return told.astype({"total": "float64", "low": "float64", "high": "float64"})  # None is NaN, which is null in the result
 
     def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
