@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from weftline.lang.names import Workspace
 from weftline.lang.syntax import parse
+from weftline.operators import graph, quality
 from weftline.plans.compile import Options, compile_mapping
 from weftline.plans.loading import load_mapping
 from weftline.plans.registry import query
@@ -254,3 +255,80 @@ def copybook_records(spark: SparkSession, d: str) -> DataFrame:
     read = records.select(*copybook.columns(F.col("value"), _RECORDS))
     flat = read.select("KEY", F.col("HEAD.STATUS").alias("status"), F.col("HEAD.PRIORITY").alias("priority"), F.col("PRICE").alias("price"), F.explode("LINES").alias("x"))
     return flat.select("KEY", "status", "priority", "price", F.col("x.NUMBER").alias("number"), F.col("x.AMOUNT").alias("amount"), F.col("x.FLAG").alias("flag"))
+
+
+# ---- more steps, lists and checks
+_MORE = Workspace([parse("""
+schema customer { c_custkey BIGINT c_name STRING c_nationkey INT c_acctbal DOUBLE c_mktsegment STRING }
+schema orders { o_orderkey BIGINT o_custkey BIGINT o_orderstatus STRING o_totalprice DOUBLE o_orderdate TIMESTAMP }
+schema shown { id BIGINT segment STRING both STRING day DATE iso STRING at TIMESTAMP seen TIMESTAMP secret STRING random STRING state STRING (default "unknown") }
+mapping more_steps {
+  source { orders }
+  target { shown }
+  o_orderkey -> id { error_if_null }
+  o_orderstatus -> segment { lowercase | prepend("status ") | title_case }
+  o_orderstatus, stamp -> both { concat | concat("!") }
+  stamp -> day { parse(YYYYMMDD) }
+  o_orderdate -> iso { to_iso8601 }
+  o_orderdate -> at { assume_utc }
+  -> seen { now_utc() }
+  o_orderstatus -> secret { encrypt(key) }
+  o_orderkey -> random { uuid_v4 }
+  missing -> state
+}
+schema per_customer { customer BIGINT latest STRING earliest STRING kinds ANY }
+mapping by_customer (group_by o_custkey) {
+  source { orders }
+  target { per_customer }
+  o_custkey -> customer
+  o_orderstatus -> latest { last }
+  o_orderstatus -> earliest { first }
+}
+schema nested { key BIGINT orders list_of record { key BIGINT tags list_of STRING } }
+schema copied { id BIGINT orders list_of record { id BIGINT tags list_of STRING } }
+mapping copy_lists { source { nested } target { copied } key -> id each orders -> orders { .key -> .id .tags -> .tags } }
+""")])
+
+
+@query("map_more_steps", """SELECT o_orderkey AS id, 'Status ' || upper(o_orderstatus) AS segment, o_orderstatus || strftime(o_orderdate, '%Y%m%d') || '!' AS both, o_orderdate::DATE AS day, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%SZ') AS iso,
+    o_orderdate AS at, TIMESTAMP '2024-01-01' AS seen, o_orderstatus AS secret, 36 AS random, CASE WHEN o_orderkey % 2 = 0 THEN 'even' ELSE 'unknown' END AS state FROM orders""")
+def map_more_steps(spark: SparkSession, d: str) -> DataFrame:
+    """What is encrypted is shown decrypted again, and of random ids their length."""
+    key = "0123456789abcdef"
+    o = _t(spark, d, "orders").withColumns({"stamp": F.date_format("o_orderdate", "yyyyMMdd"), "missing": F.when(F.col("o_orderkey") % 2 == 0, "even")})
+    got = compile_mapping(_MORE, "more_steps", {"orders": o}, Options(now=F.lit("2024-01-01").cast("timestamp_ntz"), bindings={"key": key})).rows
+    return got.withColumns({"secret": F.aes_decrypt(F.unbase64("secret"), F.lit(key), F.lit("GCM")).cast("string"), "random": F.length("random")})
+
+
+@query("group_first_last", """SELECT o_custkey AS customer, arg_max(o_orderstatus, (o_orderdate, o_orderkey)) AS latest, arg_min(o_orderstatus, (o_orderdate, o_orderkey)) AS earliest FROM orders GROUP BY 1""")
+def group_first_last(spark: SparkSession, d: str) -> DataFrame:
+    return compile_mapping(_MORE, "by_customer", {"orders": _t(spark, d, "orders")}, Options(order=F.struct("o_orderdate", "o_orderkey"))).rows
+
+
+@query("each_scalar_lists", """SELECT o_custkey AS id, o_orderkey AS order_id, o_orderstatus || '/' || o_orderpriority AS tags FROM orders""")
+def each_scalar_lists(spark: SparkSession, d: str) -> DataFrame:
+    """Lists of records with lists of texts, copied as they are."""
+    order = F.struct(F.col("o_orderkey").alias("key"), F.array("o_orderstatus", "o_orderpriority").alias("tags"))
+    nested = _t(spark, d, "orders").groupBy(F.col("o_custkey").alias("key")).agg(F.collect_list(order).alias("orders"))
+    got = compile_mapping(_MORE, "copy_lists", {"nested": nested}).rows
+    return got.select("id", F.explode("orders").alias("x")).select("id", F.col("x.id").alias("order_id"), F.array_join("x.tags", "/").alias("tags"))
+
+
+@query("dq_format", r"""SELECT doc_id, w FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[^\x20\x09-\x0D]*@[^\x20\x09-\x0D]*')) AS w FROM documents) WHERE NOT regexp_matches(w, '^[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}$')""")
+def dq_format(spark: SparkSession, d: str) -> DataFrame:
+    """All words with an at sign in all texts that are no addresses."""
+    words = _t(spark, d, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]*@[^\x20\x09-\x0D]*"), F.lit(0))).alias("w"))
+    return quality.formatted(words, "w", "email")
+
+
+# ---- lineage over edges that tables hold
+@query("lineage_of_rows", """WITH RECURSIVE e AS (SELECT DISTINCT 'c' || o_custkey AS src, 'o' || o_orderkey AS dst FROM orders UNION SELECT DISTINCT 'o' || l_orderkey, 'p' || l_partkey FROM lineitem),
+    r AS (SELECT 'c' || c_custkey AS start, 'c' || c_custkey AS node, 0 AS depth FROM customer WHERE c_nationkey = 3 UNION SELECT start, dst, depth + 1 FROM r JOIN e ON src = node WHERE depth < 10)
+    SELECT start, node, min(depth)::INT AS depth FROM r WHERE depth > 0 GROUP BY 1, 2""")
+def lineage_of_rows(spark: SparkSession, d: str) -> DataFrame:
+    """What the customers of a nation reach: their orders and the parts in these; all starts in one walk."""
+    o, line = _t(spark, d, "orders"), _t(spark, d, "lineitem")
+    name = lambda kind, c: F.concat(F.lit(kind), F.col(c).cast("string"))
+    edges = o.select(name("c", "o_custkey").alias("src"), name("o", "o_orderkey").alias("dst")).union(line.select(name("o", "l_orderkey"), name("p", "l_partkey")))
+    starts = _t(spark, d, "customer").where("c_nationkey = 3").select(name("c", "c_custkey").alias("start"), name("c", "c_custkey").alias("node"))
+    return graph.reach_from(edges, starts)
