@@ -30,10 +30,16 @@ def top(df: DataFrame, keys: list[str], order: list[Column], n: int) -> DataFram
 
 
 def range_join(left: DataFrame, right: DataFrame, point: str, low: str, high: str, width: float) -> DataFrame:
-    """Rows with low <= point < high, by equal cells of a width: an interval stands in each cell that it touches, a point in one, so no row pairs are tried across cells."""
-    cell = lambda c: F.floor(F.col(c) / width)
-    spread = right.withColumn("_cell", F.explode(F.sequence(cell(low), cell(high))))
-    return left.withColumn("_cell", cell(point)).join(spread, "_cell").where((F.col(low) <= F.col(point)) & (F.col(point) < F.col(high))).drop("_cell")
+    """Rows with low <= point < high, by equal cells. An interval stands at the level whose cells, width times a power of two, are as wide as it or wider, so in two cells at most, however wide it is; a point
+    stands in one cell of each level that has intervals. No row pairs are tried across cells. Nulls, and intervals that hold nothing, match nothing."""
+    level = F.greatest(F.lit(0), F.ceil(F.log2((F.col(high) - F.col(low)) / width))).cast("int")
+    held = right.where(F.col(low) < F.col(high)).withColumn("_level", level)
+    levels = [r[0] for r in held.select("_level").distinct().collect()]  # powers of two: a few dozen at most
+    cell = lambda c: F.floor(F.col(c) / (F.lit(width) * F.pow(F.lit(2.0), F.col("_level"))))
+    spread = held.withColumn("_cell", F.explode(F.sequence(cell(low), cell(high))))
+    every = F.array(*map(F.lit, levels)).cast("array<int>")
+    points = left.withColumn("_level", F.explode(every)).withColumn("_cell", cell(point))
+    return points.join(spread, ["_level", "_cell"]).where((F.col(low) <= F.col(point)) & (F.col(point) < F.col(high))).drop("_level", "_cell")
 
 
 def heavy_join(left: DataFrame, right: DataFrame, keys: list[str], salts: int) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from weftline.catalog.tables import Catalog
 from weftline.lang.names import Workspace
 from weftline.lang.syntax import parse
-from weftline.operators import describe, extend, graph, load, quality, validate
+from weftline.operators import aggregate, describe, extend, graph, load, quality, validate
 from weftline.plans.compile import Compiled, Options, compile_mapping, compile_metric, compile_target
 from weftline.plans.registry import query
 from weftline.sources.formats import column_lineage, fixed_length, selected
@@ -370,36 +370,29 @@ def group_implied(spark: SparkSession, d: str) -> DataFrame:
 @query("cond_aggregates", """SELECT l_returnflag, count(*) FILTER (l_quantity > 25) AS many, round(sum(CASE WHEN l_discount > 0.05 THEN l_extendedprice ELSE 0 END), 2) AS discounted, count(DISTINCT l_partkey) AS parts,
     round(sum(l_extendedprice) / count(DISTINCT l_orderkey), 2) AS per_order FROM lineitem GROUP BY 1""")
 def cond_aggregates(spark: SparkSession, d: str) -> DataFrame:
-    return _t(spark, d, "lineitem").groupBy("l_returnflag").agg(
-        F.count_if(F.col("l_quantity") > 25).alias("many"), F.round(F.sum(F.when(F.col("l_discount") > 0.05, F.col("l_extendedprice")).otherwise(0)), 2).alias("discounted"),
-        F.count_distinct("l_partkey").alias("parts"), F.round(F.sum("l_extendedprice") / F.count_distinct("l_orderkey"), 2).alias("per_order"),
-    )
+    lines = _t(spark, d, "lineitem")
+    sums = aggregate.counted_if(lines, ["l_returnflag"], {"many": F.col("l_quantity") > 25}, {"discounted": (F.col("l_discount") > 0.05, F.col("l_extendedprice"))})
+    told = lines.groupBy("l_returnflag").agg(F.count_distinct("l_partkey").alias("parts"), F.round(F.sum("l_extendedprice") / F.count_distinct("l_orderkey"), 2).alias("per_order"))
+    return sums.withColumn("discounted", F.round("discounted", 2)).join(told, "l_returnflag")
 
 
 @query("mode_tie_break", """SELECT user_id, event_type FROM (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY count(*) DESC, event_type) AS r FROM events GROUP BY 1, 2) WHERE r = 1""")
 def mode_tie_break(spark: SparkSession, d: str) -> DataFrame:
-    n = _t(spark, d, "events").groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"))
-    return n.groupBy("user_id").agg(F.min_by("event_type", F.struct(-F.col("n"), "event_type")).alias("event_type"))
+    return aggregate.mode(_t(spark, d, "events"), ["user_id"], "event_type")
 
 
 @query("rfm_quintiles", """WITH t AS (SELECT o_custkey, sum(o_totalprice) AS total FROM orders GROUP BY 1), r AS (SELECT *, row_number() OVER (ORDER BY total, o_custkey) AS place, count(*) OVER () AS n FROM t)
     SELECT o_custkey, (((place - 1) * 5) // n + 1)::BIGINT AS quintile FROM r""")
 def rfm_quintiles(spark: SparkSession, d: str) -> DataFrame:
-    """Places without a sort in one task: a range partition's rows are numbered there, and begin after those of the ranges before it."""
     total = _t(spark, d, "orders").groupBy("o_custkey").agg(F.sum("o_totalprice").alias("total"))
-    cut = graph.cut_lineage(total.repartitionByRange("total", "o_custkey").withColumn("part", F.spark_partition_id()))
-    sizes = cut.groupBy("part").agg(F.count(F.lit(1)).alias("m"))
-    before = sizes.select("part", F.coalesce(F.sum("m").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"), F.sum("m").over(Window.partitionBy(F.lit(1))).alias("n"))
-    within = cut.withColumn("r", F.row_number().over(Window.partitionBy("part").orderBy("total", "o_custkey")))
-    return within.join(before, "part").select("o_custkey", (F.floor((F.col("before") + F.col("r") - 1) * 5 / F.col("n")) + 1).cast("long").alias("quintile"))
+    return aggregate.tiles(total, ["total", "o_custkey"], 5, "quintile").drop("total")
 
 
 @query("trailing_30d", """WITH days AS (SELECT user_id, ts::DATE AS day, count(*) AS n FROM events GROUP BY 1, 2)
     SELECT user_id, day, (sum(n) OVER (PARTITION BY user_id ORDER BY day RANGE BETWEEN INTERVAL 29 DAYS PRECEDING AND CURRENT ROW))::BIGINT AS trailing FROM days""")
 def trailing_30d(spark: SparkSession, d: str) -> DataFrame:
-    days = _t(spark, d, "events").groupBy("user_id", F.col("ts").cast("date").alias("day")).agg(F.count(F.lit(1)).alias("n"))
-    by = Window.partitionBy("user_id").orderBy(F.unix_date("day")).rangeBetween(-29, 0)
-    return days.select("user_id", "day", F.sum("n").over(by).alias("trailing"))
+    events = _t(spark, d, "events").withColumn("day", F.col("ts").cast("date"))
+    return aggregate.trailing(events, ["user_id"], "day", {"trailing": F.count(F.lit(1))}, 30)
 
 
 @query("metric_monthly_revenue", "SELECT o_orderstatus, date_trunc('month', o_orderdate)::DATE AS month, round(sum(o_totalprice), 2) AS o_totalprice FROM orders WHERE o_totalprice > 1000 AND o_orderstatus NOT IN ('P') GROUP BY 1, 2")
@@ -647,7 +640,7 @@ def snapshot_accumulating(spark: SparkSession, d: str) -> DataFrame:
 def list_positional(spark: SparkSession, d: str) -> DataFrame:
     lines = F.array_sort(F.collect_list(F.struct("l_linenumber", "l_quantity", "l_returnflag")))
     o = _t(spark, d, "lineitem").groupBy("l_orderkey").agg(lines.alias("x")).select("l_orderkey", F.transform("x", lambda e: e["l_quantity"]).alias("q"), F.transform("x", lambda e: e["l_returnflag"]).alias("f"))
-    return o.select("l_orderkey", F.posexplode(F.arrays_zip("q", "f")).alias("p", "z")).select("l_orderkey", (F.col("p") + 1).alias("place"), F.col("z.q").alias("quantity"), F.col("z.f").alias("flag"))
+    return aggregate.by_position({"quantity": F.col("q"), "flag": F.col("f")}, o, ["l_orderkey"])
 
 
 @query("list_earliest", "SELECT l_orderkey, min(l_shipdate) AS first_ship, sum(l_quantity) AS total, count(*) AS n FROM lineitem GROUP BY 1")
@@ -753,6 +746,14 @@ def ext_range_join(spark: SparkSession, d: str) -> DataFrame:
     return extend.range_join(_t(spark, d, "part").select("p_partkey", "p_retailprice"), bands, "p_retailprice", "low", "high", 100.0).select("p_partkey", "low")
 
 
+@query("ext_range_join_wide", """WITH b AS (SELECT s_suppkey, s_acctbal AS low, s_acctbal + power(10, s_suppkey % 5) / 10 AS high FROM supplier WHERE s_suppkey % 7 <> 0) SELECT p_partkey, s_suppkey FROM part JOIN b ON low <= p_retailprice AND p_retailprice < high""")
+def ext_range_join_wide(spark: SparkSession, d: str) -> DataFrame:
+    """Intervals from a tenth to a thousand: each stands in two cells of its own width at most."""
+    s = _t(spark, d, "supplier").where("s_suppkey % 7 <> 0")
+    bands = s.select("s_suppkey", F.col("s_acctbal").alias("low"), (F.col("s_acctbal") + F.pow(F.lit(10.0), F.col("s_suppkey") % 5) / 10).alias("high"))
+    return extend.range_join(_t(spark, d, "part").select("p_partkey", "p_retailprice"), bands, "p_retailprice", "low", "high", 0.05).select("p_partkey", "s_suppkey")
+
+
 @query("ext_heavy_join", "SELECT o_orderstatus, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders JOIN (SELECT DISTINCT o_orderstatus AS s FROM orders) ON o_orderstatus = s GROUP BY 1")
 def ext_heavy_join(spark: SparkSession, d: str) -> DataFrame:
     o = _t(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
