@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import itertools
 import random
 import zlib
 from collections import Counter
@@ -128,6 +129,23 @@ def test_packing(spark, docs):
     assert packing.pack(empty(spark), path).count() == 0
 
 
+def test_exact_sums_are_found_under_their_counts():
+    rng = random.Random(1)
+    for _ in range(200):
+        capacity = rng.randint(3, 40)
+        counts = {k: rng.randint(1, 3) for k in rng.sample(range(1, capacity + 1), rng.randint(1, min(capacity, 8)))}
+        left = packing._Lengths(counts, capacity)
+        for k in counts:
+            if rng.random() < 0.3:
+                left.take(k, rng.randint(1, counts[k]))
+        for gap in range(1, capacity + 1):
+            assert left.longest(gap) == max((k for k in left.counts if k <= gap), default=0)
+            for m in (1, 2, 3):
+                every = itertools.combinations_with_replacement(sorted(left.counts, reverse=True), m)
+                want = max((c for c in every if sum(c) == gap and all(c.count(k) <= left.counts[k] for k in c)), default=())
+                assert left.exact(gap, m) == want
+
+
 def test_plans_are_near_the_bound():
     rng = np.random.default_rng(0)
     for lengths in (np.clip(rng.lognormal(5, 1, 5000).astype(int) + 1, 1, 4096), rng.integers(1, 1500, 3000), np.ones(9000, int)):

@@ -3,8 +3,8 @@
 Pieces are packed by their lengths alone, so the problem is the histogram of lengths: at most ``capacity`` counts, whatever the size of the corpus. From
 the longest length down, the gap that it leaves is looked up among the sums of one, two and three available lengths; a combination that fills
 the gap exactly is used as often as the counts allow, at once. Where no combination fills the gap, the longest available length that fits goes
-in (best fit) and the smaller gap is looked up. Single lengths and pair sums are indexed as the bits of two integers: bit g of ``available``, and
-pair sums by the meeting of the lengths with their mirror image; a triple is a length and a pair.
+in (best fit) and the smaller gap is looked up. The sums of one, two and three lengths are indexed by the number of ways in which they come about, kept up as
+lengths run out; a sum whose first combination fails its counts is tried with the next one.
 
 The plan says, for each length, which of its pieces (by number) go where. Pieces get their numbers from the task that wrote them and the counts
 of the tasks before it, so nothing is sorted, no task sees a whole length, and the only shuffle moves a few integers a piece.
@@ -26,63 +26,52 @@ from weftline.llm.shared import small_batches, written
 
 
 class _Lengths:
-    """The counts of the lengths that are left, with the index of single and pair sums."""
+    """The counts of the lengths that are left, with the index of their sums.
+
+    ``sums[m][g]`` is the number of ways to write g as m of the lengths that are left, in any order and each as often as one likes. A length that comes or goes
+    changes the ways of m by those of m - 1, moved by the length, so the index is kept up by three additions of arrays. Counts are looked at where a sum is used.
+    """
 
     def __init__(self, counts: dict[int, int], capacity: int):
         self.counts, self.capacity = {k: n for k, n in counts.items() if n}, capacity
-        self.bits = self.mirror = 0
+        self.sums = np.zeros((4, capacity + 1), np.int64)
+        self.sums[0, 0] = 1
         for k in self.counts:
-            self._flip(k)
-
-    def _flip(self, k: int) -> None:
-        self.bits ^= 1 << k
-        self.mirror ^= 1 << (self.capacity - k)
+            for m in (1, 2, 3):
+                self.sums[m, k:] += self.sums[m - 1, : capacity + 1 - k]
 
     def take(self, k: int, n: int) -> None:
         self.counts[k] -= n
         if not self.counts[k]:
             del self.counts[k]
-            self._flip(k)
+            for m in (3, 2, 1):
+                self.sums[m, k:] -= self.sums[m - 1, : self.capacity + 1 - k]
 
     def longest(self, most: int) -> int:
         """The longest length that is left and is not over most; 0 if there is none."""
-        return max(0, (self.bits & ((1 << (most + 1)) - 1)).bit_length() - 1)
-
-    def _has(self, *parts: int) -> bool:
-        return all(self.counts.get(k, 0) >= parts.count(k) for k in parts)
-
-    def single(self, gap: int) -> tuple[int, ...]:
-        return (gap,) if self.bits >> gap & 1 else ()
-
-    def pair(self, gap: int) -> tuple[int, ...]:
-        """Two lengths that add up to gap, the longer one as long as can be."""
-        shift = self.capacity - gap
-        both = self.bits & (self.mirror >> shift)  # bit k: k and gap - k are left
-        while both:
-            k = both.bit_length() - 1
-            if 2 * k < gap:
-                return ()
-            if self._has(k, gap - k):
-                return (k, gap - k)
-            both ^= 1 << k
+        left = self.sums[1, most::-1]
+        at = int(left.argmax())
+        return most - at if left[at] else 0
+
+    def exact(self, gap: int, parts: int) -> tuple[int, ...]:
+        """As many lengths as parts that add up to gap under the counts, the longer ones as long as can be; empty if there are none."""
+        return self._exact(gap, parts, gap, ())
+
+    def _exact(self, gap: int, parts: int, most: int, used: tuple[int, ...]) -> tuple[int, ...]:
+        if not self.sums[parts, gap]:
+            return ()
+        if parts == 1:
+            return (*used, gap) if gap <= most and self.counts[gap] > used.count(gap) else ()
+        # the longest part of so many is at least their mean; the others must be a sum of the index
+        low, high = -(-gap // parts), min(most, gap - parts + 1)
+        if low > high:
+            return ()
+        ways = (self.sums[1, low : high + 1] > 0) & (self.sums[parts - 1, gap - high : gap - low + 1][::-1] > 0)
+        for k in (low + np.flatnonzero(ways)[::-1]).tolist():
+            if self.counts[k] > used.count(k) and (found := self._exact(gap - k, parts - 1, k, (*used, k))):
+                return found
         return ()
 
-    def triple(self, gap: int) -> tuple[int, ...]:
-        """Three lengths that add up to gap, the longest one as long as can be."""
-        k = self.longest(gap - 2)
-        while 3 * k >= gap:
-            self._flip_out(k, rest := self.counts.get(k, 0) == 1)
-            found = self.pair(gap - k)
-            self._flip_out(k, rest)
-            if found and self._has(k, *found):
-                return (k, *found)
-            k = self.longest(k - 1)
-        return ()
-
-    def _flip_out(self, k: int, once: bool) -> None:
-        if once:
-            self._flip(k)
-
 
 def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, list[tuple[int, int]]]]:
     """Bins for counts[length] pieces of each length: (bins alike, [(length, times)] in their order)."""
@@ -92,7 +81,7 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, list[tuple[in
         parts, gap, alike = [first], capacity - first, 0
         left.take(first, 1)
         while gap:
-            more = left.single(gap) or left.pair(gap) or left.triple(gap) or ((left.longest(gap),) if left.longest(gap) else ())
+            more = left.exact(gap, 1) or left.exact(gap, 2) or left.exact(gap, 3) or ((left.longest(gap),) if left.longest(gap) else ())
             if not more:
                 break
             for k in more:
