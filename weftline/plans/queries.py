@@ -10,7 +10,7 @@ from weftline.lang.names import Workspace
 from weftline.lang.syntax import parse
 from weftline.operators import aggregate, describe, extend, graph, load, quality, validate
 from weftline.plans.compile import Compiled, Options, compile_mapping, compile_metric, compile_target
-from weftline.plans.registry import query
+from weftline.plans.registry import example, query
 from weftline.sources.formats import column_lineage, fixed_length, selected
 
 SPEC = '''
@@ -540,73 +540,73 @@ def _catalog(spark: SparkSession, text: str = GRAPH) -> Catalog:
     return Catalog(spark, Workspace([parse(text, "graph.spec")]))
 
 
-@query("lineage_down", "SELECT * FROM (VALUES ('base', 1), ('mart', 1), ('raw_copy', 1)) t(node, depth)")
+@example("lineage_down", "SELECT * FROM (VALUES ('base', 1), ('mart', 1), ('raw_copy', 1)) t(node, depth)")
 def lineage_down(spark: SparkSession, d: str) -> DataFrame:
     return graph.lineage(_catalog(spark), "raw").select("node", "depth")
 
 
-@query("lineage_up", "SELECT * FROM (VALUES ('base', 1), ('raw', 1), ('hidden', 1)) t(node, depth)")
+@example("lineage_up", "SELECT * FROM (VALUES ('base', 1), ('raw', 1), ('hidden', 1)) t(node, depth)")
 def lineage_up(spark: SparkSession, d: str) -> DataFrame:
     return graph.lineage(_catalog(spark), "mart", upstream=True).select("node", "depth")
 
 
-@query("lineage_cycle", "SELECT * FROM (VALUES ('loop_b', 1)) t(node, depth)")
+@example("lineage_cycle", "SELECT * FROM (VALUES ('loop_b', 1)) t(node, depth)")
 def lineage_cycle(spark: SparkSession, d: str) -> DataFrame:
     return graph.lineage(_catalog(spark), "loop_a").select("node", "depth")
 
 
-@query("field_lineage", "SELECT * FROM (VALUES ('::base.region', 1, 'm1', 'nl'), ('::base.extra', 1, 'm1', 'nl-derived'), ('::mart.label', 2, 'm2', 'nl')) t(node, depth, mapping, classification)")
+@example("field_lineage", "SELECT * FROM (VALUES ('::base.region', 1, 'm1', 'nl'), ('::base.extra', 1, 'm1', 'nl-derived'), ('::mart.label', 2, 'm2', 'nl')) t(node, depth, mapping, classification)")
 def field_lineage(spark: SparkSession, d: str) -> DataFrame:
     return graph.field_lineage(_catalog(spark), "::raw.country")
 
 
-@query("upstream_paths", "SELECT * FROM (VALUES ('raw>mart'), ('raw>base>mart'), ('hidden>mart')) t(path)")
+@example("upstream_paths", "SELECT * FROM (VALUES ('raw>mart'), ('raw>base>mart'), ('hidden>mart')) t(path)")
 def upstream_paths(spark: SparkSession, d: str) -> DataFrame:
     return graph.upstream_paths(spark, graph.schema_edges(_catalog(spark)), "mart").select(F.array_join("path", ">").alias("path"))
 
 
-@query("coverage_unmapped", "SELECT * FROM (VALUES ('raw', 'note_text'), ('raw', 'country')) t(owner, path) WHERE path <> 'country'")
+@example("coverage_unmapped", "SELECT 'raw' AS owner, 'note_text' AS path")
 def coverage_unmapped(spark: SparkSession, d: str) -> DataFrame:
     return describe.unmapped(_catalog(spark), "raw", "m1")
 
 
-@query("match_fields", "SELECT * FROM (VALUES ('id', 'ID', 'matched'), ('amount', 'Amount_', 'matched'), ('country', NULL, 'source-only'), ('note_text', NULL, 'source-only')) t(source_path, target_path, state)")
+@example("match_fields", "SELECT * FROM (VALUES ('id', 'ID', 'matched'), ('amount', 'Amount_', 'matched'), ('country', NULL, 'source-only'), ('note_text', NULL, 'source-only')) t(source_path, target_path, state)")
 def match_fields(spark: SparkSession, d: str) -> DataFrame:
     return describe.match_fields(_catalog(spark), "raw", "raw_copy")
 
 
-@query("validate_rules", """SELECT * FROM (VALUES ('duplicate-definition', 'mart'), ('unresolved-nl-ref', 'm3'), ('nl-ref-not-in-source', 'm3'), ('field-not-in-schema', 'm2')) t(rule, subject)""")
+@example("validate_rules", """SELECT * FROM (VALUES ('duplicate-definition', 'mart'), ('unresolved-nl-ref', 'm3'), ('nl-ref-not-in-source', 'm3'), ('field-not-in-schema', 'm2')) t(rule, subject)""")
 def validate_rules(spark: SparkSession, d: str) -> DataFrame:
     return validate.validate(_catalog(spark)).select("rule", "subject")
 
 
-@query("spec_diff", """SELECT * FROM (VALUES ('block', 'mapping c2', 'removed'), ('arrow', 'c2: x -> x', 'removed'), ('arrow', 'm1: amount -> amount', 'changed'), ('field', 'base.region', 'changed'), ('field', 'base.added', 'added')) t(what, key, change)""")
+@example("spec_diff", """SELECT * FROM (VALUES ('block', 'mapping c2', 'removed'), ('arrow', 'c2: x -> x', 'removed'), ('arrow', 'm1: amount -> amount', 'changed'), ('field', 'base.region', 'changed'), ('field', 'base.added', 'added')) t(what, key, change)""")
 def spec_diff(spark: SparkSession, d: str) -> DataFrame:
     new = "\n".join(x for x in GRAPH.split("\n") if not x.startswith("mapping c2")).replace("round(2)", "round(3)").replace("region STRING extra STRING", "region VARCHAR(3) extra STRING added INT")
     return describe.diff(_catalog(spark), _catalog(spark, new)).select("what", "key", "change")
 
 
-@query("where_used", "SELECT * FROM (VALUES ('m1', 'mapping'), ('m3', 'mapping'), ('m1', 'nl_ref'), ('raw_copy', 'metric')) t(user, kind)")
+@example("where_used", "SELECT * FROM (VALUES ('m1', 'mapping'), ('m3', 'mapping'), ('m1', 'nl_ref'), ('raw_copy', 'metric')) t(user, kind)")
 def where_used(spark: SparkSession, d: str) -> DataFrame:
     return describe.where_used(_catalog(spark), "raw").select("user", "kind").distinct()
 
 
-@query("find_tag", "SELECT 'raw' AS owner, 'country' AS field")
+@example("find_tag", "SELECT 'raw' AS owner, 'country' AS field")
 def find_tag(spark: SparkSession, d: str) -> DataFrame:
     return describe.find(_catalog(spark), "PII").select("owner", "field")
 
 
-@query("spec_summary", "SELECT * FROM (VALUES ('schema', 7), ('metric', 1), ('mapping', 5), ('fields', 16), ('files', 1), ('declared_arrows', 11), ('arrows', 14)) t(kind, n)")
+@example("spec_summary", "SELECT * FROM (VALUES ('schema', 7), ('metric', 1), ('mapping', 5), ('fields', 16), ('files', 1), ('declared_arrows', 11), ('arrows', 14)) t(kind, n)")
 def spec_summary(spark: SparkSession, d: str) -> DataFrame:
     return describe.summary(_catalog(spark))
 
 
-@query("schema_rollup", "SELECT * FROM (VALUES ('::raw', '::base', 'm1'), ('::base', '::mart', 'm2'), ('::hidden', '::mart', 'm3'), ('::loop_a', '::loop_b', 'c1'), ('::loop_b', '::loop_a', 'c2')) t(src, dst, mapping)")
+@example("schema_rollup", "SELECT * FROM (VALUES ('::raw', '::base', 'm1'), ('::base', '::mart', 'm2'), ('::hidden', '::mart', 'm3'), ('::loop_a', '::loop_b', 'c1'), ('::loop_b', '::loop_a', 'c2')) t(src, dst, mapping)")
 def schema_rollup(spark: SparkSession, d: str) -> DataFrame:
     return graph.schema_rollup(_catalog(spark)).select("src", "dst", "mapping")
 
 
-@query("context_search", "SELECT 'm1' AS block UNION ALL SELECT 'raw'")
+@example("context_search", "SELECT 'm1' AS block UNION ALL SELECT 'raw'")
 def context_search(spark: SparkSession, d: str) -> DataFrame:
     return describe.context(_catalog(spark), "the country").select("block")
 
@@ -663,56 +663,56 @@ def fixed_length_records(spark: SparkSession, d: str) -> DataFrame:
     return _t(spark, d, "orders").select(line.alias("value")).select(*fixed_length(F.col("value"), fields))
 
 
-@query("gov_propagation", "SELECT * FROM (VALUES ('::copy.who', 'CONFIDENTIAL', NULL, true), ('::copy.balance', 'RESTRICTED', 1095, false), ('::copy.both', 'RESTRICTED', 1095, true)) t(field, classification, retention_days, pii)")
+@example("gov_propagation", "SELECT * FROM (VALUES ('::copy.who', 'CONFIDENTIAL', NULL, true), ('::copy.balance', 'RESTRICTED', 1095, false), ('::copy.both', 'RESTRICTED', 1095, true)) t(field, classification, retention_days, pii)")
 def gov_propagation(spark: SparkSession, d: str) -> DataFrame:
     more = "schema copy { who STRING balance DOUBLE both STRING } mapping cp { source { customer } target { copy } c_name -> who c_acctbal -> balance c_name, c_acctbal -> both { concat } }"
     return quality.propagated(_catalog(spark, SPEC + more)).where("field LIKE '::copy.%'")
 
 
-@query("gov_impact", "SELECT * FROM (VALUES ('raw.country', '::base.region', 1), ('raw.country', '::base.extra', 1), ('raw.country', '::mart.label', 2)) t(field, node, depth)")
+@example("gov_impact", "SELECT * FROM (VALUES ('raw.country', '::base.region', 1), ('raw.country', '::base.extra', 1), ('raw.country', '::mart.label', 2)) t(field, node, depth)")
 def gov_impact(spark: SparkSession, d: str) -> DataFrame:
     return graph.impact(_catalog(spark), "pii")
 
 
-@query("facet_column_lineage", """SELECT * FROM (VALUES ('::loop_b', '{"fields":{"x":{"inputFields":[{"name":"::loop_a","field":"x","transformationType":"IDENTITY"}]}}}')) t(dataset, facet)""")
+@example("facet_column_lineage", """SELECT * FROM (VALUES ('::loop_b', '{"fields":{"x":{"inputFields":[{"name":"::loop_a","field":"x","transformationType":"IDENTITY"}]}}}')) t(dataset, facet)""")
 def facet_column_lineage(spark: SparkSession, d: str) -> DataFrame:
     return column_lineage(_catalog(spark).fedges).where("dataset = '::loop_b'")
 
 
-@query("coverage_sides", "SELECT * FROM (VALUES ('source', 4, 3), ('target', 4, 4)) t(side, n, mapped)")
+@example("coverage_sides", "SELECT * FROM (VALUES ('source', 4, 3), ('target', 4, 4)) t(side, n, mapped)")
 def coverage_sides(spark: SparkSession, d: str) -> DataFrame:
     """Prose references do not count as coverage, so one source field of m1 is open."""
     c = describe.coverage(_catalog(spark)).where("mapping = 'm1'")
     return c.groupBy("side").agg(F.count(F.lit(1)).alias("n"), F.count_if("mapped").alias("mapped"))
 
 
-@query("arrows_at_field", "SELECT * FROM (VALUES ('::raw.id', '::base.id', 'none'), ('::base.id', '::mart.id', 'none')) t(src, dst, classification)")
+@example("arrows_at_field", "SELECT * FROM (VALUES ('::raw.id', '::base.id', 'none'), ('::base.id', '::mart.id', 'none')) t(src, dst, classification)")
 def arrows_at_field(spark: SparkSession, d: str) -> DataFrame:
     return describe.arrows(_catalog(spark), "::base.id").select("src", "dst", "classification")
 
 
-@query("metric_definition", "SELECT 'revenue' AS key, 'Revenue' AS metric_name, 'orders' AS source, 'monthly' AS grain, 'o_totalprice' AS measure, 'o_orderstatus' AS slice")
+@example("metric_definition", "SELECT 'revenue' AS key, 'Revenue' AS metric_name, 'orders' AS source, 'monthly' AS grain, 'o_totalprice' AS measure, 'o_orderstatus' AS slice")
 def metric_definition(spark: SparkSession, d: str) -> DataFrame:
     m = describe.metric(_catalog(spark, SPEC), "revenue")
     return m.select("key", "metric_name", "source", "grain", F.array_join("measures", ",").alias("measure"), F.array_join("slices", ",").alias("slice"))
 
 
-@query("governance_gaps", "SELECT * FROM (VALUES ('pii-without-classification', 'raw.country'), ('pii-without-retention', 'raw.country'), ('pii-without-protection', 'raw.country')) t(rule, subject)")
+@example("governance_gaps", "SELECT * FROM (VALUES ('pii-without-classification', 'raw.country'), ('pii-without-retention', 'raw.country'), ('pii-without-protection', 'raw.country')) t(rule, subject)")
 def governance_gaps(spark: SparkSession, d: str) -> DataFrame:
     return validate.governance_rules(_catalog(spark)).select("rule", "subject")
 
 
-@query("prose_references", "SELECT * FROM (VALUES ('raw.note_text', 'raw', 'note_text'), ('country', 'raw', 'country'), ('hidden.secret', 'hidden', 'secret'), ('nowhere.field', NULL, NULL)) t(ref, schema, field)")
+@example("prose_references", "SELECT * FROM (VALUES ('raw.note_text', 'raw', 'note_text'), ('country', 'raw', 'country'), ('hidden.secret', 'hidden', 'secret'), ('nowhere.field', NULL, NULL)) t(ref, schema, field)")
 def prose_references(spark: SparkSession, d: str) -> DataFrame:
     return describe.prose_refs(_catalog(spark)).select("ref", "schema", "field")
 
 
-@query("lint_rules", "SELECT * FROM (VALUES ('hidden-source-in-nl', 'm3'), ('unresolved-nl-ref', 'm3'), ('duplicate-definition', 'mart')) t(rule, subject)")
+@example("lint_rules", "SELECT * FROM (VALUES ('hidden-source-in-nl', 'm3'), ('unresolved-nl-ref', 'm3'), ('duplicate-definition', 'mart')) t(rule, subject)")
 def lint_rules(spark: SparkSession, d: str) -> DataFrame:
     return validate.lint(_catalog(spark)).select("rule", "subject")
 
 
-@query("graph_nodes", "SELECT * FROM (VALUES ('schema', 6), ('metric', 1), ('mapping', 5)) t(kind, n)")
+@example("graph_nodes", "SELECT * FROM (VALUES ('schema', 6), ('metric', 1), ('mapping', 5)) t(kind, n)")
 def graph_nodes(spark: SparkSession, d: str) -> DataFrame:
     return graph.nodes(_catalog(spark)).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
 
@@ -767,7 +767,7 @@ def ext_set_operations(spark: SparkSession, d: str) -> DataFrame:
     return a.union(_t(spark, d, "supplier").select(F.col("s_nationkey").alias("k")).intersect(zero)).distinct()
 
 
-@query("merge_rules", "SELECT * FROM (VALUES ('merge-needs-match-on', 'a'), ('merge-unknown', 'b'), ('merge-append-match-on', 'c'), ('merge-needs-delete-flag', 'd')) t(rule, subject)")
+@example("merge_rules", "SELECT * FROM (VALUES ('merge-needs-match-on', 'a'), ('merge-unknown', 'b'), ('merge-append-match-on', 'c'), ('merge-needs-delete-flag', 'd')) t(rule, subject)")
 def merge_rules(spark: SparkSession, d: str) -> DataFrame:
     text = "schema s { i INT } " + " ".join(f"mapping {n} ({m}) {{ source {{ s }} target {{ s }} i -> i }}" for n, m in (("a", "merge upsert"), ("b", "merge wrong"), ("c", "merge append, match_on i"), ("d", "merge soft_delete, match_on i"), ("e", "merge upsert, match_on i")))
     return validate.merge_rules(_catalog(spark, text)).select("rule", "subject")

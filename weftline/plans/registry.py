@@ -10,6 +10,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
+_EXAMPLES: dict[str, tuple[Query, str]] = {}
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
@@ -24,6 +25,16 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+def example(name: str, sql: str) -> Callable[[Query], Query]:
+    """Keep a question about a specification with the rows that it must give. It reads no table, so it is tested and not registered."""
+
+    def add(f: Query) -> Query:
+        _EXAMPLES[name] = f, sql
+        return f
+
+    return add
+
+
 def queries() -> dict[str, Query]:
     import weftline.plans.history_queries  # noqa: F401  fills the registry
     import weftline.plans.mapping_queries  # noqa: F401
@@ -35,3 +46,8 @@ def queries() -> dict[str, Query]:
 def oracle_sql() -> dict[str, str]:
     queries()
     return _SQL
+
+
+def examples() -> dict[str, tuple[Query, str]]:
+    queries()
+    return _EXAMPLES
