@@ -156,6 +156,24 @@ def test_neighbours(spark):
     assert ann.nearest(few.limit(0)).count() == 0
 
 
+def test_neighbours_of_any_lengths_and_norms(spark):
+    rng = np.random.default_rng(4)
+    lengths = [*range(2, 15), 40]  # more than one plan, several lengths in a plan
+    x = [rng.standard_normal(lengths[i % len(lengths)]).astype(np.float32) * np.float32(10 ** rng.uniform(-1.5, 1.5)) for i in range(1400)]
+    x[700] *= np.float32(1000)
+    rows = [(i, [float(c) for c in v]) for i, v in enumerate(x)]
+    found = {}
+    for r in ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect():
+        found.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    assert set(found) == set(range(0, 1400, 20))
+    hits = 0
+    for q, near in found.items():
+        exact = {j: float(x[q].astype(float) @ x[j].astype(float)) for j in range(len(x)) if j != q and len(x[j]) == len(x[q])}
+        assert len(near) == 20 and all(np.isclose(s, exact[v], rtol=1e-9) for _, v, s in near)
+        hits += len(set(sorted(exact, key=lambda j: (-exact[j], j))[:20]) & {v for _, v, _ in near})
+    assert hits >= 0.9 * 20 * len(found)
+
+
 # ---- near-duplicates
 def slow_fingerprint(text):
     words = re.findall(rb"[^\x20\x09-\x0D]+", re.sub(rb"[A-Z]", lambda m: m.group().lower(), (text or "").encode()))
