@@ -3,9 +3,11 @@
 import random
 from datetime import date, timedelta
 
+import duckdb
 from pyspark.sql import functions as F
 
 from weftline.operators import aggregate, extend
+from weftline.plans import registry
 
 
 def rows(df):
@@ -50,3 +52,16 @@ def test_range_joins_of_any_width(spark):
     want = sorted((str(i), str(j)) for i, x in points for j, low, high in bands if None not in (x, low, high) and low <= x < high)
     assert rows(extend.range_join(p, b, "x", "low", "high", 0.5).select("p", "b")) == want
     assert extend.range_join(p, b.limit(0), "x", "low", "high", 0.5).count() == 0
+
+
+def test_sessions_count_times_by_the_nearest_second(spark):
+    """Gaps of a day, give or take parts of a second, against the registered query's SQL."""
+    starts = ["00:00:00.4", "00:00:00.5", "00:00:01.5", "00:00:00.6", "00:00:00"]
+    after = ["00:00:00.6", "00:00:00.9", "00:00:01.4", "00:00:01.1", "00:00:00.5"]
+    at = [(u, f"2024-01-0{1 + i} {x[u]}") for i, x in enumerate((starts, after, starts)) for u in range(5)]
+    df = spark.createDataFrame(at, "user_id int, ts string").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    got = extend.sessions(df, ["user_id"], "ts", 86400).groupBy("user_id", "session").agg(F.count("*"))
+    con = duckdb.connect()
+    con.execute("CREATE TABLE events (user_id INT, ts TIMESTAMP)")
+    con.executemany("INSERT INTO events VALUES (?, ?)", at)
+    assert rows(got) == sorted(tuple(map(str, r)) for r in con.execute(registry.oracle_sql()["ext_sessions"]).fetchall())

@@ -17,9 +17,10 @@ def rollup(df: DataFrame, by: list[str], made: list[Column]) -> DataFrame:
 
 
 def sessions(df: DataFrame, keys: list[str], at: str, gap_seconds: int) -> DataFrame:
-    """df with session: rows of a key that are no more than the gap apart, numbered from 1."""
+    """df with session: rows of a key that are no more than the gap apart, numbered from 1. Times count by the nearest second, a half by the even one, as SQL's whole epoch does."""
     by = Window.partitionBy(*keys).orderBy(at)
-    apart = F.unix_timestamp(F.col(at).cast("timestamp")) - F.unix_timestamp(F.lag(at).over(by).cast("timestamp")) > gap_seconds
+    second = lambda c: F.rint(F.unix_micros(c.cast("timestamp")) / 1e6).cast("long")
+    apart = second(F.col(at)) - second(F.lag(at).over(by)) > gap_seconds
     started = df.withColumn("_new", F.coalesce(apart.cast("int"), F.lit(1)))
     return started.withColumn("session", F.sum("_new").over(by.rangeBetween(Window.unboundedPreceding, 0))).drop("_new")
 
