@@ -65,3 +65,13 @@ def test_sessions_count_times_by_the_nearest_second(spark):
     con.execute("CREATE TABLE events (user_id INT, ts TIMESTAMP)")
     con.executemany("INSERT INTO events VALUES (?, ?)", at)
     assert rows(got) == sorted(tuple(map(str, r)) for r in con.execute(registry.oracle_sql()["ext_sessions"]).fetchall())
+
+
+def test_a_cell_with_all_rows_is_many_tasks_work(spark):
+    """20,000 points and as many intervals in one cell, each point in one interval; all points in one partition."""
+    n = 20_000
+    p = spark.range(0, n, 1, 1).select("id", ((F.col("id") + 0.5) / n).alias("x"))
+    b = spark.range(0, n, 1, 1).select(F.col("id").alias("b"), (F.col("id") / n).alias("low"), ((F.col("id") + 1) / n).alias("high"))
+    got = extend.range_join(p, b, "x", "low", "high", 1.0)
+    parts = [r["count"] for r in got.where("id = b").groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(parts) == got.count() == n and len(parts) > 3 and max(parts) < 0.6 * n
