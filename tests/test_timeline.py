@@ -75,3 +75,29 @@ def test_a_load_of_null_keys_can_be_run_again(spark):
     s = spark.createDataFrame([(None, 1, "c"), (None, None, "d")], "x int, y int, v string")
     once = load.upsert(t, s, ["x", "y"])
     assert rows(once) == rows(load.upsert(once, s, ["x", "y"])) == [("1", "None", "b"), ("None", "1", "c"), ("None", "None", "d")]
+
+
+def test_versions_in_force_move_once(spark):
+    """What point-in-time table and equi joins give, with one shuffle for each satellite and those of the hub."""
+    t = lambda text: datetime.fromisoformat(text) if text else None
+    seen = [("k", t("2024-01-01"), "a", 1), ("k", t("2024-01-31 00:00"), "b", 1), ("k", t("2024-01-31 00:01"), "c", 1), ("l", t("2024-02-01"), None, 3), ("l", t("2024-03-01"), "e", None), (None, t("2024-01-01"), "n", 4), ("k", None, "z", 5)]
+    source = spark.createDataFrame(seen, "id string, load_date timestamp_ntz, x string, y int")
+    hub = load.hub(source.unionByName(spark.createDataFrame([("m", t("2024-01-01"), "q", 1)], source.schema)), ["id"], "id", "load_date", F.lit("s"))
+    satellites = {c: load.satellite(source.where("load_date IS NOT NULL"), ["id"], "id", [c], "load_date") for c in ("x", "y")}
+    dates = [F.lit(d).cast("date") for d in ("2023-12-31", "2024-01-31", "2024-02-01", "2025-01-01")]
+    got = timeline.in_force(hub, "id_hk", satellites, dates)
+    want = timeline.with_satellites(timeline.point_in_time(hub, "id_hk", satellites, dates), "id_hk", satellites)
+    assert got.count() == 12 and sorted(got.columns) == sorted(want.columns)
+    assert rows(got.select(sorted(got.columns))) == rows(want.select(sorted(got.columns)))
+    assert timeline.in_force(hub, "id_hk", {n: s.limit(0) for n, s in satellites.items()}, dates).where("x_load_date IS NULL").count() == 12
+
+
+def test_point_in_time_query_moves_each_row_once(spark):
+    from weftline.plans import registry
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = registry.queries()["vault_point_in_time"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("Exchange hashpartitioning") <= 4

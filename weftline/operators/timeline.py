@@ -96,6 +96,22 @@ def point_in_time(hub: DataFrame, key: str, satellites: dict[str, DataFrame], da
     return pit
 
 
+def in_force(hub: DataFrame, key: str, satellites: dict[str, DataFrame], dates: Sequence[Column], start: str = "load_date") -> DataFrame:
+    """point_in_time with the columns of the versions in force, prefixed by their satellites' names: what with_satellites makes of it, for some dozens of dates.
+
+    A satellite's rows are aggregated to one a key, with its version at each date, where the satellite has put them for its own order by key, so they move no more and no version is joined.
+    Of versions that start at the same time the one with the greatest hash counts."""
+    out = hub.select(key).distinct()
+    dated = F.array(*dates)
+    for name, rows in satellites.items():
+        own = rows.select(key, F.struct(*(F.col(c).alias(f"{name}_{c}") for c in rows.columns if c != key)).alias("_v"), F.col(start).cast("timestamp_ntz").alias("_start"))
+        known = own.where(F.col(key).isNotNull() & F.col("_start").isNotNull()).withColumn("_at", F.struct("_start", F.xxhash64("_v")))
+        then = [F.max_by("_v", F.when(F.col("_start") <= d.cast("timestamp_ntz"), F.col("_at"))) for d in dates]
+        out = out.join(known.groupBy(key).agg(F.array(*then).alias(f"_{name}")), key, "left")
+    flat = out.select(key, F.posexplode(dated).alias("_i", "snapshot_date"), *(f"_{n}" for n in satellites))
+    return flat.select(key, "snapshot_date", *(F.element_at(f"_{n}", F.col("_i") + 1).alias(f"_{n}") for n in satellites)).select(key, "snapshot_date", *(f"_{n}.*" for n in satellites))
+
+
 def with_satellites(pit: DataFrame, key: str, satellites: dict[str, DataFrame], start: str = "load_date") -> DataFrame:
     """A point-in-time table with the columns of its satellites' versions, prefixed by their names: one equi join each."""
     for name, rows in satellites.items():
