@@ -594,3 +594,10 @@ def test_texts_of_one_form_are_paired_only_where_they_can_be_alike(spark, monkey
     form = [f"w{i}" for i in range(200)]
     many = [" ".join(form[:80] + [f"own{i}_{k}" for k in range(27)] + form[107:]) for i in range(200)]
     assert paired(many) == set()
+
+
+def test_neighbours_that_are_all_old_do_not_meet(spark):
+    """Of two groups of nodes, the one whose lists had no new entry sends no rows to the join with vectors."""
+    lists = [(a, b, 0.0, a > 10 and b == 12, True) for a, b in [(1, 2), (2, 1), (1, 3), (3, 1), (11, 12), (12, 13), (13, 11)]]
+    df = spark.createDataFrame(lists, "a long, b long, s float, fresh boolean, take boolean")
+    assert sorted(tuple(r) for r in ann._meeting(df, 1, ann.Sizes.of(6)).collect()) == [(11, 12, True), (11, 13, False), (12, 11, True), (12, 13, False)]
