@@ -174,6 +174,26 @@ def test_neighbours_of_any_lengths_and_norms(spark):
     assert hits >= 0.9 * 20 * len(found)
 
 
+def test_neighbours_driver_work_is_bounded(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(c) for c in v]) for i, v in enumerate(rng.standard_normal((300, 8)).astype(np.float32))]
+    context = spark.sparkContext
+    context.setJobGroup("neighbours", "one leaf holds all nodes")
+    try:
+        assert ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(2)).count() == 15 * 20
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    # a job is a shuffle, a broadcast or an action: each has threads and memory of the driver
+    jobs = context.statusTracker().getJobIdsForGroup("neighbours")
+    assert 0 < len(jobs) <= 62
+
+
+def test_neighbours_unmet_pairs():
+    q, c = np.array([1, 1, 2]), np.array([5, 6, 5])
+    got = ann._unmet(q, c, np.array([1, 1, 1, 2, 2, 2]), np.array([6, 7, 7, 7, -1, 6]))
+    assert [g.tolist() for g in got] == [[1, 2, 2], [7, 6, 7]]
+
+
 # ---- near-duplicates
 def slow_fingerprint(text):
     words = re.findall(rb"[^\x20\x09-\x0D]+", re.sub(rb"[A-Z]", lambda m: m.group().lower(), (text or "").encode()))
